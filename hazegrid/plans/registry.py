@@ -41,9 +41,13 @@ def query(name: str, sql: str | None = None, views: Sequence[str] = (), text: Se
 
 
 def rnd(c: Column, digits: int) -> Column:
-    """Round for comparison: settle to 9 digits first, so that sums added in another order
-    do not fall on different sides of a half."""
-    return F.round(F.round(c, 9), digits)
+    """Round for comparison, with the same arithmetic in both engines.
+
+    The tie is shifted by 1e-6 of a step, so that sums added in another order do not fall on
+    different sides of an exact half.
+    """
+    scale = F.lit(10.0**digits)
+    return F.floor(c * scale + F.lit(0.500001)).cast("double") / scale
 
 
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:

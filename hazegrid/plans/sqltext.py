@@ -8,7 +8,7 @@ POLLUTANTS = K.DEFAULT_POLLUTANTS
 
 
 def settle_rounding(sql: str) -> str:
-    """``round(x, d)`` -> ``round(round(x, 9), d)``, the counterpart of :func:`registry.rnd`."""
+    """``round(x, d)`` -> the arithmetic of :func:`registry.rnd`."""
     out, at = [], 0
     while (start := sql.find("round(", at)) >= 0:
         depth, end, comma = 1, start + 6, -1
@@ -19,7 +19,8 @@ def settle_rounding(sql: str) -> str:
                 comma = end
             end += 1
         inner = settle_rounding(sql[start + 6 : comma])
-        out.append(f"{sql[at:start]}round(round({inner}, 9),{sql[comma + 1 : end]}")
+        scale = f"1e{int(sql[comma + 1 : end - 1])}"
+        out.append(f"{sql[at:start]}(floor(({inner}) * {scale} + 0.500001e0) / {scale})")
         at = end
     return "".join(out) + sql[at:]
 
