@@ -232,7 +232,7 @@ def polygon_cells(spark: SparkSession, grid: GridSpec, ring: Sequence[tuple[floa
     )
     spanned = (
         rows.where(F.col("_first") <= F.col("_last"))
-        .select("xi", "yi", "xj", "yj", F.explode(F.sequence("_first", "_last")).cast("int").alias("row"))
+        .select("xi", "yi", "xj", "yj", F.explode(F.sequence(F.col("_first").cast("int"), F.col("_last").cast("int"))).alias("row"))
         .withColumn("lat", grid.lat_of("row"))
         .where((F.col("yi") > F.col("lat")) != (F.col("yj") > F.col("lat")))
     )

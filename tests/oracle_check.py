@@ -15,7 +15,9 @@ def frames_equal(a: pd.DataFrame, b: pd.DataFrame) -> str | None:
         out = {}
         for c in cols:
             s = df[c]
-            if s.dtype.kind in "f":
+            if str(s.dtype).startswith(("Int", "UInt", "Float")):
+                out[c] = s.map(lambda v: "NULL" if pd.isna(v) else repr(float(v)))
+            elif s.dtype.kind in "f":
                 out[c] = s.map(lambda v: "NULL" if pd.isna(v) else repr(float(v) + 0.0))
             elif s.dtype.kind in "iu":
                 out[c] = s.map(lambda v: repr(float(v)))
