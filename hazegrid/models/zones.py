@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -64,6 +65,7 @@ def fit_zones(
     seed: int = 0,
     n_init: int = 20,
     exact_rows: int = 5000,
+    parallel: int = 4,
 ) -> tuple[DataFrame, dict]:
     """(cells with zone columns, metadata).
 
@@ -89,9 +91,16 @@ def fit_zones(
     ready = assembler.transform(scale.apply(clean)).select("_x").persist()
     scores: dict[str, float | None] = {}
     fitted = {}
+
+    def run(job: tuple[int, int]):
+        return KMeans(k=job[0], seed=seed + job[1], featuresCol="_x", predictionCol="_cluster", maxIter=100).fit(ready)
+
+    jobs = [(k, i) for k in candidates for i in range(n_init)]
+    # restarts are independent jobs on the same cached table; a few may share the cluster
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        done = list(zip(jobs, pool.map(run, jobs), strict=True))
     for k in candidates:
-        runs = [KMeans(k=k, seed=seed + i, featuresCol="_x", predictionCol="_cluster", maxIter=100).fit(ready) for i in range(n_init)]
-        model = min(runs, key=lambda m: m.summary.trainingCost)
+        model = min((m for (kk, _), m in done if kk == k), key=lambda m: m.summary.trainingCost)
         labelled = model.transform(ready)
         if n_clean <= exact_rows:
             value = _exact_silhouette(labelled, exact_rows)

@@ -9,10 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazegrid import constants as K
-from hazegrid.functions.geo import portable_hash
 from hazegrid.operators.gridding import MOORE, neighbour_aggregate, offsets_within, with_neighbours
 from hazegrid.operators.joining import first_disc, last_box
-from hazegrid.operators.ranking import cumulative_counts
+from hazegrid.operators.ranking import cumulative_counts, shuffled_positions
 
 
 # --- neighbourhood ratio ------------------------------------------------------------------
@@ -126,22 +125,21 @@ def permutation_p(
 ) -> DataFrame:
     """Pseudo p-value of the band sum under seeded random relabelling of the scene.
 
-    For each permutation the values are paired with cells through two independent seeded
-    orders of the same cells, so every value lands exactly once. p is the smaller tail share
-    ``(extreme + 1) / (permutations + 1)``. The cell's own value is relabelled too.
+    Slots hold one seeded random order of the cells; each permutation holds another, and
+    values move to the slot of the same position, so every value lands exactly once. p is the
+    smaller tail share ``(extreme + 1) / (permutations + 1)``. The cell's own value is
+    relabelled too.
     """
     offsets = offsets_within(band / spacing)
     present = cells.where(F.col(value).isNotNull()).select("row", "col", F.col(value).cast("double").alias("_x"))
+    rows = present.count()
     observed = neighbour_aggregate(present, "_x", offsets, {"_obs": F.sum("_v")})
-    runs = present.select("row", "col", "_x", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("_perm"))
-    place = F.concat_ws(",", "row", "col")
+    place, tie = F.concat_ws(",", "row", "col"), ("row", "col")
+    slots = shuffled_positions(present.select("row", "col"), place, f"slot{seed}", rows, "_slot", tie=tie)
+    runs = present.withColumn("_perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
     key = F.concat_ws(":", F.col("_perm"), place)
-    shuffled = Window.partitionBy("_perm").orderBy(portable_hash(key, f"v{seed}", 15), "row", "col")
-    fixed = Window.partitionBy("_perm").orderBy("row", "col")
-    ranked = runs.withColumns({"_from": F.row_number().over(shuffled), "_to": F.row_number().over(fixed)})
-    values = ranked.select("_perm", F.col("_from").alias("_slot"), "_x")
-    slots = ranked.select("_perm", F.col("_to").alias("_slot"), "row", "col")
-    relabelled = slots.join(values, ["_perm", "_slot"])
+    values = shuffled_positions(runs, key, f"value{seed}", rows, "_slot", ["_perm"], tie).select("_perm", "_slot", "_x")
+    relabelled = values.join(slots, "_slot")
     simulated = neighbour_aggregate(relabelled, "_x", offsets, {"_sim": F.sum("_v")}, ["_perm"])
     larger = (
         simulated.join(observed, ["row", "col"]).groupBy("row", "col")

@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hazegrid.functions.geo import portable_hash
 from hazegrid.session import materialize
 
 # Largest table that one task may sort or hold.
@@ -116,3 +117,30 @@ def exact_quantiles(
         b = r["b"] if r["b"] is not None else (edge[f"next_{q}"] if edge[f"next_{q}"] is not None else r["top"])
         out[c][j] = a if frac == 0.0 else a + (b - a) * frac
     return out
+
+
+def shuffled_positions(
+    df: DataFrame, key: Column, seed: str, rows: int, out: str, parts: Sequence[str] = (), tie: Sequence[str] = (),
+    task_rows: int = ONE_TASK_ROWS,
+) -> DataFrame:
+    """Dense 1-based position of every row in a seeded random order, per ``parts``.
+
+    ``rows`` is the (known) row count of a part. Beyond ``task_rows`` the hash range is cut into
+    equal slices, numbered on their own and shifted by the sizes of the lower slices.
+    """
+    slices = max(1, math.ceil(rows / task_rows))
+    hashed = df.withColumn("_h", portable_hash(key, seed, 15))
+    order = ["_h", *tie]
+    if slices == 1:
+        return hashed.withColumn(out, F.row_number().over(Window.partitionBy(*parts, F.lit(0)).orderBy(*order))).drop("_h")
+    sliced = hashed.withColumn("_slice", F.floor(F.col("_h") / F.lit(16**15 // slices + 1)).cast("int"))
+    inner = Window.partitionBy(*parts, "_slice").orderBy(*order)
+    lower = Window.partitionBy(*parts, F.lit(0)).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    shift = (
+        sliced.groupBy(*parts, "_slice").agg(F.count(F.lit(1)).alias("_k"))
+        .select(*parts, "_slice", F.coalesce(F.sum("_k").over(lower), F.lit(0)).alias("_below"))
+    )
+    return (
+        sliced.withColumn("_in", F.row_number().over(inner)).join(shift, [*parts, "_slice"])
+        .withColumn(out, F.col("_in") + F.col("_below")).drop("_h", "_slice", "_in", "_below")
+    )

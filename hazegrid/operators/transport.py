@@ -77,6 +77,8 @@ def back_trajectories(
     field = winds.select("t_idx", "row", "col", F.col(u).alias("_u"), F.col(v).alias("_v")).where(
         F.col("_u").isNotNull() & F.col("_v").isNotNull()
     )
+    # stored once by frame: a step then opens only the frames its parcels are in
+    field = materialize(field.repartition("t_idx", (F.col("row") / 64).cast("int")), "winds", ["t_idx"])
     start = parcels.select("parcel_id", "time", "lon", "lat", F.lit(False).alias("_left"))
     active = materialize(start, "parcels")
     nodes = [active.select("parcel_id", F.lit(0).alias("step"), "time", "lon", "lat")]

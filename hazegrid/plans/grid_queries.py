@@ -301,6 +301,9 @@ def _crossing_sql(lon: str, lat: str) -> str:
     return "(" + " + ".join(terms) + ") % 2 = 1"
 
 
+_FRAMES_MASK = _crossing_sql("lon", "lat")
+
+
 @query(
     "gr_09_polygon_mask",
     f"SELECT row, col, round(no2, 4) AS no2 FROM scene WHERE {_crossing_sql('lon', 'lat')}",
@@ -499,7 +502,7 @@ def _box_sql(boxes: dict, season: str | None = None) -> str:
         box, seasons = (spec[0], spec[1]) if isinstance(spec[0], tuple) else (spec, None)
         if season is None or seasons is None or season in seasons:
             whens.append(f"WHEN lon BETWEEN {S.num(box[0])} AND {S.num(box[2])} AND lat BETWEEN {S.num(box[1])} AND {S.num(box[3])} THEN '{name}'")
-    return "CASE " + " ".join(reversed(whens)) + " END"
+    return "CASE " + " ".join(reversed(whens)) + " END" if whens else "CAST(NULL AS VARCHAR)"
 
 
 def disc_sql() -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,8 +49,8 @@ def scratch_root(spark: SparkSession) -> str:
     return _LOCAL_SCRATCH[app]
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the scratch folder and read it back.
+def materialize(df: DataFrame, label: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` to the scratch folder and read it back, optionally in Hive partitions.
 
     Iterative operators use this between rounds: the plan stays short, a lost executor
     re-reads files instead of recomputing every earlier round, and the file sizes give the
@@ -57,8 +58,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path).select(*df.columns)
     out._scratch_path = path
     return out
 
