@@ -12,7 +12,7 @@ from hazegrid import constants as K
 
 
 def _usable(c: Column) -> Column:
-    return c.isNotNull() & ~F.isnan(c) & (c >= F.lit(0.0))
+    return (c >= F.lit(0.0)) & ~F.isnan(c)
 
 
 def sub_index(conc: Column, pollutant: str, bands: Mapping[str, Sequence] | None = None) -> Column:
@@ -25,12 +25,13 @@ def sub_index(conc: Column, pollutant: str, bands: Mapping[str, Sequence] | None
     """
     rows = [tuple(float(v) for v in band) for band in (bands or K.BREAKPOINTS)[pollutant]]
     c = conc.cast("double")
-    out = F.when(~_usable(c) | c.isNull(), F.lit(None).cast("double"))
+    out = None
     for pos, (c_lo, c_hi, i_lo, i_hi) in enumerate(rows):
         line = F.lit((i_hi - i_lo) / (c_hi - c_lo)) * (c - F.lit(c_lo)) + F.lit(i_lo)
         last = pos == len(rows) - 1
-        out = out.when(c <= F.lit(c_hi) if last else c < F.lit(rows[pos + 1][0]), line)
-    return out.otherwise(F.lit(rows[-1][3]))
+        below = c <= F.lit(c_hi) if last else c < F.lit(rows[pos + 1][0])
+        out = F.when(below, line) if out is None else out.when(below, line)
+    return F.when(_usable(c), out.otherwise(F.lit(rows[-1][3])))
 
 
 def sub_index_map(concentrations: Mapping[str, Column], bands=None) -> Column:
@@ -116,17 +117,26 @@ def entropy_index_cells(indices: Mapping[str, Column], **rule) -> Column:
     Zero sub-indices count towards the number and the mean but carry no entropy; the
     validity rule is the one of :func:`overall_index`.
     """
-    cols = list(indices.values())
-    zero = F.lit(0.0)
-    n = _present(indices).cast("double")
-    total = reduce(lambda a, b: a + b, [F.coalesce(c, zero) for c in cols])
-    top = _greatest(indices)
+    n, total, top, weighted = entropy_parts(indices).values()
+    return entropy_from_parts(n, total, top, weighted, is_valid(indices, **rule))
+
 
-    def term(c: Column) -> Column:
-        share = F.try_divide(c, total)
-        return F.when(share > 0, -share * F.log(share)).otherwise(zero)
+def entropy_parts(indices: Mapping[str, Column]) -> dict[str, Column]:
+    """Count, sum, maximum and sum of ``s ln s`` of the sub-indices.
 
-    shannon = reduce(lambda a, b: a + b, [term(c) for c in cols])
-    even = F.when(n > 1, shannon / F.log(n)).otherwise(zero)
-    value = F.when(top > 0, top * (F.lit(1.0) + (total / n / top) * even)).otherwise(zero)
-    return F.when(is_valid(indices, **rule), value)
+    With shares ``s / T`` the entropy is ``ln T - sum(s ln s) / T``, so one logarithm per
+    pollutant is enough and the expression stays short.
+    """
+    zero, cols = F.lit(0.0), list(indices.values())
+    return {
+        "n": _present(indices).cast("double"),
+        "total": reduce(lambda a, b: a + b, [F.coalesce(c, zero) for c in cols]),
+        "top": _greatest(indices),
+        "weighted": reduce(lambda a, b: a + b, [F.when(c > 0, c * F.ln(c)).otherwise(zero) for c in cols]),
+    }
+
+
+def entropy_from_parts(n: Column, total: Column, top: Column, weighted: Column, valid: Column) -> Column:
+    zero = F.lit(0.0)
+    even = F.when(n > 1, (F.ln(total) - weighted / total) / F.ln(n)).otherwise(zero)
+    return F.when(valid, F.when(top > 0, top + (total / n) * even).otherwise(zero))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazegrid.operators.qa import model_inputs
+from hazegrid.session import materialize
 
 Factory = Callable[[], object]
 
@@ -50,8 +51,7 @@ class TargetRegressors:
 
     def fit(self, df: DataFrame) -> TargetRegressors:
         ready = model_inputs(df, self.features)
-        counts = ready.agg(*[F.count(t).alias(t) for t in self.targets]).first()
-        usable = [t for t in self.targets if counts[t]]
+        usable = [t for t in self.targets if not ready.where(F.col(t).isNotNull()).select(t).isEmpty()]
 
         def one(target: str) -> PipelineModel:
             est = self.factory()
@@ -103,7 +103,8 @@ def cross_validate(
     A fold is skipped when it is empty, trains on too few rows or (optionally) holds too few
     distinct groups. ``None`` if no fold is usable.
     """
-    rows = folded.where(F.col(target).isNotNull())
+    # stored once: every fold trains on it again
+    rows = materialize(folded.where(F.col(target).isNotNull()), "folds")
     group = F.count_distinct(min_test_groups[0]) if min_test_groups else F.lit(0)
     sizes = {r["fold"]: r for r in rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), group.alias("groups")).collect()}
     total = sum(r["n"] for r in sizes.values())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -88,7 +89,8 @@ def fit_zones(
 
     scale = RobustScale.fit(clean, cols)
     assembler = VectorAssembler(inputCols=[f"_s_{c}" for c in cols], outputCol="_x")
-    ready = assembler.transform(scale.apply(clean)).select("_x").persist()
+    # few, well-filled partitions: every iteration is one job over them
+    ready = assembler.transform(scale.apply(clean)).select("_x").coalesce(math.ceil(n_clean / 50_000)).persist()
     scores: dict[str, float | None] = {}
     fitted = {}
 

@@ -31,17 +31,31 @@ def _with_sub_indices(df: DataFrame, columns) -> tuple[DataFrame, dict[str, Colu
 def add_index(df: DataFrame, columns: Mapping[str, str] | Sequence[str] = K.DEFAULT_POLLUTANTS, strict_bands: bool = False) -> DataFrame:
     """Adds ``aqi, aqi_dominant, aqi_category``. ``columns`` maps pollutants to column names."""
     ready, si, scratch = _with_sub_indices(df, columns)
-    out = ready.withColumns({"aqi": ix.overall_index(si), "aqi_dominant": ix.dominant_pollutant(si)})
-    return out.withColumn("aqi_category", ix.category(F.col("aqi"), strict_bands)).drop(*scratch)
+    ready = ready.withColumn("aqi", ix.overall_index(si))
+    named = F.coalesce(*[F.when(c == F.col("aqi"), F.lit(p)) for p, c in si.items()])
+    out = ready.withColumns({"aqi_dominant": named, "aqi_category": ix.category(F.col("aqi"), strict_bands)})
+    return out.drop(*scratch)
 
 
 def add_dual_index(df: DataFrame, columns: Mapping[str, str] | Sequence[str] = K.DEFAULT_POLLUTANTS) -> DataFrame:
-    """Adds ``cpcb, rapi, dominant, divergence``."""
+    """Adds ``cpcb, rapi, dominant, divergence``.
+
+    Built in stages, so that shared parts are computed once and no generated method grows
+    past what the JVM will compile.
+    """
     ready, si, scratch = _with_sub_indices(df, columns)
+    parts = {f"_e_{n}": e for n, e in ix.entropy_parts(si).items()}
+    ready = ready.withColumns({**parts, "_valid": ix.is_valid(si)})
+    n, total, top, weighted = (F.col(c) for c in parts)
+    named = F.coalesce(*[F.when(c == top, F.lit(p)) for p, c in si.items()])
     out = ready.withColumns(
-        {"cpcb": ix.overall_index(si), "rapi": ix.entropy_index_cells(si), "dominant": ix.dominant_pollutant(si)}
+        {
+            "cpcb": F.when(F.col("_valid"), top),
+            "rapi": ix.entropy_from_parts(n, total, top, weighted, F.col("_valid")),
+            "dominant": F.when(F.col("_valid"), named),
+        }
     )
-    return out.withColumn("divergence", F.col("rapi") - F.col("cpcb")).drop(*scratch)
+    return out.withColumn("divergence", F.col("rapi") - F.col("cpcb")).drop(*scratch, *parts, "_valid")
 
 
 def category_histogram(df: DataFrame, value: str = "cpcb", strict_bands: bool = False) -> DataFrame:

@@ -24,6 +24,7 @@ def query(name: str, sql: str | None = None, views: Sequence[str] = (), text: Se
     def wrap(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
             out = fn(Tables(spark, sf_dir))
             return out.withColumns({c: F.col(c).cast("string") for c in text}) if text else out
 

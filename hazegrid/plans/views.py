@@ -1,7 +1,7 @@
 """Adapter views: the shared tables reshaped into measurements, grids and panels.
 
 Each view exists twice, as DataFrame code for the queries and as SQL for the oracle. Means
-inside a view are exact (decimal sums), so thresholds behave the same in both engines.
+inside a view are exact (integer sums), so thresholds behave the same in both engines.
 """
 
 from __future__ import annotations
@@ -24,11 +24,11 @@ WIND_GRID = GridSpec(68.0, 5.5, 98.0, 37.5, 2.0)
 
 
 def mean(x: Column) -> Column:
-    return F.sum(x.cast("decimal(18,4)")).cast("double") / F.count(x)
+    return F.sum(F.floor(x * 10000.0 + 0.5)).cast("double") / 10000.0 / F.count(x)
 
 
 def _mean(x: str) -> str:
-    return f"(CAST(sum(CAST({x} AS DECIMAL(18,4))) AS DOUBLE) / count({x}))"
+    return f"(CAST(sum(CAST(floor(({x}) * 10000e0 + 0.5e0) AS BIGINT)) AS DOUBLE) / 10000e0 / count({x}))"
 
 
 def div(x: str, n: int) -> Column:

@@ -21,6 +21,8 @@ def build_session(app_name: str = "hazegrid", master: str | None = None, **conf)
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.sql.parquet.compression.codec": "zstd",
+        # larger generated methods would run interpreted: the JVM does not compile them
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         **conf,
     }
     builder = SparkSession.builder.appName(app_name)
