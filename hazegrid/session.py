@@ -40,7 +40,7 @@ def scratch_root(spark: SparkSession) -> str:
     folder of its own. A cluster without the setting is refused, because a folder on one
     machine does not outlive that machine.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
