@@ -127,7 +127,10 @@ def compare_schemes(df: DataFrame, target: str, features: Sequence[str], row_key
 
 
 def dual_validation(df: DataFrame, targets: Sequence[str], features: Sequence[str], row_key: Column, factory: Factory | None = None, k: int = 5, block_deg: float = 2.0, min_stations: int = 12, min_rows: int = 150) -> DataFrame:
-    """Random and spatial cross-validation of every target with enough stations and rows."""
+    """Random and spatial cross-validation of every target with enough stations and rows.
+
+    Empty when no target qualifies.
+    """
     make = factory or random_forest(300, min_leaf=2, seed=0)
     sizes = df.agg(
         *[F.count(t).alias(f"n_{t}") for t in targets],
@@ -151,6 +154,9 @@ def dual_validation(df: DataFrame, targets: Sequence[str], features: Sequence[st
                 {"scheme": F.lit(scheme), "stations": F.lit(sizes[f"s_{t}"]).cast("bigint")}
             )
             out = part if out is None else out.unionByName(part)
+    if out is None:
+        schema = "target string, r2 double, rmse double, mae double, n bigint, scheme string, stations bigint"
+        return df.sparkSession.createDataFrame([], schema)
     return out
 
 

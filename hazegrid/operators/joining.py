@@ -128,6 +128,7 @@ def first_disc(lon: Column, lat: Column, discs: dict) -> Column:
 
 def nearest_time(rows: DataFrame, axis: DataFrame, time_col: str, axis_col: str, step_seconds: int = 86_400) -> DataFrame:
     """Rows with the nearest instant of a time axis, before or after; the earlier wins a tie.
+    All rows are kept; without any instant the result is NULL.
 
     Every instant owns the half-open interval between its midpoints. Intervals are copied to
     the fixed-width buckets they touch and matched by bucket, so no ordering of ``rows`` is
@@ -151,7 +152,9 @@ def nearest_time(rows: DataFrame, axis: DataFrame, time_col: str, axis_col: str,
     clamped = F.greatest(ends.getField("lo"), F.least(ends.getField("hi"), t))
     keyed = rows.withColumn("_t2", clamped * 2).withColumn("_b", F.floor(F.col("_t2") / (width * 2)))
     hit = (F.col("_t2") > F.col("_low")) & (F.col("_t2") <= F.col("_high"))
-    return keyed.join(spans, "_b").where(hit).drop("_b", "_t2", "_low", "_high").withColumnRenamed("_axis", "nearest_time")
+    spans = spans.withColumnRenamed("_b", "_span")
+    matched = keyed.join(spans, (F.col("_b") == F.col("_span")) & hit, "left")
+    return matched.drop("_b", "_span", "_t2", "_low", "_high").withColumnRenamed("_axis", "nearest_time")
 
 
 def in_set(df: DataFrame, members: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:

@@ -542,7 +542,7 @@ def _(t: Tables):
 
 @query(
     "jn_10_nearest_time",
-    """WITH ax AS (SELECT DISTINCT date_trunc('hour', ts) AS a FROM events WHERE value > 480),
+    """WITH ax AS (SELECT DISTINCT date_trunc('hour', ts) AS a FROM events WHERE value > 300),
     e AS (SELECT event_id, ts FROM events),
     lo AS (SELECT event_id, ts, a AS p FROM e ASOF LEFT JOIN ax ON e.ts >= ax.a), hi AS (SELECT event_id, a AS q FROM e ASOF LEFT JOIN ax ON e.ts <= ax.a)
     SELECT event_id, CASE WHEN p IS NULL THEN q WHEN q IS NULL THEN p WHEN epoch_us(ts) - epoch_us(p) <= epoch_us(q) - epoch_us(ts) THEN p ELSE q END AS nearest_time
@@ -551,7 +551,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     ev = t.table("events").select("event_id", "ts", "value")
-    axis = ev.where(F.col("value") > 480).select(F.date_trunc("hour", "ts").alias("a")).distinct()
+    axis = ev.where(F.col("value") > 300).select(F.date_trunc("hour", "ts").alias("a")).distinct()
     return joining.nearest_time(ev.select("event_id", "ts"), axis, "ts", "a").select("event_id", "nearest_time")
 
 

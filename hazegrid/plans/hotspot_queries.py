@@ -333,13 +333,13 @@ def _(t: Tables):
 
 @query(
     "ex_01_percentile_stretch",
-    """, c AS (SELECT quantile_cont(hcho, [0.02, 0.98]) AS h, quantile_cont(no2, [0.02, 0.98]) AS n FROM scene WHERE col >= 10)
+    """, c AS (SELECT quantile_cont(hcho, [0.02, 0.98]) AS h, quantile_cont(no2, [0.02, 0.98]) AS n FROM scene WHERE col >= 3)
     SELECT row, col, round(greatest(0e0, least(1e0, (hcho - h[1]) / (h[2] - h[1] + 1e-12))), 6) AS hcho, round(greatest(0e0, least(1e0, (no2 - n[1]) / (n[2] - n[1] + 1e-12))), 6) AS no2 FROM scene, c WHERE hcho IS NOT NULL
     UNION ALL SELECT row, col, NULL, round(greatest(0e0, least(1e0, (no2 - n[1]) / (n[2] - n[1] + 1e-12))), 6) FROM scene, c WHERE hcho IS NULL""",
     ["scene"],
 )
 def _(t: Tables):
-    cells = t.scene().select("row", "col", "hcho", "no2", (F.col("col") >= 10).alias("inside"))
+    cells = t.scene().select("row", "col", "hcho", "no2", (F.col("col") >= 3).alias("inside"))
     return rounded(layers.percentile_stretch(cells, ["hcho", "no2"], inside="inside").drop("inside"), 6, "hcho", "no2")
 
 

@@ -65,7 +65,7 @@ def _(t: Tables):
 
 @query(
     "tm_06_eight_hour_peak",
-    f", {S.daily('obs_wide')} SELECT station_id, date, round(o3_8h, 4) AS o3, round(co_8h, 4) AS co FROM agg WHERE n_rows > 3 AND hours >= 16",
+    f", {S.daily('obs_wide')} SELECT station_id, date, round(o3, 4) AS o3, round(co, 4) AS co FROM daily",
     ["obs_long", "obs_wide"],
     text=["date"],
 )

@@ -263,7 +263,7 @@ def _(t: Tables):
     f""", rf AS (SELECT *, CAST({_hash(_ROWKEY, '0')} % 5 AS INT) AS fold FROM panel WHERE pm25 IS NOT NULL), {_fold_lines('rf', 'pm25', 'no2', 5)}, {_blocks('panel', '2e0', 5, 42)},
     ln2 AS (SELECT f, regr_slope(pm25, no2) AS b, regr_intercept(pm25, no2) AS a FROM folded, range(0, 5) r(f) WHERE fold <> f GROUP BY 1), held2 AS (SELECT pm25 AS t, a + b * no2 AS p FROM folded JOIN ln2 ON fold = f),
     st AS (SELECT count(DISTINCT station_id) AS stations FROM panel WHERE pm25 IS NOT NULL)
-    SELECT *, (SELECT stations FROM st) AS stations FROM ({_skill('pm25', 't', 'p')}, 'random_cv' AS scheme FROM held UNION ALL {_skill('pm25', 't', 'p')}, 'spatial_cv' AS scheme FROM held2)""",
+    SELECT *, (SELECT stations FROM st) AS stations FROM ({_skill('pm25', 't', 'p')}, 'random_cv' AS scheme FROM held UNION ALL {_skill('pm25', 't', 'p')}, 'spatial_cv' AS scheme FROM held2) WHERE (SELECT stations FROM st) >= 12""",
     ["panel"],
 )
 def _(t: Tables):

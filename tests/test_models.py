@@ -141,7 +141,7 @@ def test_validation_gates(spark):
     key = F.concat("station_id", F.col("date").cast("string"))
     out = fields.dual_validation(df, ["pm25"], ["x", "lon", "lat"], key, regression.linear())
     assert {r["scheme"] for r in out.collect()} == {"random_cv", "spatial_cv"} and out.first()["stations"] == 14
-    assert fields.dual_validation(df.where("station_id < 's08'"), ["pm25"], ["x"], key, regression.linear()) is None
+    assert fields.dual_validation(df.where("station_id < 's08'"), ["pm25"], ["x"], key, regression.linear()).count() == 0
     schemes = fields.compare_schemes(df, "pm25", ["x", "lon"], key, regression.linear())
     assert {r["scheme"] for r in schemes.collect()} == {"random", "spatial", "temporal"}
 
