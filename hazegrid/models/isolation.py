@@ -155,8 +155,15 @@ def isolation_hotspots(
     ).drop("_raw")
     grouped = materialize(cluster_cells(flagged, "isolation_anomaly", connectivity=8), "anomalies")
     ids = grouped.groupBy("cluster_row", "cluster_col").agg(F.first("cluster_size").alias("cluster_size"))
-    # clusters are at most a contamination share of cells; numbering needs one order over them
-    numbered = ids.withColumn("isolation_cluster_id", F.row_number().over(Window.orderBy("cluster_row", "cluster_col")) - 1)
+    # numbered in (row, col) order: inside a grid row, then shifted by the counts of the rows above
+    above = Window.orderBy("cluster_row").rowsBetween(Window.unboundedPreceding, -1)
+    shift = ids.groupBy("cluster_row").agg(F.count(F.lit(1)).alias("_k")).select(
+        "cluster_row", F.coalesce(F.sum("_k").over(above), F.lit(0)).alias("_above")
+    )
+    in_row = F.row_number().over(Window.partitionBy("cluster_row").orderBy("cluster_col"))
+    numbered = ids.withColumn("_n", in_row).join(shift, "cluster_row").withColumn(
+        "isolation_cluster_id", (F.col("_n") + F.col("_above") - 1).cast("bigint")
+    )
     members = grouped.drop("cluster_size").join(numbered, ["cluster_row", "cluster_col"]).select(
         "row", "col", "isolation_cluster_id", F.col("cluster_size").alias("isolation_cluster_size")
     )
@@ -165,7 +172,7 @@ def isolation_hotspots(
         .withColumns(
             {
                 "isolation_anomaly": F.coalesce("isolation_anomaly", F.lit(False)),
-                "isolation_cluster_id": F.coalesce("isolation_cluster_id", F.lit(-1)),
+                "isolation_cluster_id": F.coalesce("isolation_cluster_id", F.lit(-1)).cast("bigint"),
                 "isolation_cluster_size": F.coalesce("isolation_cluster_size", F.lit(0)).cast("bigint"),
             }
         )

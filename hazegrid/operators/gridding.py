@@ -248,10 +248,15 @@ def polygon_cells(spark: SparkSession, grid: GridSpec, ring: Sequence[tuple[floa
 def infer_grid(points: DataFrame, lon: str = "lon", lat: str = "lat", fallback: float = 0.5) -> DataFrame:
     """One row: resolution (smallest positive longitude gap) and the bounds of a point table.
 
-    Works on distinct longitudes, of which a regular grid has few.
+    Gaps are taken inside one-degree bands, each its own window, and between the ends of
+    neighbouring bands, of which there are at most a few hundred.
     """
-    gap = F.col(lon) - F.lag(lon).over(Window.orderBy(lon))
-    step = points.select(lon).distinct().select(gap.alias("g")).agg(F.min("g").alias("resolution"))
+    distinct = points.where(F.col(lon).isNotNull()).select(F.col(lon).alias("_x")).distinct()
+    banded = distinct.withColumn("_band", F.floor("_x"))
+    inside = banded.withColumn("_gap", F.col("_x") - F.lag("_x").over(Window.partitionBy("_band").orderBy("_x")))
+    bands = inside.groupBy("_band").agg(F.min("_gap").alias("_in"), F.min("_x").alias("_first"), F.max("_x").alias("_last"))
+    between = F.col("_first") - F.lag("_last").over(Window.orderBy("_band"))
+    step = bands.withColumn("_gap", F.least("_in", between)).agg(F.min("_gap").alias("resolution"))
     bounds = points.agg(
         F.min(lon).alias("min_lon"), F.max(lon).alias("max_lon"), F.min(lat).alias("min_lat"), F.max(lat).alias("max_lat")
     )

@@ -76,21 +76,42 @@ def exact_quantiles(
         row = base.agg(*[F.percentile(c, F.array(*[F.lit(float(p)) for p in probs])).alias(c) for c in names]).first()
         return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in names}
 
-    wanted, parts, guards = [], [], []
-    for i, c in enumerate(names):
-        for j, p in enumerate(probs):
-            if not counts[c]:
-                continue
-            lo, hi = first[f"b_{i}"][2 * j], first[f"b_{i}"][2 * j + 1]
-            q = len(wanted)
-            wanted.append((c, j, (counts[c] - 1) * p))
-            parts.append(F.when(F.col(c).between(lo, hi), F.struct(F.lit(q).alias("q"), F.col(c).alias("v"))))
+    # (column, probability index, 0-based target position) and the value bracket that holds it
+    wanted = [(c, j, (counts[c] - 1) * p) for c in names for j, p in enumerate(probs) if counts[c]]
+    bracket = [tuple(first[f"b_{names.index(c)}"][2 * j : 2 * j + 2]) for c, j, _ in wanted]
+    for attempt in range(4):
+        guards = []
+        for q, (c, _j, _h) in enumerate(wanted):
+            lo, hi = bracket[q]
             guards += [
                 F.count(F.when(F.col(c) < lo, 1)).alias(f"below_{q}"),
+                F.count(F.when(F.col(c).between(lo, hi), 1)).alias(f"inside_{q}"),
                 F.max(F.when(F.col(c) < lo, F.col(c))).alias(f"prev_{q}"),
                 F.min(F.when(F.col(c) > hi, F.col(c))).alias(f"next_{q}"),
             ]
-    edge = base.agg(*guards).first()
+        edge = base.agg(*guards).first()
+        wide = [q for q in range(len(wanted)) if edge[f"inside_{q}"] > task_rows and bracket[q][0] < bracket[q][1]]
+        if not wide or attempt == 3:
+            break
+        # narrow again inside the bracket; a single value held by many rows cannot narrow and need not
+        again = []
+        for q in wide:
+            c, _j, h = wanted[q]
+            lo, hi = bracket[q]
+            local = (h - edge[f"below_{q}"]) / max(edge[f"inside_{q}"] - 1, 1)
+            at = [min(1.0, max(0.0, local + s * margin)) for s in (-1, 1)]
+            again.append(F.percentile_approx(F.when(F.col(c).between(lo, hi), F.col(c)), at, sketch).alias(f"b_{q}"))
+        narrowed = base.agg(*again).first()
+        settled = True
+        for q in wide:
+            settled &= tuple(narrowed[f"b_{q}"]) == bracket[q]
+            bracket[q] = tuple(narrowed[f"b_{q}"])
+        if settled:
+            break
+    parts = [
+        F.when(F.col(c).between(*bracket[q]), F.struct(F.lit(q).alias("q"), F.col(c).alias("v")))
+        for q, (c, _j, _h) in enumerate(wanted)
+    ]
     inside = (
         base.select(F.explode(F.array_compact(F.array(*parts))).alias("e")).groupBy("e.q", "e.v")
         .agg(F.count(F.lit(1)).alias("n"))

@@ -66,6 +66,18 @@ def list_files(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"))
 
 
+def _header_lines(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
+    """First line of every file, from one job over the first block of each."""
+    if not paths:
+        return {}
+    lines = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value",
+        F.monotonically_increasing_id().alias("at"),
+    )
+    first = lines.where(F.col("start") == 0).groupBy("path").agg(F.min_by("value", "at").alias("line"))
+    return {r["path"]: r["line"] for r in first.collect()}
+
+
 def station_folder(spark: SparkSession, root: str) -> tuple[DataFrame | None, DataFrame | None]:
     """(station metadata, measurements) from every CSV below a folder, fire files excepted.
 
@@ -78,9 +90,8 @@ def station_folder(spark: SparkSession, root: str) -> tuple[DataFrame | None, Da
     meta = next((p for p, n in paths if "station" in n or "meta" in n), None)
     rest = [p for p, _ in paths if p != meta]
     groups: dict[tuple[str, ...], list[str]] = {}
-    for p in rest:
-        header = tuple(c.strip() for c in _csv(spark, p).columns)
-        groups.setdefault(header, []).append(p)
+    for p, line in sorted(_header_lines(spark, rest).items()):
+        groups.setdefault(tuple(c.strip().strip('"') for c in line.split(",")), []).append(p)
     measured = None
     for header, members in groups.items():
         if "datetime" not in header:

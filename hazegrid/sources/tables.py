@@ -53,12 +53,11 @@ def inference_table(cells: DataFrame) -> DataFrame:
 def write_partitioned(df: DataFrame, path: str, partition_cols: Sequence[str] = K.PARTITION_COLUMNS) -> None:
     """Hive-partitioned Parquet. A re-run replaces only the partitions it contains.
 
-    Rows are hashed on partition and day before the write, so one month is written by as
-    many tasks as it has days and files stay few without one task holding a whole month.
+    Rows are rebalanced on the partition columns before the write: small partitions share a
+    task and a month that holds most of the data is split over many.
     """
-    layout = [*partition_cols, *(["date"] if "date" in df.columns else [])]
     (
-        df.repartition(*[F.col(c) for c in layout])
+        df.hint("rebalance", *partition_cols)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_cols)
