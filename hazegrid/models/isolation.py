@@ -135,6 +135,7 @@ def isolation_hotspots(
     and 0. Adjacency uses the true grid indices.
     """
     cols = usable_features(cells, features, DEFAULT_FEATURES)
+    cells = materialize(cells, "cells")  # read once per step below
     usable = F.lit(False)
     for c in cols:
         usable = usable | F.col(c).isNotNull()

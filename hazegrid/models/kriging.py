@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hazegrid import constants as K
 from hazegrid.models.metrics import score
 from hazegrid.models.regression import Factory, TargetRegressors
+from hazegrid.session import materialize
 
 # Beyond this many length scales a weight is below exp(-40), under double rounding of `reg`.
 REACH = 9.0
@@ -79,8 +80,13 @@ class HybridModel:
         return list(self.trend.models)
 
     def fit(self, df: DataFrame) -> HybridModel:
-        self.trend.fit(df)
-        self.residuals = station_residuals(self.trend.predict(df), self.targets, self.station_col)
+        used = [self.station_col, "date", "lon", "lat", *self.trend.features, *self.trend.targets]
+        train = materialize(df.select(*[c for c in dict.fromkeys(used) if c in df.columns]), "training")
+        self.trend.stored = True
+        self.trend.fit(train)
+        # one row per station: stored, because every prediction joins it
+        fitted = station_residuals(self.trend.predict(train), self.targets, self.station_col)
+        self.residuals = materialize(fitted, "residuals")
         return self
 
     def correct(self, predicted: DataFrame, prefix: str = "pred_") -> DataFrame:

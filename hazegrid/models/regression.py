@@ -44,13 +44,20 @@ class TargetRegressors:
     left out for that target only.
     """
 
-    def __init__(self, targets: Sequence[str], features: Sequence[str], factory: Factory | None = None, parallel: int = 4):
-        self.targets, self.features = list(targets), list(features)
+    def __init__(
+        self, targets: Sequence[str], features: Sequence[str], factory: Factory | None = None, parallel: int = 4,
+        stored: bool = False,
+    ):
+        """``stored``: the training frame is cheap to re-read, so it is not written out first."""
+        self.targets, self.features, self.stored = list(targets), list(features), stored
         self.factory, self.parallel = factory or random_forest(), parallel
         self.models: dict[str, PipelineModel] = {}
 
     def fit(self, df: DataFrame) -> TargetRegressors:
-        ready = model_inputs(df, self.features)
+        ready = model_inputs(df, self.features).select(*dict.fromkeys([*self.features, *self.targets]))
+        if not self.stored:
+            # estimators pass over their input several times, once per target at least
+            ready = materialize(ready, "training")
         usable = [t for t in self.targets if not ready.where(F.col(t).isNotNull()).select(t).isEmpty()]
 
         def one(target: str) -> PipelineModel:
@@ -115,7 +122,7 @@ def cross_validate(
             continue
         if min_test_groups and size["groups"] < min_test_groups[1]:
             continue
-        model = TargetRegressors([target], features, factory).fit(rows.where(F.col("fold") != f))
+        model = TargetRegressors([target], features, factory, stored=True).fit(rows.where(F.col("fold") != f))
         parts.append(model.predict(rows.where(F.col("fold") == f)))
     out = None
     for p in parts:

@@ -76,6 +76,7 @@ def fit_zones(
     scores favour the smaller count.
     """
     cols = usable_features(cells, features, DEFAULT_FEATURES)
+    cells = materialize(cells, "cells")  # read once per step below
     whole = F.lit(True)
     for c in cols:
         whole = whole & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
