@@ -321,18 +321,19 @@ def patch_sequences(
     )
     cells = wanted.join(scaled, ["t_idx", "row", "col"], "left")
     area, n = patch * patch, len(channels)
-    values = F.array(
-        *[
-            F.struct(
-                (F.floor(F.col("p") / area) * (n * area) + i * area + F.pmod(F.col("p"), F.lit(area))).cast("int").alias("pos"),
-                F.coalesce(F.col(c), F.lit(0.0)).cast("float").alias("v"),
-            )
-            for i, c in enumerate(channels)
-        ]
-    )
-    gathered = cells.groupBy(sample_key).agg(F.flatten(F.collect_list(values)).alias("_v"))
+    row = F.struct("p", *[F.coalesce(F.col(c), F.lit(0.0)).cast("float").alias(c) for c in channels])
+    # a fixed number of rows per sample: steps x patch x patch
+    gathered = cells.groupBy(sample_key).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+
+    def pick(channel: str):
+        return lambda cell: cell.getField(channel)
+
+    def frame(step: Column) -> Column:
+        window = F.slice("_rows", step * area + 1, F.lit(area))
+        return F.flatten(F.array(*[F.transform(window, pick(c)) for c in channels]))
+
     return gathered.select(
         sample_key,
-        F.transform(F.array_sort("_v"), lambda e: e.getField("v")).alias("patch"),
+        F.flatten(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), frame)).alias("patch"),
         F.array(*[F.lit(x) for x in (steps, n, patch, patch)]).alias("shape"),
     )
