@@ -57,16 +57,19 @@ def back_trajectories(
     dt_hours: float = 1.0,
     u: str = "u_wind",
     v: str = "v_wind",
-    cut_every: int = 8,
 ) -> DataFrame:
     """Paths of many air parcels traced backwards through a gridded wind field.
 
     ``parcels``: ``parcel_id, lon, lat, time`` (epoch seconds). ``winds``: ``t_idx, row, col,
-    u, v`` on a regular time axis in epoch seconds. Each step is one equi-join on (t_idx, row,
-    col); all parcels advance together. A parcel that reaches the rim of cell centres is
-    clamped to it, keeps that node and stops; one in a cell without wind stops where it is.
-    Steps are written out every ``cut_every`` rounds, which bounds the plan and lets the
-    optimiser see the (small) size of the parcel side.
+    u, v`` on a regular time axis in epoch seconds. A parcel that reaches the rim of cell
+    centres is clamped to it, keeps that node and stops; one in a cell without wind stops
+    where it is.
+
+    All parcels advance together, one inner equi-join on (t_idx, row, col) per step. The
+    winds are stored once by frame and a step opens only the frames its parcels can be in.
+    Every step is written out: its rows are the nodes of the result, the next step starts from
+    a file of known size (so the optimiser can check whether it fits a broadcast), and a lost
+    executor costs one step.
     """
     w = grid
     west, east = w.min_lon + w.resolution / 2, w.min_lon + w.resolution / 2 + (w.n_cols - 1) * w.resolution
@@ -77,50 +80,40 @@ def back_trajectories(
     field = winds.select("t_idx", "row", "col", F.col(u).alias("_u"), F.col(v).alias("_v")).where(
         F.col("_u").isNotNull() & F.col("_v").isNotNull()
     )
-    # stored once by frame: a step then opens only the frames its parcels are in
     field = materialize(field.repartition("t_idx", (F.col("row") / 64).cast("int")), "winds", ["t_idx"])
-    start = parcels.select("parcel_id", "time", "lon", "lat", F.lit(False).alias("_left"))
+    keep = ["parcel_id", "step", "time", "lon", "lat"]
+    start = parcels.select("parcel_id", F.lit(0).alias("step"), F.col("time").cast("bigint").alias("time"), "lon", "lat")
     active = materialize(start, "parcels")
-    nodes = [active.select("parcel_id", F.lit(0).alias("step"), "time", "lon", "lat")]
-    steps = int(hours / dt_hours)
-    pending: list[int] = []
-    # the path so far travels with each parcel as an array between two cuts
-    moving = active.withColumn("_path", F.array().cast("array<struct<step:int,time:bigint,lon:double,lat:double>>"))
-    for k in range(1, steps + 1):
+    nodes = active.select(*keep)
+    latest, earliest = active.agg(F.max("time"), F.min("time")).first()
+    if latest is None:
+        return nodes
+
+    def frame_of(t: float) -> int:
+        return max(0, min(n_frames - 1, math.ceil((t - axis_start) / axis_step - 0.5)))
+
+    for k in range(1, int(hours / dt_hours) + 1):
         row, col = w.nearest_index(F.col("lon"), F.col("lat"))
         t_idx = _frame_index(F.col("time"), axis_start, axis_step, n_frames)
-        at = moving.withColumns({"row": row, "col": col, "t_idx": t_idx}).join(field, ["t_idx", "row", "col"], "left")
-        go = ~F.col("_left") & F.col("_u").isNotNull()
+        gone = (k - 1) * int(seconds)
+        frames = field.where(F.col("t_idx").between(frame_of(earliest - gone), frame_of(latest - gone)))
+        at = active.withColumns({"row": row, "col": col, "t_idx": t_idx}).join(frames, ["t_idx", "row", "col"])
         new_lat = F.col("lat") - (F.col("_v") * F.lit(seconds)) / F.lit(metres) * F.lit(180 / math.pi)
         new_lon = F.col("lon") - (F.col("_u") * F.lit(seconds)) / (
             F.lit(metres) * F.cos(F.radians("lat"))
         ) * F.lit(180 / math.pi)
-        held_lon = F.greatest(F.lit(west), F.least(F.lit(east), new_lon))
-        held_lat = F.greatest(F.lit(south), F.least(F.lit(north), new_lat))
-        at = at.withColumns({"_go": go, "_nlon": new_lon, "_nlat": new_lat, "_hlon": held_lon, "_hlat": held_lat})
-        node = F.struct(
-            F.lit(k).alias("step"), (F.col("time") - F.lit(int(seconds))).alias("time"), F.col("_hlon").alias("lon"), F.col("_hlat").alias("lat")
-        )
-        moving = at.select(
+        moved = at.withColumns({"_lon": new_lon, "_lat": new_lat}).select(
             "parcel_id",
-            F.when(F.col("_go"), F.col("time") - F.lit(int(seconds))).otherwise(F.col("time")).alias("time"),
-            F.when(F.col("_go"), F.col("_hlon")).otherwise(F.col("lon")).alias("lon"),
-            F.when(F.col("_go"), F.col("_hlat")).otherwise(F.col("lat")).alias("lat"),
-            (~F.col("_go") | (F.col("_nlon") != F.col("_hlon")) | (F.col("_nlat") != F.col("_hlat"))).alias("_left"),
-            F.when(F.col("_go"), F.array_append("_path", node)).otherwise(F.col("_path")).alias("_path"),
+            F.lit(k).alias("step"),
+            (F.col("time") - F.lit(int(seconds))).alias("time"),
+            F.greatest(F.lit(west), F.least(F.lit(east), F.col("_lon"))).alias("lon"),
+            F.greatest(F.lit(south), F.least(F.lit(north), F.col("_lat"))).alias("lat"),
+            (F.col("_lon").between(west, east) & F.col("_lat").between(south, north)).alias("_inside"),
         )
-        pending.append(k)
-        if len(pending) == cut_every or k == steps:
-            cut = materialize(moving, "parcels")
-            nodes.append(cut.select("parcel_id", F.inline("_path")))
-            moving = cut.where(~F.col("_left")).withColumn(
-                "_path", F.array().cast("array<struct<step:int,time:bigint,lon:double,lat:double>>")
-            )
-            pending = []
-    out = nodes[0]
-    for part in nodes[1:]:
-        out = out.unionByName(part)
-    return out
+        stored = materialize(moved, "parcels")
+        nodes = nodes.unionByName(stored.select(*keep))
+        active = stored.where("_inside")
+    return nodes
 
 
 def fires_along_path(

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from hazegrid import constants as K
 from hazegrid.models import metrics, zones
 from hazegrid.models.isolation import isolation_hotspots
-from hazegrid.operators import analysis, components, gridding, hotspots, joining, layers, temporal, transport
+from hazegrid.operators import analysis, components, gridding, hotspots, layers, temporal, transport
 from hazegrid.plans import sqltext as S
-from hazegrid.plans.grid_queries import _FRAMES_MASK, RING, _box_sql, _crossing_sql, disc_sql
+from hazegrid.plans.grid_queries import _FRAMES_MASK, RING, _box_sql, disc_sql
 from hazegrid.plans.index_queries import _FRAMES
-from hazegrid.plans.registry import query, rnd, rounded
-from hazegrid.plans.views import FIRST_SECOND_WIND, SCENE_GRID, STACK_GRID, WIND_FRAMES, WIND_GRID, WIND_STEP, Tables
+from hazegrid.plans.registry import query, rounded
+from hazegrid.plans.views import FIRST_SECOND_WIND, STACK_GRID, WIND_FRAMES, WIND_GRID, WIND_STEP, Tables
 
 # --- vicinity ratio -------------------------------------------------------------------------
 _PHV = """, near AS (SELECT a.row, a.col, avg(b.hcho) AS m FROM scene a JOIN scene b ON b.row BETWEEN a.row - 1 AND a.row + 1
