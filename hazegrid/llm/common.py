@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,3 +41,33 @@ def per_batch(fn: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iterator[
                 yield fn(pdf)
 
     return run
+
+
+def in_groups(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, rows: int = 20_000) -> DataFrame:
+    """``fn`` over frames of whole groups, sorted by ``keys``, of about ``rows`` rows or one group if that is larger.
+
+    Unlike ``applyInPandas`` it takes many small groups in one call; callers keep single groups bounded.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        size = 0
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            held.append(pdf)
+            size += len(pdf)
+            if size < rows:
+                continue
+            whole = pd.concat(held, ignore_index=True)
+            last = whole[keys].iloc[-1]
+            # the last group may go on in the next batch
+            open_ = np.logical_and.reduce([(whole[k] == last[k]).to_numpy() for k in keys])
+            cut = int(np.argmax(open_))
+            if cut:
+                yield fn(whole.iloc[:cut].reset_index(drop=True))
+            held, size = [whole.iloc[cut:]], len(whole) - cut
+        if size:
+            yield fn(pd.concat(held, ignore_index=True))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
