@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazegrid.llm import bpe, hyperminhash, line_quality, ordinal, urls
+from hazegrid.llm import bpe, hyperminhash, line_quality, ordinal, suffixes, urls
 from hazegrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,11 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+@register("op6_suffix_array")
+def suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.measure(table(spark, sf_dir, "documents"))
+
+
 @register("op7_hyperminhash")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
