@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazegrid.llm import bpe, decontamination, hyperminhash, licenses, line_quality, ordinal, suffixes, templates, urls
+from hazegrid.llm import bpe, decontamination, hyperminhash, licenses, line_quality, ordinal, pseudo_likelihood, suffixes, templates, urls
 from hazegrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,11 @@ FROM parsed
 """
 
 
+@register("op1_pseudo_likelihood")
+def masked_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.score(table(spark, sf_dir, "documents"))
+
+
 @register("op2_latent_decontamination")
 def latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
