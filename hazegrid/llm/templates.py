@@ -91,12 +91,13 @@ def deduce(pages: DataFrame) -> DataFrame:
     depth = F.size(F.split("token", "/"))
     named = F.when(F.regexp_like("token", F.lit(r"/article(\.[a-z]+)?$")), 2).otherwise(F.col("article"))
     # an article outermost, else the deepest part of the skeleton that still holds most of the text
-    fit = (named > 0) | (F.col("once") & (F.col("class_size") > 1) & (F.col("chars") >= TEXT_SHARE * F.col("most")))
+    leaf = F.regexp_like("token", F.lit(r"/(p|h[1-6]|li|pre|blockquote|dt|dd|figcaption)(\.[a-z]+)?$"))
+    fit = (named > 0) | (~leaf & F.col("once") & (F.col("class_size") > 1) & (F.col("chars") >= TEXT_SHARE * F.col("most")))
     rank = F.struct(named.alias("named"), F.when(named > 0, -depth).otherwise(depth).alias("depth"), F.col("n_pages").alias("n"), F.col("token").alias("token"))
     slots = member.where(element).join(body, "host").where(fit & (F.col("chars") > 0)).groupBy("host").agg(F.max(rank).alias("best")).select("host", F.col("best.token").alias("slot"))
     # a run is fixed only if several pages agree on it
     fixed = member.where(~element & (F.col("n_pages") > 1)).groupBy("host").agg(F.collect_set("token").alias("fixed"))
-    return materialize(hosts.select("host").join(slots, "host", "left").join(fixed, "host", "left"), "templates")
+    return materialize(hosts.select("host").join(slots, "host", "left").join(fixed, "host", "left").select("host", "slot", "fixed"), "templates")
 
 
 def main_text(source: str | None, slot: str | None, fixed: frozenset[str] | set[str]) -> str:
@@ -120,9 +121,9 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
     """
     small_batches(pages.sparkSession)
     keep = [c for c in pages.columns if c not in ("text", "n_chars", "host", html_col)]
-    read = pages.select(*[pages[c] for c in keep], pages[html_col].alias("html"), host_of(pages[url_col]).alias("host"))
-    templates = deduce(read)
-    joined = read.join(templates, "host", "left")
+    read = pages.select(*[pages[c] for c in keep], pages[html_col].alias("_html"), host_of(pages[url_col]).alias("_host"))
+    templates = deduce(read.select(F.col("_host").alias("host"), F.col("_html").alias("html")))
+    joined = read.join(templates.toDF("_host", "_slot", "_fixed"), "_host", "left")
 
     @F.pandas_udf("string")
     def cut(sources: pd.Series, slots: pd.Series, fixed: pd.Series) -> pd.Series:
@@ -134,5 +135,5 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
             out.append(main_text(source, slot, sets[key]))
         return pd.Series(out, dtype=object)
 
-    done = joined.select(*keep, cut("html", "slot", "fixed").alias("text"))
+    done = joined.select(*keep, cut("_html", "_slot", "_fixed").alias("text"))
     return done.select(*keep, "text", F.char_length("text").cast("long").alias("n_chars"))
