@@ -164,12 +164,6 @@ FOREST_FIRE = {
     "western_ghats": ((73.0, 8.0, 77.5, 21.0), ("pre_monsoon",)),
     "himalayan": ((75.5, 28.7, 81.0, 31.5), ("pre_monsoon",)),
 }
-RECEPTORS = {
-    "delhi": (77.10, 28.65),
-    "lucknow": (80.95, 26.85),
-    "patna": (85.14, 25.61),
-    "kanpur": (80.33, 26.45),
-}
 NATIONAL_BBOX = (68.0, 6.5, 97.5, 37.5)
 FIRE_THRESHOLD = 1.0
 EVI_THRESHOLD = 0.4
@@ -188,20 +182,6 @@ LAND_COVER_CLASSES = {
     95: "mangrove",
     100: "moss",
 }
-LAYER_BANDS = {
-    "era5": (
-        "temperature",
-        "rh",
-        "u_wind",
-        "v_wind",
-        "wind_speed",
-        "pressure",
-        "precipitation",
-        "solar_radiation",
-    ),
-    "modis_frp": ("frp_mean", "frp_max", "fire_count"),
-    "srtm": ("elevation", "slope", "aspect"),
-}
 NEAREST_LAYERS = ("burned",)
 NEAREST_LAYER_PREFIX = "lc_"
 

@@ -119,75 +119,73 @@ def anomaly_score(df: DataFrame, columns: Sequence[str], nodes: DataFrame, sampl
     return df.withColumn(out, walk(*[F.col(c) for c in columns]))
 
 
+def number_clusters(grouped: DataFrame, scene: Sequence[str] = ()) -> DataFrame:
+    """Clusters counted from 0 by scene and first cell, without ordering them all in one task.
+
+    A grid row of one scene is counted on its own and shifted by what the rows before it hold.
+    """
+    line = [*scene, "cluster_row"]
+    first_cells = grouped.groupBy(*line, "cluster_col").agg(F.first("cluster_size").alias("isolation_cluster_size"))
+    # one row per grid row and scene
+    before = Window.orderBy(*line).rowsBetween(Window.unboundedPreceding, -1)
+    shift = first_cells.groupBy(*line).agg(F.count(F.lit(1)).alias("_k")).select(*line, F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*line).orderBy("cluster_col"))
+    return first_cells.withColumn("_n", inside).join(shift, line).withColumn("isolation_cluster_id", (F.col("_n") + F.col("_before") - 1).cast("bigint")).drop("_n", "_before")
+
+
 def isolation_hotspots(
     cells: DataFrame,
     features: Sequence[str] | None = None,
     contamination: float = 0.05,
     seed: int = 0,
     n_trees: int = 300,
-    key: Sequence[str] = ("row", "col"),
+    scene: Sequence[str] = (),
 ) -> tuple[DataFrame, dict]:
     """(cells with anomaly columns, metadata).
 
-    Missing inputs take the median; a cell without any input is not scored. The score is
-    shifted by the ``1 - contamination`` quantile: positive means anomalous. Anomalies that
-    touch, corners included, form one numbered cluster with its size; other cells have -1
-    and 0. Adjacency uses the true grid indices.
+    A missing input counts as the median, a cell without any input has no score. Scores are relative to their
+    ``1 - contamination`` quantile, so anomalies are positive. Anomalous neighbours, corners included, form clusters
+    within one ``scene`` (a date, say), which have a number and a size; all other cells have -1 and 0. Grid indices
+    must be unique within a scene.
     """
     cols = usable_features(cells, features, DEFAULT_FEATURES)
-    cells = materialize(cells, "cells")  # read once per step below
-    usable = F.lit(False)
-    for c in cols:
-        usable = usable | F.col(c).isNotNull()
-    n_cells, n_valid = cells.agg(F.count(F.lit(1)), F.count_if(usable)).first()
-    if n_valid < 10:
-        raise ValueError("at least ten cells with anomaly inputs are required")
-
-    scale = RobustScale.fit(cells.where(usable), cols)
+    key = [*scene, "row", "col"]
+    stored = materialize(cells.withColumn("_scored", F.coalesce(*[F.col(c).cast("double") for c in cols]).isNotNull()), "cells")
+    totals = stored.agg(F.count(F.lit(1)).alias("all"), F.count_if("_scored").alias("scored")).first()
+    if totals["scored"] < 10:
+        raise ValueError("a forest needs ten cells or more with an input")
+    if not stored.groupBy(*key).count().where("count > 1").isEmpty():
+        raise ValueError(f"cells repeat within {key}: name the columns that tell scenes apart")
+
+    basis = stored.where("_scored")
+    scale = RobustScale.fit(basis, cols)
     scaled = [f"_s_{c}" for c in cols]
-    ready = scale.apply(cells.where(usable)).select(*key, *scaled)
-    size = min(SAMPLE_ROWS, n_valid)
-    sample = _draw(ready, F.concat_ws(",", *key), n_valid, n_trees, seed)
-    nodes = grow_trees(sample, scaled, size, seed)
+    ready = scale.apply(basis).select(*key, *scaled)
+    size = min(SAMPLE_ROWS, totals["scored"])
+    nodes = grow_trees(_draw(ready, F.concat_ws(",", *key), totals["scored"], n_trees, seed), scaled, size, seed)
     raw = materialize(anomaly_score(ready, scaled, nodes, size, n_trees, "_raw").select(*key, "_raw"), "isolation")
     cut = exact_quantiles(raw, ["_raw"], [1.0 - contamination])["_raw"][0]
-    flagged = raw.withColumns(
-        {"isolation_score": F.col("_raw") - F.lit(cut), "isolation_anomaly": F.col("_raw") > F.lit(cut)}
-    ).drop("_raw")
-    grouped = materialize(cluster_cells(flagged, "isolation_anomaly", connectivity=8), "anomalies")
-    ids = grouped.groupBy("cluster_row", "cluster_col").agg(F.first("cluster_size").alias("cluster_size"))
-    # numbered in (row, col) order: inside a grid row, then shifted by the counts of the rows above
-    above = Window.orderBy("cluster_row").rowsBetween(Window.unboundedPreceding, -1)
-    shift = ids.groupBy("cluster_row").agg(F.count(F.lit(1)).alias("_k")).select(
-        "cluster_row", F.coalesce(F.sum("_k").over(above), F.lit(0)).alias("_above")
-    )
-    in_row = F.row_number().over(Window.partitionBy("cluster_row").orderBy("cluster_col"))
-    numbered = ids.withColumn("_n", in_row).join(shift, "cluster_row").withColumn(
-        "isolation_cluster_id", (F.col("_n") + F.col("_above") - 1).cast("bigint")
-    )
-    members = grouped.drop("cluster_size").join(numbered, ["cluster_row", "cluster_col"]).select(
-        "row", "col", "isolation_cluster_id", F.col("cluster_size").alias("isolation_cluster_size")
-    )
-    result = (
-        cells.join(flagged, list(key), "left").join(members, ["row", "col"], "left")
-        .withColumns(
-            {
-                "isolation_anomaly": F.coalesce("isolation_anomaly", F.lit(False)),
-                "isolation_cluster_id": F.coalesce("isolation_cluster_id", F.lit(-1)).cast("bigint"),
-                "isolation_cluster_size": F.coalesce("isolation_cluster_size", F.lit(0)).cast("bigint"),
-            }
-        )
-    )
-    n_anomalies, n_clusters = grouped.agg(F.count(F.lit(1)), F.count_distinct("cluster_row", "cluster_col")).first()
-    metadata = {
+    relative = F.col("_raw") - F.lit(cut)
+    flagged = raw.select(*key, relative.alias("isolation_score"), (relative > 0).alias("isolation_anomaly"))
+    grouped = materialize(cluster_cells(flagged, "isolation_anomaly", connectivity=8, scene=scene), "anomalies")
+    numbered = number_clusters(grouped, scene)
+    members = grouped.join(numbered, [*scene, "cluster_row", "cluster_col"]).select(*key, "isolation_cluster_id", "isolation_cluster_size")
+    absent = {"isolation_anomaly": F.lit(False), "isolation_cluster_id": F.lit(-1).cast("bigint"), "isolation_cluster_size": F.lit(0).cast("bigint")}
+    result = stored.drop("_scored").join(flagged, key, "left").join(members, key, "left")
+    result = result.withColumns({c: F.coalesce(F.col(c).cast(dict(result.dtypes)[c]), default) for c, default in absent.items()})
+    found = grouped.agg(F.count(F.lit(1)).alias("n_anomalies"), F.count_distinct(*scene, "cluster_row", "cluster_col").alias("n_clusters")).first()
+    return result, describe_forest(cols, contamination, n_trees, totals, found)
+
+
+def describe_forest(columns: Sequence[str], contamination: float, n_trees: int, totals, found) -> dict:
+    """The run as a document."""
+    return {
+        "n_cells": totals["all"],
+        "n_valid_cells": totals["scored"],
+        **found.asDict(),
         "method": "IsolationForest",
-        "feature_cols": cols,
-        "contamination": float(contamination),
-        "n_estimators": int(n_trees),
-        "n_cells": int(n_cells),
-        "n_valid_cells": int(n_valid),
-        "n_anomalies": int(n_anomalies),
-        "n_clusters": int(n_clusters),
-        "score_definition": "isolation score minus its contamination cut-off; larger means more anomalous",
+        "n_estimators": n_trees,
+        "contamination": contamination,
+        "feature_cols": list(columns),
+        "score_definition": "depth-based score less its cut-off; above zero is anomalous",
     }
-    return result, metadata

@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazegrid import constants as K
@@ -30,33 +27,49 @@ def usable_features(df: DataFrame, wanted: Sequence[str] | None, default: Sequen
     return cols
 
 
-def _exact_silhouette(labelled: DataFrame, rows: int) -> float | None:
-    """Mean Euclidean silhouette over all pairs; only called for at most ``rows`` rows."""
-    local = labelled.select(vector_to_array("_x").alias("x"), "_cluster").limit(rows).toPandas()
-    points, groups = np.stack(local["x"].to_list()), local["_cluster"].to_numpy()
-    ids, sizes = np.unique(groups, return_counts=True)
-    if len(ids) < 2:
-        return None
-    shared = labelled.sparkSession.sparkContext.broadcast((points, groups, ids, sizes))
-
-    @F.pandas_udf("double")
-    def per_row(x: pd.Series, own: pd.Series) -> pd.Series:
-        pts, grp, names, count = shared.value
-        q = np.stack(x.to_list())
-        d = np.sqrt(np.maximum(((q[:, None, :] - pts[None, :, :]) ** 2).sum(axis=2), 0.0))
-        sums = np.stack([d[:, grp == g].sum(axis=1) for g in names], axis=1)
-        at = np.searchsorted(names, own.to_numpy())
-        r = np.arange(len(q))
-        n_own = count[at]
-        a = sums[r, at] / np.maximum(n_own - 1, 1)
-        means = sums / count
-        means[r, at] = np.inf
-        b = means.min(axis=1)
-        s = (b - a) / np.maximum(np.maximum(a, b), 1e-300)
-        return pd.Series(np.where(n_own > 1, s, 0.0))
-
-    # small Arrow batches keep the pairwise block of one batch small
-    return labelled.select(vector_to_array("_x").alias("x"), "_cluster").agg(F.avg(per_row("x", "_cluster"))).first()[0]
+def complete(columns: Sequence[str]) -> Column:
+    """True where no column is NULL or NaN."""
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in columns])
+
+
+def silhouettes(points: DataFrame, counts: Sequence[int], seed: int = 0, n_init: int = 4, parallel: int = 4) -> DataFrame:
+    """``k, cost, silhouette`` and the seed of the best of ``n_init`` runs for each count of clusters.
+
+    ``points`` has a vector ``_x``. The silhouette is the one of squared Euclidean distances, which takes one pass over
+    the points; it is NULL where fewer than two clusters were found.
+    """
+
+    def run(job: tuple[int, int]) -> tuple[int, int, float, float | None]:
+        model = KMeans(k=job[0], seed=job[1], featuresCol="_x", predictionCol="_cluster", maxIter=100).fit(points)
+        found = model.transform(points)
+        value = ClusteringEvaluator(featuresCol="_x", predictionCol="_cluster").evaluate(found) if model.summary.k > 1 and found.select("_cluster").distinct().count() > 1 else None
+        return *job, float(model.summary.trainingCost), value
+
+    # runs are independent jobs over one stored table; a few may share the cluster
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        rows = list(pool.map(run, [(k, seed + i) for k in counts for i in range(n_init)]))
+    every = points.sparkSession.createDataFrame(rows, "k int, seed int, cost double, silhouette double")
+    return every.groupBy("k").agg(F.min(F.struct("cost", "seed", "silhouette")).alias("best")).select("k", "best.*")
+
+
+def label_zones(cells: DataFrame, cluster: str, order_by: str, labels: Sequence[str]) -> DataFrame:
+    """Cells with ``zone_id, zone_label, zone_score`` instead of their cluster number.
+
+    Zones count from 0 by rising mean of ``order_by`` (ties by cluster number); the score is the distance from the
+    zone's mean. A cell without cluster keeps NULL.
+    """
+    means = cells.where(F.col(cluster).isNotNull()).groupBy(cluster).agg(F.avg(order_by).alias("_mean"))
+    # one row per cluster
+    rising = Window.orderBy(F.asc_nulls_last("_mean"), cluster)
+    zones = means.withColumn("zone_id", (F.row_number().over(rising) - 1).cast("int"))
+    zones = zones.withColumn("zone_label", F.get(F.array(*[F.lit(x) for x in labels]), F.col("zone_id")))
+    joined = cells.join(zones, cluster, "left")
+    return joined.withColumn("zone_score", F.col(order_by) - F.col("_mean")).drop(cluster, "_mean")
+
+
+def zone_table(zoned: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``zone_id, zone_label, n_cells`` and the mean of each feature: the centre of the zone."""
+    return zoned.where(F.col("zone_id").isNotNull()).groupBy("zone_id", "zone_label").agg(F.count(F.lit(1)).alias("n_cells"), *[F.avg(c).alias(c) for c in features])
 
 
 def fit_zones(
@@ -64,97 +77,54 @@ def fit_zones(
     features: Sequence[str] | None = None,
     k_range: Sequence[int] = (3, 4, 5),
     seed: int = 0,
-    n_init: int = 20,
-    exact_rows: int = 5000,
+    n_init: int = 4,
     parallel: int = 4,
 ) -> tuple[DataFrame, dict]:
     """(cells with zone columns, metadata).
 
-    Zones are numbered by rising mean AQI (else by the first feature). Cells with a missing
-    feature keep NULL zone columns. Up to ``exact_rows`` cells the silhouette is the exact
-    Euclidean one; beyond, the linear-time squared form of Spark ML picks the count. Equal
-    scores favour the smaller count.
+    Zones are numbered by rising mean AQI (else by the first feature). Cells with a missing feature keep NULL zone
+    columns. The count with the best silhouette is taken, the smaller one if two agree.
     """
     cols = usable_features(cells, features, DEFAULT_FEATURES)
-    cells = materialize(cells, "cells")  # read once per step below
-    whole = F.lit(True)
-    for c in cols:
-        whole = whole & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
-    clean = cells.where(whole)
-    n_cells, n_clean = cells.count(), clean.count()
-    if n_clean < 4:
-        raise ValueError("at least four complete cells are required")
-    candidates = sorted({int(k) for k in k_range if 2 <= int(k) < n_clean})
-    if not candidates:
-        raise ValueError("no feasible zone count")
-
-    scale = RobustScale.fit(clean, cols)
+    stored = materialize(cells.withColumn("_whole", complete(cols)), "cells")
+    sizes = stored.agg(F.count(F.lit(1)).alias("all"), F.count_if("_whole").alias("whole")).first()
+    if sizes["whole"] < 4:
+        raise ValueError("zones need four cells or more with all features")
+    counts = sorted({int(k) for k in k_range if 1 < int(k) < sizes["whole"]})
+    if not counts:
+        raise ValueError("k_range has no count below the number of cells")
+
+    scale = RobustScale.fit(stored.where("_whole"), cols)
     assembler = VectorAssembler(inputCols=[f"_s_{c}" for c in cols], outputCol="_x")
-    # few, well-filled partitions: every iteration is one job over them
-    ready = assembler.transform(scale.apply(clean)).select("_x").coalesce(math.ceil(n_clean / 50_000)).persist()
-    scores: dict[str, float | None] = {}
-    fitted = {}
-
-    def run(job: tuple[int, int]):
-        return KMeans(k=job[0], seed=seed + job[1], featuresCol="_x", predictionCol="_cluster", maxIter=100).fit(ready)
-
-    jobs = [(k, i) for k in candidates for i in range(n_init)]
-    # restarts are independent jobs on the same cached table; a few may share the cluster
-    with ThreadPoolExecutor(max_workers=parallel) as pool:
-        done = list(zip(jobs, pool.map(run, jobs), strict=True))
-    for k in candidates:
-        model = min((m for (kk, _), m in done if kk == k), key=lambda m: m.summary.trainingCost)
-        labelled = model.transform(ready)
-        if n_clean <= exact_rows:
-            value = _exact_silhouette(labelled, exact_rows)
-        elif model.summary.k < 2:
-            value = None
-        else:
-            value = ClusteringEvaluator(featuresCol="_x", predictionCol="_cluster").evaluate(labelled)
-        scores[str(k)], fitted[k] = value, model
-    ready.unpersist()
-
-    best = max(candidates, key=lambda k: (scores[str(k)] if scores[str(k)] is not None else float("-inf"), -k))
-    model, names = fitted[best], K.ZONE_LABELS.get(best, tuple(f"Zone {i + 1}" for i in range(best)))
-    order_col = "aqi" if "aqi" in cells.columns else cols[0]
-    scored = materialize(
-        model.transform(assembler.transform(scale.apply(cells, "_s_"))).withColumn("_zone", F.when(whole, F.col("_cluster")))
-        .select(*cells.columns, "_zone"),
-        "zones",
-    )
-    means = {r["_zone"]: r for r in scored.where(F.col("_zone").isNotNull()).groupBy("_zone").agg(F.avg(order_col).alias("m"), F.count(F.lit(1)).alias("n")).collect()}
-    ordered = sorted(means, key=lambda z: (means[z]["m"] is None, means[z]["m"], z))
-    rank = F.create_map(*[F.lit(x) for pos, z in enumerate(ordered) for x in (z, pos)])
-    mean = F.create_map(*[x for z in ordered for x in (F.lit(z), F.lit(means[z]["m"]).cast("double"))])
-    labels = F.array(*[F.lit(n) for n in names])
-    zone = F.when(F.col("_zone").isNotNull(), F.try_element_at(rank, F.col("_zone")))
-    result = scored.withColumns(
-        {
-            "zone_id": zone,
-            "zone_label": F.when(zone.isNotNull(), F.get(labels, zone)),
-            "zone_score": F.when(zone.isNotNull(), F.col(order_col) - F.try_element_at(mean, F.col("_zone"))),
-        }
-    ).drop("_zone")
-    centres = model.clusterCenters()
-    metadata = {
+    vectors = materialize(assembler.transform(scale.apply(stored.where("_whole"), "_s_")).select(*cells.columns, "_x"), "vectors")
+    points = vectors.select("_x").persist()
+    scores = silhouettes(points, counts, seed, n_init, parallel)
+    tried = scores.orderBy(F.desc_nulls_last("silhouette"), "k").collect()
+    chosen = tried[0]
+    model = KMeans(k=chosen["k"], seed=chosen["seed"], featuresCol="_x", predictionCol="_zone", maxIter=100).fit(points)
+    points.unpersist()
+    clustered = model.transform(vectors).drop("_x").unionByName(stored.where(~F.col("_whole")).drop("_whole"), allowMissingColumns=True)
+
+    names = list(K.ZONE_LABELS.get(chosen["k"], [f"Zone {i + 1}" for i in range(chosen["k"])]))
+    zoned = materialize(label_zones(clustered, "_zone", "aqi" if "aqi" in cells.columns else cols[0], names), "zones")
+    return zoned, describe_zones(zoned, cols, names, {str(r["k"]): r["silhouette"] for r in sorted(tried, key=lambda r: r["k"])}, chosen["k"], sizes["all"])
+
+
+def describe_zones(zoned: DataFrame, features: Sequence[str], labels: Sequence[str], scores: dict[str, float | None], k: int, n_cells: int) -> dict:
+    """The zones as a document; its size is that of the zone table, one entry per zone."""
+    table = zone_table(zoned, features).orderBy("zone_id").collect()
+    centres = [{key: r[key] for key in ("zone_id", "zone_label", *features)} for r in table]
+    return {
         "method": "KMeans",
-        "selected_k": best,
+        "feature_cols": list(features),
+        "n_cells": int(n_cells),
+        "n_clustered_cells": sum(r["n_cells"] for r in table),
         "candidate_silhouette": scores,
-        "feature_cols": cols,
-        "n_cells": n_cells,
-        "n_clustered_cells": n_clean,
-        "zone_labels": list(names),
-        "cluster_centres": [
-            {
-                "zone_id": pos,
-                "zone_label": names[pos],
-                **{c: float(centres[z][i] * scale.spread[i] + scale.centre[i]) for i, c in enumerate(cols)},
-            }
-            for pos, z in enumerate(ordered)
-        ],
-        "zone_counts": {str(pos): int(means[z]["n"]) for pos, z in enumerate(ordered)},
+        "selected_k": int(k),
+        "zone_labels": list(labels),
+        "zone_counts": {str(r["zone_id"]): r["n_cells"] for r in table},
+        "cluster_centres": centres,
     }
-    return result, metadata
 
 
 def zone_metadata_rows(spark, metadata: dict) -> DataFrame:

@@ -89,16 +89,15 @@ def index_frames(predicted: DataFrame, frames: DataFrame, inside: DataFrame | No
     )
 
 
-def frames_json(cells: DataFrame, part_cells: int = 200_000) -> DataFrame:
-    """One compact JSON object per frame part: date, key and cell arrays.
+def frames_json(cells: DataFrame, tile_degrees: float = 2.0) -> DataFrame:
+    """One compact JSON object per date and square of ``tile_degrees``: date, key and cell arrays.
 
-    A frame is cut into parts by hash so that no row collects an unbounded frame; one part
-    holds a whole frame while frames are small.
+    The squares lie fixed on the globe, so a frame of any size is cut alike and a document holds one square.
     """
-    sizes = cells.groupBy("date").agg(F.ceil(F.count(F.lit(1)) / F.lit(part_cells)).alias("_parts"))
-    parted = cells.join(sizes, "date").withColumn("part", F.pmod(F.xxhash64("lon", "lat"), F.col("_parts")).cast("int"))
+    tile = {f"tile_{c}": F.floor(F.col(c) / F.lit(tile_degrees)).cast("int") for c in ("lon", "lat")}
+    parted = cells.withColumns(tile)
     entry = F.array(F.col("lon"), F.col("lat"), F.col("aqi").cast("double"), F.col("rapi").cast("double"))
-    return parted.groupBy("date", "part").agg(
+    return parted.groupBy("date", "tile_lon", "tile_lat").agg(
         F.to_json(
             F.struct(
                 F.first(F.col("date").cast("string")).alias("date"),
@@ -130,7 +129,7 @@ def tidy_numbers(df: DataFrame, digits: Mapping[str, int]) -> DataFrame:
     return df.withColumns({c: F.round(finite(F.col(c)), d) for c, d in digits.items()})
 
 
-def fire_sample(fires: DataFrame, limit: int = 1400, seed: int = 0, key: str = "fire_id") -> DataFrame:
+def fire_sample(fires: DataFrame, limit: int, seed: int = 0, key: str = "fire_id") -> DataFrame:
     """Repeatable sample of at most ``limit`` fires for display: the smallest seeded hashes."""
     return fires.orderBy(portable_hash(F.col(key), str(seed), 15), key).limit(limit)
 
@@ -171,12 +170,21 @@ def run_summary(training: DataFrame, features: Sequence[str], variable: str = "a
     )
 
 
-def metrics_json(metrics: DataFrame, name_col: str = "target") -> DataFrame:
-    """Long metrics -> one nested JSON document. One row per target, so the document is small."""
+def metrics_json(metrics: DataFrame, name_col: str = "target", scheme_col: str | None = None) -> DataFrame:
+    """Long metrics -> one nested JSON document. One row per target (and scheme), so the document is small.
+
+    With ``scheme_col`` a target has its ``n``, its ``stations`` (where there is such a column) and ``schemes``: the
+    other metrics by scheme.
+    """
+    if scheme_col:
+        shared = [c for c in ("n", "stations") if c in metrics.columns]
+        own = F.struct(*[c for c in metrics.columns if c not in (name_col, scheme_col, *shared)])
+        schemes = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(scheme_col), own))))
+        metrics = metrics.groupBy(name_col).agg(*[F.max(c).alias(c) for c in shared], schemes.alias("schemes"))
     values = [c for c in metrics.columns if c != name_col]
-    return metrics.agg(
-        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(name_col), F.struct(*values)))))).alias("json")
-    )
+    by_name = lambda a, b: F.when(a[name_col] < b[name_col], -1).when(a[name_col] > b[name_col], 1).otherwise(0)
+    entries = F.array_sort(F.collect_list(F.struct(F.col(name_col), F.struct(*values))), by_name)
+    return metrics.agg(F.to_json(F.map_from_entries(entries)).alias("json"))
 
 
 # --- dossier -------------------------------------------------------------------------------

@@ -103,12 +103,15 @@ def cover_fractions(fine: DataFrame, factor: int, class_col: str = "land_class",
     return coarse.groupBy(F.col("_r").alias("row"), F.col("_c").alias("col")).agg(*shares)
 
 
-def terrain(cells: DataFrame, elevation: str = "elevation", scene: Sequence[str] = ()) -> DataFrame:
-    """Slope and aspect of a dense elevation grid from finite differences.
+METRES_PER_DEGREE = 111_320.0
 
-    Central differences inside, one-sided at the rim, in grid steps. Slope is the sum of the
-    absolute gradients, aspect the angle of (down-row, along-row) gradients in [0, 360).
-    Each window holds one grid row or one grid column.
+
+def terrain(cells: DataFrame, elevation: str = "elevation", spacing: float = 0.01, lat: str = "lat", scene: Sequence[str] = ()) -> DataFrame:
+    """Slope and aspect of a dense elevation grid (metres) in degrees.
+
+    Central differences inside, one-sided at the rim, over the ground distance of ``spacing`` degrees; a column of the
+    grid is narrower by the cosine of its latitude. Slope is the angle of the steepest gradient, aspect the angle of
+    the (down-row, along-row) gradients in [0, 360). Each window holds one grid row or one grid column.
     """
 
     def gradient(part: str, order: str) -> Column:
@@ -123,10 +126,11 @@ def terrain(cells: DataFrame, elevation: str = "elevation", scene: Sequence[str]
             .when(adjacent_behind, here - down)
         )
 
-    graded = cells.withColumn("_down", gradient("col", "row")).withColumn("_along", gradient("row", "col"))
+    ground = F.lit(spacing * METRES_PER_DEGREE)
+    graded = cells.withColumn("_down", gradient("col", "row") / ground).withColumn("_along", gradient("row", "col") / (ground * F.cos(F.radians(F.col(lat)))))
     return graded.withColumns(
         {
-            "slope": F.abs("_down") + F.abs("_along"),
+            "slope": F.degrees(F.atan(F.hypot("_down", "_along"))),
             "aspect": F.pmod(F.degrees(F.atan2(F.col("_down"), F.col("_along"))), F.lit(360.0)),
         }
     ).drop("_down", "_along")

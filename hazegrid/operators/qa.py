@@ -8,23 +8,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazegrid import constants as K
-from hazegrid.operators.ranking import exact_quantiles
 
 
 def plausible_units(df: DataFrame, ranges: Mapping[str, tuple[float, float]] | None = None) -> dict[str, bool]:
     """For each gas column present: does its typical magnitude fit the configured range?
 
     The median magnitude may exceed the range by a factor of 100 before the column is taken
-    to be in other units. A column that is empty or has median zero counts as plausible.
+    to be in other units. An empty column counts as plausible.
     """
     limits = ranges or K.VALID_RANGES
     gases = [c for c in K.GAS_COLUMNS if c in df.columns and c in limits]
-    medians = exact_quantiles(df, {c: F.abs(F.col(c)) for c in gases}, [0.5])
-    verdict = {}
-    for c in gases:
-        med, scale = medians[c][0], max(abs(v) for v in limits[c])
-        verdict[c] = med is None or med == 0.0 or med <= scale * K.UNIT_TOLERANCE
-    return verdict
+    return _plausibility(df, {c: limits[c] for c in gases}).first()["fits"].asDict() if gases else {}
+
+
+def _plausibility(df: DataFrame, limits: Mapping[str, tuple[float, float]]) -> DataFrame:
+    """One row: a struct ``fits`` with a flag per column, from one pass without any order statistic.
+
+    The median does not exceed the bound if more than half of the magnitudes do not. If exactly half do not, it is the
+    mean of the largest of them and the smallest of the others.
+    """
+    flags = []
+    for c, ends in limits.items():
+        size, bound = F.abs(F.col(c).cast("double")), F.lit(max(abs(v) for v in ends) * K.UNIT_TOLERANCE)
+        n, low = F.count(size), F.count_if(size <= bound)
+        middle = (F.max(F.when(size <= bound, size)) + F.min(F.when(size > bound, size))) / 2.0
+        fits = F.when(n == 0, True).when(2 * low == n, middle <= bound).otherwise(2 * low > n)
+        flags.append(fits.alias(c))
+    return df.agg(F.struct(*flags).alias("fits"))
 
 
 def clip_to_range(df: DataFrame, ranges: Mapping[str, tuple[float, float]] | None = None) -> DataFrame:
@@ -34,16 +44,20 @@ def clip_to_range(df: DataFrame, ranges: Mapping[str, tuple[float, float]] | Non
     range itself is non-negative.
     """
     limits = ranges or K.VALID_RANGES
-    fits = plausible_units(df, limits)
+    gases = {c: limits[c] for c in K.GAS_COLUMNS if c in df.columns and c in limits}
+    # a scalar subquery: nothing runs before the caller's action
+    fits = _plausibility(df, gases).scalar() if gases else None
     screened = {}
     for c, (lo, hi) in limits.items():
         if c not in df.columns:
             continue
         v = F.col(c)
-        if fits.get(c, True):
-            screened[c] = F.when(v.between(lo, hi), v)
-        elif lo >= 0.0:
-            screened[c] = F.when(v >= lo, v)
+        inside = F.when(v.between(lo, hi), v)
+        if c in gases:
+            other = F.when(v >= lo, v) if lo >= 0.0 else v
+            screened[c] = F.when(fits.getField(c), inside).otherwise(other)
+        else:
+            screened[c] = inside
     return df.withColumns(screened) if screened else df
 
 

@@ -118,22 +118,23 @@ def _(t: Tables):
 
 @query(
     "px_10_terrain",
-    """WITH e AS (SELECT CAST(floor(p_partkey / 50) AS INT) AS row, CAST(p_partkey % 50 AS INT) AS col, p_retailprice AS z FROM part),
-    g AS (SELECT row, col, z, lag(z) OVER r AS zl, lead(z) OVER r AS zr, lag(z) OVER c AS zu, lead(z) OVER c AS zd,
+    """WITH e AS (SELECT CAST(floor(p_partkey / 50) AS INT) AS row, CAST(p_partkey % 50 AS INT) AS col, p_retailprice AS z, 8e0 + floor(p_partkey / 50) % 2900 * 1e-2 AS lat FROM part),
+    g AS (SELECT row, col, z, lat, lag(z) OVER r AS zl, lead(z) OVER r AS zr, lag(z) OVER c AS zu, lead(z) OVER c AS zd,
           lag(col) OVER r AS cl, lead(col) OVER r AS cr, lag(row) OVER c AS ru, lead(row) OVER c AS rd
           FROM e WINDOW r AS (PARTITION BY row ORDER BY col), c AS (PARTITION BY col ORDER BY row)),
-    d AS (SELECT row, col,
+    h AS (SELECT row, col, lat,
           CASE WHEN cl IS NOT NULL AND cr IS NOT NULL THEN (zr - zl) / 2e0 WHEN cr IS NOT NULL THEN zr - z WHEN cl IS NOT NULL THEN z - zl END AS along,
-          CASE WHEN ru IS NOT NULL AND rd IS NOT NULL THEN (zd - zu) / 2e0 WHEN rd IS NOT NULL THEN zd - z WHEN ru IS NOT NULL THEN z - zu END AS down FROM g)
-    SELECT row, col, round(abs(down) + abs(along), 4) AS slope, round(CASE WHEN degrees(atan2(down, along)) < 0 THEN degrees(atan2(down, along)) + 360e0
+          CASE WHEN ru IS NOT NULL AND rd IS NOT NULL THEN (zd - zu) / 2e0 WHEN rd IS NOT NULL THEN zd - z WHEN ru IS NOT NULL THEN z - zu END AS down FROM g),
+    d AS (SELECT row, col, along / (1e-2 * 111320e0 * cos(radians(lat))) AS along, down / (1e-2 * 111320e0) AS down FROM h)
+    SELECT row, col, round(degrees(atan(sqrt(down * down + along * along))), 4) AS slope, round(CASE WHEN degrees(atan2(down, along)) < 0 THEN degrees(atan2(down, along)) + 360e0
     ELSE degrees(atan2(down, along)) END, 4) AS aspect FROM d""",
 )
 def _(t: Tables):
     dem = t.table("part").select(
         F.floor(F.col("p_partkey") / 50).cast("int").alias("row"), (F.col("p_partkey") % 50).cast("int").alias("col"),
-        F.col("p_retailprice").alias("elevation"),
+        F.col("p_retailprice").alias("elevation"), (F.lit(8.0) + F.floor(F.col("p_partkey") / 50) % 2900 * 0.01).alias("lat"),
     )
-    return rounded(pixels.terrain(dem).drop("elevation"), 4, "slope", "aspect")
+    return rounded(pixels.terrain(dem).drop("elevation", "lat"), 4, "slope", "aspect")
 
 
 @query(

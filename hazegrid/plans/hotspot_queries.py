@@ -145,7 +145,7 @@ def _(t: Tables):
 
 @query("hs_11_isolation_forest")
 def _(t: Tables):
-    out, _meta = isolation_hotspots(t.scene(), ["hcho", "no2", "co", "frp_mean"], n_trees=100)
+    out, _meta = isolation_hotspots(t.scene(), ["hcho", "no2", "co", "frp_mean"])
     return out.select("row", "col", "isolation_score", "isolation_anomaly", "isolation_cluster_id", "isolation_cluster_size")
 
 
@@ -185,20 +185,42 @@ def _zone_cells(t: Tables):
 
 @query("hs_14_pollution_zones")
 def _(t: Tables):
-    out, meta = zones.fit_zones(_zone_cells(t), ["aqi", "hcho", "no2", "co"], n_init=2)
+    out, meta = zones.fit_zones(_zone_cells(t), ["aqi", "hcho", "no2", "co"])
     rows = [(int(k), v, int(k) == meta["selected_k"]) for k, v in meta["candidate_silhouette"].items()]
     return t.spark.createDataFrame(rows, "k int, silhouette double, selected boolean")
 
 
-@query("hs_15_zone_labels")
+_GIVEN = """, cl AS (SELECT row, col, lon, lat, no2 * 8e0 AS aqi, hcho, no2, co, CASE WHEN no2 IS NOT NULL THEN row % 4 END AS g FROM scene),
+    zm AS (SELECT g, avg(aqi) AS m, count(*) AS n FROM cl WHERE g IS NOT NULL GROUP BY 1),
+    zn AS (SELECT *, CAST(row_number() OVER (ORDER BY m NULLS LAST, g) - 1 AS INT) AS zone_id FROM zm),
+    zl AS (SELECT cl.*, zone_id, [""" + ", ".join(f"'{x}'" for x in K.ZONE_LABELS[4]) + """][zone_id + 1] AS zone_label, aqi - m AS zone_score FROM cl LEFT JOIN zn USING (g))"""
+
+
+def _given_zones(t: Tables):
+    """Cells labelled by given clusters instead of fitted ones, which SQL can follow."""
+    cells = _zone_cells(t).withColumn("g", F.when(F.col("no2").isNotNull(), F.col("row") % 4))
+    return zones.label_zones(cells, "g", "aqi", K.ZONE_LABELS[4])
+
+
+@query("hs_15_zone_labels", _GIVEN + " SELECT row, col, zone_id, zone_label, round(zone_score, 4) AS zone_score FROM zl", ["scene"])
+def _(t: Tables):
+    return rounded(_given_zones(t).select("row", "col", "zone_id", "zone_label", "zone_score"), 4, "zone_score")
+
+
+@query(
+    "hs_16_zone_metadata",
+    _GIVEN + """ SELECT zone_id, zone_label, count(*) AS n_cells, round(avg(aqi), 4) AS aqi, round(avg(hcho), 2) AS hcho, round(avg(no2), 4) AS no2, round(avg(co), 5) AS co
+    FROM zl WHERE zone_id IS NOT NULL GROUP BY 1, 2""",
+    ["scene"],
+)
 def _(t: Tables):
-    out, _meta = zones.fit_zones(_zone_cells(t), ["aqi", "hcho", "no2", "co"], k_range=(4,), n_init=2)
-    return out.select("row", "col", "zone_id", "zone_label", "zone_score")
+    table = zones.zone_table(_given_zones(t), ["aqi", "hcho", "no2", "co"])
+    return rounded(rounded(rounded(table, 4, "aqi", "no2"), 2, "hcho"), 5, "co")
 
 
-@query("hs_16_zone_metadata")
+@query("hs_16_fitted_zones")
 def _(t: Tables):
-    _out, meta = zones.fit_zones(_zone_cells(t), ["aqi", "hcho", "no2", "co"], k_range=(4,), n_init=2)
+    _out, meta = zones.fit_zones(_zone_cells(t), ["aqi", "hcho", "no2", "co"])
     return zones.zone_metadata_rows(t.spark, meta)
 
 
@@ -206,7 +228,20 @@ def _(t: Tables):
 def _(t: Tables):
     flagged = _flagged(t).select("row", "col", "hva")
     cells = _zone_cells(t).join(flagged, ["row", "col"])
-    return analysis.analysis_layers(cells, date="2024-01-01", mask="hva", k_range=(3, 4), n_init=1, n_trees=50)
+    return analysis.analysis_layers(cells, date="2024-01-01", mask="hva")
+
+
+@query(
+    "hs_17_zone_layer",
+    _GIVEN + """ SELECT CAST(zone_id AS BIGINT) AS zone_id, count(*) AS cells, round(sum(round(lon, 3)), 1) AS lon_sum, round(sum(zone_score), 1) AS score_sum, count(hcho) AS with_hcho
+    FROM zl WHERE zone_id IS NOT NULL GROUP BY 1""",
+    ["scene"],
+)
+def _(t: Tables):
+    kinds = "zone_id bigint, lon double, zone_score double, hcho double"
+    cells = analysis.zone_layer(_given_zones(t)).select(F.from_json("json", kinds).alias("j")).select("j.*")
+    sums = [F.count(F.lit(1)).alias("cells"), F.sum("lon").alias("lon_sum"), F.sum("zone_score").alias("score_sum"), F.count("hcho").alias("with_hcho")]
+    return rounded(cells.groupBy("zone_id").agg(*sums), 1, "lon_sum", "score_sum")
 
 
 @query(
@@ -349,7 +384,7 @@ def _(t: Tables):
     ["fires"],
 )
 def _(t: Tables):
-    return layers.fire_sample(t.fires()).select("fire_id")
+    return layers.fire_sample(t.fires(), 1400).select("fire_id")
 
 
 @query(

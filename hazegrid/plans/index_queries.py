@@ -50,11 +50,15 @@ def _(t: Tables):
 _DAILY_OUT = ", ".join(f"round({c}, 4) AS {c}" for c in FIVE)
 
 
-@query("tm_05_daily_values_gate", f", {S.daily('obs12_wide')} SELECT station_id, date, {_DAILY_OUT} FROM daily", ["obs12_long", "obs12_wide"], text=["date"])
+_TWICE = ", twice AS (" + " UNION ALL ".join(f"SELECT station_id, datetime, {', '.join(f'{c} {d} AS {c}' for c in PARAMETERS)} FROM obs12_wide" for d in ("- 0.5e0", "+ 0.5e0")) + ")"
+
+
+@query("tm_05_daily_values_gate", f"{_TWICE}, {S.daily('twice')} SELECT station_id, date, {_DAILY_OUT} FROM daily", ["obs12_long", "obs12_wide"], text=["date"])
 def _(t: Tables):
-    # readings are passed unmerged: repeated instants are merged inside the operator
+    # every instant comes twice, once higher and once lower
     wide = temporal.pivot_measurements(t.obs_long(12), PARAMETERS)
-    return rounded(temporal.daily_values(wide), 4, *FIVE)
+    moved = [wide.withColumns({c: F.col(c) + F.lit(d) for c in PARAMETERS}) for d in (-0.5, 0.5)]
+    return rounded(temporal.daily_values(moved[0].union(moved[1])), 4, *FIVE)
 
 
 @query("tm_05_daily_values_pass_through", f", {S.daily('obs_many_wide')} SELECT station_id, date, {_DAILY_OUT} FROM daily", ["obs_many_long", "obs_many_wide"], text=["date"])

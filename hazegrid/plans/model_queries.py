@@ -331,24 +331,24 @@ def _(t: Tables):
 
 @query(
     "src_03_station_folder",
-    """SELECT CAST(m.station_id AS VARCHAR) AS station_id, datetime, pm25, no2, lat FROM (SELECT user_id % 4 AS station_id, ts AS datetime, CASE WHEN event_type = 'click' THEN value END AS pm25, CASE WHEN event_type = 'error' THEN value END AS no2
-        FROM events WHERE event_type IN ('click', 'error')) m LEFT JOIN stations s ON m.station_id = s.station_id""",
+    """SELECT CAST(m.station_id AS VARCHAR) AS station_id, datetime, pm25, no2, o3, co, pm10, lat FROM (SELECT user_id % 4 AS station_id, ts AS datetime, CASE WHEN event_type = 'click' THEN value END AS pm25, CASE WHEN event_type = 'error' THEN value END AS no2,
+        CASE WHEN event_type = 'view' THEN value END AS o3, CASE WHEN event_type = 'purchase' THEN value END AS co, CASE WHEN event_type = 'signup' THEN value END AS pm10 FROM events) m LEFT JOIN stations s ON m.station_id = s.station_id""",
     ["stations"],
     text=["datetime"],
 )
 def _(t: Tables):
     root = _folder(t, "folder")
     ev = t.table("events").withColumn("station_id", F.col("user_id") % 4)
-    for kind, header in (("click", "PM2.5"), ("error", "NO2")):
+    for kind, header in (("click", "PM2.5"), ("error", "NO2"), ("view", "Ozone"), ("purchase", "CO"), ("signup", "PM10")):
         part = ev.where(F.col("event_type") == kind).select("station_id", F.col("ts").cast("string").alias("datetime"), F.col("value").alias(header))
         part.write.option("header", True).csv(f"{root}/{kind}")
     t.stations().coalesce(1).write.option("header", True).csv(f"{root}/meta_raw")
-    t.fires().limit(5).coalesce(1).write.option("header", True).csv(f"{root}/firms_raw")
+    t.fires().coalesce(1).write.option("header", True).csv(f"{root}/firms_raw")
     _rename_parts(t.spark, f"{root}/meta_raw", f"{root}/station_list.csv")
     _rename_parts(t.spark, f"{root}/firms_raw", f"{root}/FIRMS_points.csv")
     meta, measured = stations.station_folder(t.spark, root)
     out = measured.join(meta.select("station_id", "lat"), "station_id", "left")
-    return out.select("station_id", "datetime", "pm25", "no2", "lat")
+    return out.select("station_id", "datetime", "pm25", "no2", "o3", "co", "pm10", "lat")
 
 
 def _rename_parts(spark, folder: str, target: str) -> None:
@@ -386,6 +386,21 @@ def _(t: Tables):
     return stations.archive_measurements(t.spark, root, 2024, [1], 3)
 
 
+@query(
+    "src_05_whole_archive",
+    "SELECT CAST(user_id % 3 AS VARCHAR) AS location_id, ts AS datetime, event_type AS parameter, value FROM events WHERE year(ts) = 2024 AND month(ts) = 1",
+    text=["datetime"],
+)
+def _(t: Tables):
+    root = _folder(t, "archive")
+    ev = t.table("events").select(
+        (F.col("user_id") % 3).alias("locationid"), F.date_format("ts", "yyyy").alias("year"), F.date_format("ts", "MM").alias("month"),
+        F.col("ts").cast("string").alias("datetime"), F.col("event_type").alias("parameter"), "value",
+    )
+    ev.repartition("locationid", "month").write.partitionBy("locationid", "year", "month").option("header", True).option("compression", "gzip").csv(root)
+    return stations.archive_measurements(t.spark, root, 2024, [1])
+
+
 @query("src_06_column_subset", "SELECT l_orderkey, l_quantity FROM lineitem")
 def _(t: Tables):
     return tables.read_table(t.spark, f"{t.sf_dir}/lineitem.parquet", ["l_orderkey", "l_quantity"])
@@ -468,6 +483,22 @@ def _(t: Tables):
     return doc.select(F.explode(report).alias("target", "s")).select("target", F.col("s.n").cast("string").alias("n"))
 
 
+@query(
+    "snk_04_report_by_scheme",
+    """, p AS (SELECT 'station' AS scheme, pm25 AS t, no2_obs AS p FROM panel UNION ALL SELECT 'gas', pm25, pm10 FROM panel)
+    SELECT scheme, count(*) AS n, round(avg(abs(p - t)), 4) AS mae, round(sqrt(avg((p - t) * (p - t))), 4) AS rmse FROM p WHERE p IS NOT NULL AND t IS NOT NULL GROUP BY 1""",
+    ["panel"],
+)
+def _(t: Tables):
+    path = _folder(t, "schemes")
+    parts = [metrics.score(t.panel(), {"pm25": ("pm25", other)}).withColumn("scheme", F.lit(name)) for name, other in (("station", "no2_obs"), ("gas", "pm10"))]
+    scores = parts[0].unionByName(parts[1]).withColumnRenamed("n", "n_pairs")
+    documents.write_json_lines(layers.metrics_json(scores, scheme_col="scheme"), path)
+    kinds = "map<string, struct<schemes: map<string, struct<rmse: double, mae: double, n_pairs: bigint>>>>"
+    found = t.spark.read.text(path).select(F.explode(F.from_json("value", kinds)).alias("target", "v")).select(F.explode("v.schemes").alias("scheme", "s"))
+    return rounded(found.select("scheme", F.col("s.n_pairs").alias("n"), F.col("s.mae").alias("mae"), F.col("s.rmse").alias("rmse")), 4, "mae", "rmse")
+
+
 @query(
     "snk_05_saved_model",
     f", f AS ({_LINE}) SELECT station_id, date, round(a + b * no2, 4) AS pred_pm25 FROM panel, f",

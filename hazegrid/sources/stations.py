@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -113,10 +112,10 @@ def fire_points(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     )
 
 
-def archive_measurements(spark: SparkSession, root: str, year: int, months: Sequence[int], every: int = 3) -> DataFrame:
+def archive_measurements(spark: SparkSession, root: str, year: int, months: Sequence[int], every: int = 1) -> DataFrame:
     """Long measurements from a gzip archive laid out by location, year and month.
 
-    Every ``every``-th file of each location and year, counted in path order, is read. The
+    All files are read, or every ``every``-th of each location and year, counted in path order. The
     listing is one row per file; the choice is made on it before any file is opened.
     """
     files = list_files(spark, root, "*.csv.gz")
@@ -137,19 +136,10 @@ def archive_measurements(spark: SparkSession, root: str, year: int, months: Sequ
 
 
 # --- layers by file name ----------------------------------------------------------------------
-_PERIOD = r"(\d{4}-\d{2}-\d{2})_\d{4}-\d{2}-\d{2}"
-_ANY_DATE = r"(\d{4})[-_]?(\d{2})[-_]?(\d{2})"
-
-
-def period_label(name: str) -> str | None:
-    """Start date of the period in a file name, or None for a static layer."""
-    m = re.search(_PERIOD, name)
-    return m.group(1) if m else None
-
-
-def any_date(name: str) -> str | None:
-    m = re.search(_ANY_DATE, name)
-    return "-".join(m.groups()) if m else None
+#: A dated layer is named by first and last day, an AOD file by one day with or without separators.
+_DAY = "[0-9]{4}-[0-9]{2}-[0-9]{2}"
+_FIRST_DAY = f"({_DAY})_{_DAY}"
+_LOOSE_DAY = "([0-9]{4})[_-]?([0-9]{2})[_-]?([0-9]{2})"
 
 
 def layer_catalogue(names: DataFrame, name_col: str = "name") -> DataFrame:
@@ -161,10 +151,10 @@ def layer_catalogue(names: DataFrame, name_col: str = "name") -> DataFrame:
     """
     n = F.col(name_col)
     stem = F.regexp_replace(n, r"\.[^.]*$", "")
-    period = F.nullif(F.regexp_extract(n, _PERIOD, 1), F.lit(""))
+    period = F.nullif(F.regexp_extract(n, _FIRST_DAY, 1), F.lit(""))
     loose = F.when(
-        F.regexp_extract(n, _ANY_DATE, 0) != "",
-        F.concat_ws("-", *[F.regexp_extract(n, _ANY_DATE, i) for i in (1, 2, 3)]),
+        F.regexp_extract(n, _LOOSE_DAY, 0) != "",
+        F.concat_ws("-", *[F.regexp_extract(n, _LOOSE_DAY, i) for i in (1, 2, 3)]),
     )
     family = F.coalesce(
         *[
@@ -197,7 +187,8 @@ def layer_cells(spark: SparkSession, root: str) -> DataFrame:
     out = None
     for family in sorted({r["family"] for r in known}):
         paths = [r["path"] for r in known if r["family"] == family]
-        raw = spark.read.parquet(*paths).withColumn("name", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+        # files of one family may hold different bands
+        raw = spark.read.option("mergeSchema", True).parquet(*paths).withColumn("name", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
         tagged = layer_catalogue(raw)
         bands = [c for c in raw.columns if c not in ("row", "col", "name")]
         if bands == ["value"]:
@@ -206,7 +197,7 @@ def layer_cells(spark: SparkSession, root: str) -> DataFrame:
             part = tagged.select(
                 F.col("start_date").alias("date"), "row", "col", "is_static",
                 F.explode(F.array(*[F.struct(F.lit(b).alias("variable"), F.col(b).cast("double").alias("value")) for b in bands])).alias("b"),
-            ).select("date", "b.variable", "row", "col", "b.value", "is_static")
+            ).select("date", "b.variable", "row", "col", "b.value", "is_static").where(F.col("value").isNotNull())
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError(f"no recognised layer files under {root}")

@@ -178,11 +178,11 @@ def test_zones_are_ordered_and_keep_incomplete_rows(spark):
         zones.fit_zones(df.limit(3))
 
 
-def test_exact_silhouette_matches_definition(spark):
+def test_silhouette_matches_definition_at_any_size(spark):
     out, meta = zones.fit_zones(zone_frame(spark), ["aqi"], (2,), n_init=2)
     rows = out.collect()
     x, g = np.array([r["aqi"] for r in rows]), np.array([r["zone_id"] for r in rows])
-    d = np.abs(x[:, None] - x[None])
+    d = (x[:, None] - x[None]) ** 2
     s = []
     for i in range(len(x)):
         same = (g == g[i]) & (np.arange(len(x)) != i)
@@ -213,6 +213,17 @@ def test_isolation_finds_and_groups_the_block(spark):
         isolation.isolation_hotspots(anomaly_frame(spark).limit(5), ["hcho"])
 
 
+def test_isolation_keeps_scenes_apart(spark):
+    one = anomaly_frame(spark)
+    both = one.withColumn("date", F.lit("a")).union(one.withColumn("date", F.lit("b")))
+    out, meta = isolation.isolation_hotspots(both, ["hcho", "no2", "co"], 0.0625, seed=1, n_trees=60, scene=("date",))
+    rows = out.collect()
+    assert len(rows) == 128 and meta["n_clusters"] == 2 and meta["n_anomalies"] == 8
+    assert {(r["date"], r["isolation_cluster_id"], r["isolation_cluster_size"]) for r in rows if r["isolation_anomaly"]} == {("a", 0, 4), ("b", 1, 4)}
+    with pytest.raises(ValueError, match="scenes"):
+        isolation.isolation_hotspots(both, ["hcho", "no2", "co"])
+
+
 def test_isolation_sample_is_bounded(spark):
     df = spark.range(5000).select(F.col("id").cast("int").alias("row"), F.lit(0).alias("col"), F.rand(1).alias("_s_a"))
     drawn = isolation._draw(df, F.concat_ws(",", "row", "col"), 5000, 10, 0)

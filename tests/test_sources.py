@@ -43,35 +43,39 @@ def test_fire_points_fixed_schema(spark, tmp_path):
     assert (r["latitude"], r["frp"], r["confidence"], r["acq_date"], r["daynight"]) == (10.5, 3.5, None, date(2024, 1, 2), "D")
 
 
-def test_archive_reads_every_third_file(spark, tmp_path):
+def test_archive_reads_all_or_every_third_file(spark, tmp_path):
     for loc in (1, 2):
         for day in range(1, 8):
             d = tmp_path / f"locationid={loc}" / "year=2024" / "month=10"
             d.mkdir(parents=True, exist_ok=True)
             with gzip.open(d / f"location-{loc}-202410{day:02d}.csv.gz", "wt") as fh:
                 fh.write(f"location_id,datetime,parameter,value\n{loc},2024-10-{day:02d} 00:00:00,pm25,{day}\n")
-    got = sorted((r["location_id"], r["value"]) for r in stations.archive_measurements(spark, str(tmp_path), 2024, [10, 11]).collect())
+    got = sorted((r["location_id"], r["value"]) for r in stations.archive_measurements(spark, str(tmp_path), 2024, [10, 11], every=3).collect())
+    assert stations.archive_measurements(spark, str(tmp_path), 2024, [10, 11]).count() == 14
     assert got == [(k, v) for k in ("1", "2") for v in (1.0, 4.0, 7.0)]
     assert stations.archive_measurements(spark, str(tmp_path), 2023, [10]).count() == 0
 
 
-def test_layer_names():
-    assert stations.period_label("s5p_no2_2021-10-01_2021-12-31.tif") == "2021-10-01"
-    assert stations.period_label("era5_2021-10-01_2021-12-31.tif") == "2021-10-01"
-    assert stations.period_label("worldcover_fractions.tif") is None and stations.period_label("srtm_terrain.tif") is None
-    assert stations.any_date("3DIMG_20211005.h5") == "2021-10-05"
+def test_layer_names(spark):
+    dates = {"s5p_no2_2021-10-01_2021-12-31.tif": "2021-10-01", "era5_2021-10-01_2021-12-31.tif": "2021-10-01", "worldcover_fractions.tif": None,
+             "srtm_terrain.tif": None, "insat_20211005.h5": "2021-10-05", "insat_2021-10-05.h5": "2021-10-05"}
+    names = spark.createDataFrame([(n,) for n in dates], "name string")
+    assert {r["name"]: r["start_date"] and str(r["start_date"]) for r in stations.layer_catalogue(names).collect()} == dates
 
 
 def test_layer_cells_from_files(spark, tmp_path):
     one = spark.createDataFrame([(0, 0, 1.5)], "row int, col int, value double")
     frp = spark.createDataFrame([(0, 0, 2.0, 3.0, 1.0)], "row int, col int, frp_mean double, frp_max double, fire_count double")
     dem = spark.createDataFrame([(0, 0, 100.0)], "row int, col int, elevation double")
+    # another file of the family has a band of its own
+    spark.createDataFrame([(1, 1, 9.0)], "row int, col int, frp_min double").toPandas().to_parquet(tmp_path / "modis_frp_2022-01-01_2022-03-31.parquet")
     for df, name in ((one, "s5p_no2_2021-10-01_2021-12-31"), (frp, "modis_frp_2021-10-01_2021-12-31"), (dem, "srtm_terrain"), (one, "unknown_thing")):
         df.toPandas().to_parquet(tmp_path / f"{name}.parquet")
     got = {(str(r["date"]), r["variable"]): (r["value"], r["is_static"]) for r in stations.layer_cells(spark, str(tmp_path)).collect()}
     assert got == {
         ("2021-10-01", "no2"): (1.5, False), ("2021-10-01", "frp_mean"): (2.0, False), ("2021-10-01", "frp_max"): (3.0, False),
         ("2021-10-01", "fire_count"): (1.0, False), ("None", "elevation"): (100.0, True),
+        ("2022-01-01", "frp_min"): (9.0, False),
     }
 
 
