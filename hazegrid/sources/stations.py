@@ -115,24 +115,28 @@ def fire_points(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 def archive_measurements(spark: SparkSession, root: str, year: int, months: Sequence[int], every: int = 1) -> DataFrame:
     """Long measurements from a gzip archive laid out by location, year and month.
 
-    All files are read, or every ``every``-th of each location and year, counted in path order. The
-    listing is one row per file; the choice is made on it before any file is opened.
+    Partition folders are pruned by year and month before any file is opened. All files are read, or every
+    ``every``-th of each location and year, counted in path order; the choice is a semi-join on the file's path.
     """
-    files = list_files(spark, root, "*.csv.gz")
-    part = {k: F.regexp_extract("path", rf"/{k}=([^/]+)/", 1) for k in ("locationid", "year", "month")}
-    wanted = files.withColumns(part).where((F.col("year") == str(year)) & F.col("month").cast("int").isin(list(months)))
-    order = Window.partitionBy("locationid").orderBy(F.col("month").cast("int"), "path")
-    chosen = [r["path"] for r in wanted.withColumn("n", F.row_number().over(order)).where((F.col("n") - 1) % every == 0).select("path").collect()]
-    schema = "location_id string, datetime timestamp, parameter string, value double"
-    if not chosen:
-        return spark.createDataFrame([], schema)
-    raw = _csv(spark, chosen)
-    return raw.select(
+    raw = spark.read.option("header", True).option("enforceSchema", False).option("pathGlobFilter", "*.csv.gz").csv(root)
+    there = {c.lower(): c for c in raw.columns}
+    if not {"locationid", "year", "month"} <= set(there):
+        return spark.createDataFrame([], "location_id string, datetime timestamp, parameter string, value double")
+    chosen = raw.where((F.col(there["year"]) == year) & F.col(there["month"]).cast("int").isin(list(months)))
+    rows = chosen.select(
         F.regexp_extract(F.col("_metadata.file_path"), r"/locationid=([^/]+)/", 1).alias("location_id"),
-        F.expr("try_cast(datetime AS timestamp)").alias("datetime"),
-        F.col("parameter"),
-        F.expr("try_cast(value AS double)").alias("value"),
+        F.expr(f"try_cast({there['datetime']} AS timestamp)").alias("datetime"),
+        F.col(there["parameter"]).alias("parameter"),
+        F.expr(f"try_cast({there['value']} AS double)").alias("value"),
+        F.col(there["month"]).cast("int").alias("_month"),
+        F.col("_metadata.file_path").alias("_path"),
     )
+    if every > 1:
+        # one row per file; a location has few in a year
+        order = Window.partitionBy("location_id").orderBy("_month", "_path")
+        files = rows.select("location_id", "_month", "_path").distinct().withColumn("_n", F.row_number().over(order) - 1)
+        rows = rows.join(files.where(F.col("_n") % every == 0).select("_path"), "_path", "left_semi")
+    return rows.select("location_id", "datetime", "parameter", "value")
 
 
 # --- layers by file name ----------------------------------------------------------------------
