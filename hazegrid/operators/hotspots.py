@@ -123,27 +123,39 @@ def local_g(
 def permutation_p(
     cells: DataFrame, value: str = "hcho", spacing: float = 0.05, band: float = 0.05, permutations: int = 99, seed: int = 0
 ) -> DataFrame:
-    """Pseudo p-value of the band sum under seeded random relabelling of the scene.
+    """Pseudo p-value of the band sum when the values of all other cells change places.
 
-    Slots hold one seeded random order of the cells; each permutation holds another, and
-    values move to the slot of the same position, so every value lands exactly once. p is the
-    smaller tail share ``(extreme + 1) / (permutations + 1)``. The cell's own value is
-    relabelled too.
+    Slots hold one seeded random order of the cells; each permutation holds another, and values move to the slot of
+    the same position, so every value lands exactly once. A cell keeps its own value: where that value has landed in
+    its band, the one that has landed on the cell itself stands there instead, which leaves a random order of the
+    others. p is the smaller tail share ``(extreme + 1) / (permutations + 1)``.
     """
     offsets = offsets_within(band / spacing)
     present = cells.where(F.col(value).isNotNull()).select("row", "col", F.col(value).cast("double").alias("_x"))
     rows = present.count()
-    observed = neighbour_aggregate(present, "_x", offsets, {"_obs": F.sum("_v")})
+    marked = present.withColumn("_p", F.struct("_x", F.col("row").alias("r"), F.col("col").alias("c")))
+    here = (F.col("_v.r") == F.col("row")) & (F.col("_v.c") == F.col("col"))
+    observed = neighbour_aggregate(marked, "_p", offsets, {"_obs": F.sum("_v._x"), "_own": F.max(F.when(here, F.col("_v._x")))})
     place, tie = F.concat_ws(",", "row", "col"), ("row", "col")
     slots = shuffled_positions(present.select("row", "col"), place, f"slot{seed}", rows, "_slot", tie=tie)
     runs = present.withColumn("_perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
     key = F.concat_ws(":", F.col("_perm"), place)
-    values = shuffled_positions(runs, key, f"value{seed}", rows, "_slot", ["_perm"], tie).select("_perm", "_slot", "_x")
-    relabelled = values.join(slots, "_slot")
-    simulated = neighbour_aggregate(relabelled, "_x", offsets, {"_sim": F.sum("_v")}, ["_perm"])
+    values = shuffled_positions(runs, key, f"value{seed}", rows, "_slot", ["_perm"], tie)
+    values = values.select("_perm", "_slot", "_x", F.col("row").alias("_from_r"), F.col("col").alias("_from_c"))
+    landed = F.struct("_x", F.col("row").alias("r"), F.col("col").alias("c"), "_from_r", "_from_c")
+    relabelled = values.join(slots, "_slot").withColumn("_p", landed)
+    home = (F.col("_v._from_r") == F.col("row")) & (F.col("_v._from_c") == F.col("col"))
+    parts = {
+        "_others": F.sum(F.when(~here & ~home, F.col("_v._x"))),
+        "_instead": F.max(F.when(here, F.col("_v._x"))),
+        "_back": F.count_if(~here & home),
+    }
+    simulated = neighbour_aggregate(relabelled, "_p", offsets, parts, ["_perm"])
+    zero = F.lit(0.0)
     larger = (
-        simulated.join(observed, ["row", "col"]).groupBy("row", "col")
-        .agg(F.count_if(F.col("_sim") >= F.col("_obs")).alias("_ge"))
+        simulated.join(observed, ["row", "col"])
+        .withColumn("_sim", F.coalesce("_others", zero) + F.when(F.col("_back") > 0, F.coalesce("_instead", zero)).otherwise(zero) + F.coalesce("_own", zero))
+        .groupBy("row", "col").agg(F.count_if(F.col("_sim") >= F.col("_obs") - F.abs("_obs") * 1e-12).alias("_ge"))
     )
     tail = F.least(F.col("_ge"), F.lit(permutations) - F.col("_ge"))
     return cells.join(larger, ["row", "col"], "left").withColumn(

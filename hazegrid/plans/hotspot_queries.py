@@ -75,18 +75,21 @@ def _(t: Tables):
     return rounded(rounded(_gi(t).select("row", "col", "gi_z", "gi_p"), 5, "gi_z"), 6, "gi_p")
 
 
-PERMS = 9
+PERMS = 99
 
 
 @query(
     "hs_06_permutation_p",
     f""", v AS (SELECT row, col, hcho AS x, CAST(row AS VARCHAR) || ',' || CAST(col AS VARCHAR) AS place FROM scene WHERE hcho IS NOT NULL),
     slots AS (SELECT row, col, row_number() OVER (ORDER BY substr(md5('slot0:' || place), 1, 15), row, col) AS slot FROM v),
-    vals AS (SELECT perm, x, row_number() OVER (PARTITION BY perm ORDER BY substr(md5('value0:' || CAST(perm AS VARCHAR) || ':' || place), 1, 15), row, col) AS slot
+    vals AS (SELECT perm, x, row AS fr, col AS fc, row_number() OVER (PARTITION BY perm ORDER BY substr(md5('value0:' || CAST(perm AS VARCHAR) || ':' || place), 1, 15), row, col) AS slot
         FROM v, range(1, {PERMS + 1}) r(perm)),
-    sim AS (SELECT perm, row, col, x FROM vals JOIN slots USING (slot)),
+    sim AS (SELECT perm, row, col, CAST(x AS DECIMAL(24,6)) AS x, fr, fc FROM vals JOIN slots USING (slot)),
     off AS (SELECT dr, dc FROM range(-2, 3) a(dr), range(-2, 3) b(dc) WHERE dr * dr + dc * dc <= 6.25e0),
-    ss AS (SELECT perm, row + dr AS row, col + dc AS col, sum(CAST(x AS DECIMAL(24,6))) AS s FROM sim, off GROUP BY 1, 2, 3),
+    ms AS (SELECT perm, row + dr AS row, col + dc AS col, x, dr = 0 AND dc = 0 AS here, fr = row + dr AND fc = col + dc AS home FROM sim, off),
+    sp AS (SELECT perm, row, col, coalesce(sum(x) FILTER (WHERE NOT here AND NOT home), 0) + CASE WHEN count(*) FILTER (WHERE NOT here AND home) > 0 THEN coalesce(max(x) FILTER (WHERE here), 0) ELSE 0 END AS s
+        FROM ms GROUP BY 1, 2, 3),
+    ss AS (SELECT perm, sp.row, sp.col, s + coalesce(CAST(v.x AS DECIMAL(24,6)), 0) AS s FROM sp LEFT JOIN v ON sp.row = v.row AND sp.col = v.col),
     oo AS (SELECT row + dr AS row, col + dc AS col, sum(CAST(x AS DECIMAL(24,6))) AS s FROM v, off GROUP BY 1, 2),
     ge AS (SELECT oo.row, oo.col, count(*) FILTER (WHERE ss.s >= oo.s) AS g FROM oo JOIN ss ON oo.row = ss.row AND oo.col = ss.col GROUP BY 1, 2)
     SELECT scene.row, scene.col, round((least(g, {PERMS} - g) + 1) / {PERMS + 1}e0, 6) AS p_sim FROM scene LEFT JOIN ge ON scene.row = ge.row AND scene.col = ge.col""",
