@@ -2,9 +2,9 @@
 
 A document's set of word shingles is compressed to 128 registers of 16 bits: the shingles fall into buckets by the
 first bits of their hash, and a bucket keeps the greatest pair of (leading zeros + 1, ten mantissa bits) of the rest.
-Documents with equal sets are one class. Classes that agree in a band of four registers meet in a bucket, where each
-is compared with one leader and, as far as links found so far leave several components, with the others; pairs whose
-collision-corrected Jaccard estimate is high enough are then confirmed on the full sets.
+Documents with equal sets are one class. Classes that agree in a band of four registers meet, and collision-corrected
+Jaccard estimates against leaders gather those that may be linked into families. Links are confirmed within families
+on the full sets.
 """
 
 from __future__ import annotations
@@ -26,10 +26,11 @@ from hazegrid.session import materialize
 P, R, ROWS = 7, 10, 4
 BUCKETS = 1 << P
 BANDS = BUCKETS // ROWS
-#: The estimate may fall short of the threshold by so much; over five standard deviations at a similarity of 0.85.
-SLACK = 0.18
-#: Nodes of a bucket that are compared in one block.
-BLOCK = 256
+#: Estimates: a pair with similarity 0.85 (0.8) has 0.67 (0.6) or more, five standard deviations off; a class with
+#: COVER is close to a leader, and whatever is similar to it has EDGE, as 1 - EDGE = (1 - COVER) + (1 - 0.6).
+COVER, EDGE = 0.75, 0.35
+#: Classes that are compared in one block.
+BLOCK = 512
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _U = np.uint64
@@ -115,44 +116,91 @@ def bands(classes: DataFrame) -> DataFrame:
     return classes.select(F.explode(keys).alias("band"), "node").where(F.col("band").isNotNull())
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame, cut: float) -> DataFrame:
-    """The pairs whose estimate reaches ``cut``."""
-    side = lambda s: classes.select(F.col("node").alias(s), F.col("registers").alias(f"r{s}"), F.col("n_shingles").alias(f"n{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+def _rows(blobs: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), np.uint16).reshape(-1, BUCKETS)
 
-    @F.pandas_udf("boolean")
-    def likely(ra: pd.Series, rb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
-        if not len(ra):
-            return pd.Series([], dtype=bool)
-        rows = lambda s: np.frombuffer(b"".join(s), np.uint16).reshape(-1, BUCKETS)
-        return pd.Series(estimate(rows(ra), rows(rb), na, nb) >= cut)
 
-    # no set can reach the threshold with one that is too small
-    fits = F.least("na", "nb") >= F.greatest("na", "nb") * (cut + SLACK) - 1e-9
-    return both.where(fits).where(likely("ra", "rb", "na", "nb")).select("a", "b")
+def _leader_estimates(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """``node, leader, estimate`` for each class and each leader that it meets."""
+    pairs = met.where(F.col("node") != F.col("leader")).select("node", "leader").distinct()
+    own = classes.select("node", F.col("registers").alias("ra"), F.col("n_shingles").alias("na"))
+    other = classes.select(F.col("node").alias("leader"), F.col("registers").alias("rb"), F.col("n_shingles").alias("nb"))
 
+    @F.pandas_udf("double")
+    def compared(ra: pd.Series, rb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
+        return pd.Series(estimate(_rows(ra), _rows(rb), na, nb) if len(ra) else [], dtype=float)
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs with 100 * |intersection| >= percent * |union|, counted on the full sets."""
-    side = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"s{s}"))
+    return pairs.join(own, "node").join(other, "leader").select("node", "leader", compared("ra", "rb", "na", "nb").alias("estimate"))
 
-    @F.pandas_udf("boolean")
-    def similar(sa: pd.Series, sb: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(sa, sb, strict=True):
-            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            common = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(100 * common >= percent * (len(a) + len(b) - common))
-        return pd.Series(out, dtype=bool)
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(similar("sa", "sb")).select("a", "b")
+def _in_blocks(members: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """Members of each group dealt in blocks of about ``size``, each pair of blocks ``(i, j)`` as one group.
 
+    A group of up to ``size`` members is one block, and each two members of a group meet in some pair of blocks.
+    """
+    counts = members.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks"))
+    dealt = members.join(counts, keys).withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).drop("blocks", "other")
+
+
+def _edges_of(pdf: pd.DataFrame, keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The groups of a frame that is sorted by ``keys``."""
+    change = np.ones(len(pdf), bool)
+    change[1:] = np.logical_or.reduce([pdf[k].to_numpy()[1:] != pdf[k].to_numpy()[:-1] for k in keys])
+    starts = np.flatnonzero(change)
+    for lo, hi in zip(starts, np.append(starts[1:], len(pdf)), strict=True):
+        yield pdf.iloc[lo:hi]
+
+
+def _families(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """``node, family``: classes that may be linked, directly or in chains, have one family.
+
+    A bucket's members are first compared with its leader. A member that is not close to it (COVER) is compared with
+    the others of that kind, which find leaders among themselves. If x and y are similar and x is close to a leader
+    then y is not far (EDGE) from it, as registers in which x agrees with the leader and with y are equal in all three;
+    so both join its family.
+    """
+    seen = materialize(_leader_estimates(met, classes), "estimates")
+    first = seen.where(F.col("estimate") >= EDGE).select(F.col("leader").alias("u"), F.col("node").alias("v"))
+    far = seen.where(F.col("estimate") < COVER).select("node", "leader")
+    rest = met.join(far, ["node", "leader"]).select("band", "node")
+    # a bucket with one such member needs no more: the leader has been compared with it
+    several = rest.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
+    blocks = _in_blocks(rest.join(several, "band"), ["band"], BLOCK).join(classes.select("node", "registers", "n_shingles"), "node")
+
+    def lead(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for group in _edges_of(pdf, ["band", "i", "j"]):
+            reg, n, node = _rows(group["registers"]), group["n_shingles"].to_numpy(), group["node"].to_numpy()
+            free, part = np.ones(len(node), bool), np.arange(len(node))
+            for x in range(len(node)):
+                if not free[x]:
+                    continue
+                near = estimate(reg[x][None, :], reg, n[x], n)
+                # an edge within a part tells nothing new: a group gives fewer edges than it has members
+                for k in np.flatnonzero((near >= EDGE) & (part != part[x])):
+                    if part[k] != part[x]:
+                        part[part == part[k]] = part[x]
+                        found.append((node[x], node[k]))
+                free[near >= COVER] = False
+        return pd.DataFrame(found, columns=["u", "v"])
+
+    more = in_groups(blocks, ["band", "i", "j"], lead, "u binary, v binary")
+    edges = first.union(more).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return contract(edges).select("node", F.col("root").alias("family"))
+
+
+def _members(roots: DataFrame) -> DataFrame:
+    """``node, family`` of all nodes, the roots included."""
+    return roots.select("node", "family").union(roots.select(F.col("family").alias("node"), "family")).distinct()
 
-def _full_sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """``node, shingles`` of the classes in ``pairs``; one document of each class gives its text."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = materialize(classes.join(nodes, "node").select(F.col("rep").alias("id"), "node"), "wanted")
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(wanted, "id").select("node", "text")
+
+def _full_sets(docs: DataFrame, members: DataFrame, classes: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """``node, family, shingles`` of the classes in ``members``; one document of each class gives its text."""
+    wanted = classes.join(members, "node").select(F.col("rep").alias("id"), "node", "family")
+    # both sides are dealt by id at every size
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(wanted.hint("merge"), "id").select("node", "family", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = ShingleHasher(shingle)
@@ -160,45 +208,73 @@ def _full_sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame, shingle: i
             made = [hasher(t).tobytes() for t in pdf["text"]]
             # a repeated id may have other texts
             right = [xxhash.xxh3_128_digest(s) == bytes(key) for s, key in zip(made, pdf["node"], strict=True)]
-            yield pd.DataFrame({"node": pdf["node"], "shingles": made})[right]
+            yield pd.DataFrame({"node": pdf["node"], "family": pdf["family"], "shingles": made})[right]
 
-    return materialize(texts.mapInPandas(run, "node binary, shingles binary").dropDuplicates(["node"]), "sets")
+    return materialize(texts.mapInPandas(run, "node binary, family binary, shingles binary").dropDuplicates(["node"]), "sets")
 
 
-def _cross_pairs(met: DataFrame, roots: DataFrame, classes: DataFrame, cut: float) -> DataFrame:
-    """Likely pairs of non-leaders of one bucket that the links found so far leave in different components.
+def _able(sets: DataFrame, percent: int) -> DataFrame:
+    """Sets of large families without those that too many shingles of their own keep from any link.
 
-    Buckets whose other members already hang together are left out. A larger bucket is dealt in blocks, and every
-    pair of blocks is compared by its registers in one task, so that only likely pairs become rows.
+    A shingle that only one set of the family has is in no intersection.
     """
-    followers = met.where(F.col("node") != F.col("leader")).join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("comp"))
-    divided = followers.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("least"), F.max("comp").alias("most")).where(F.col("least") < F.col("most"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = followers.join(divided.select("band", blocks.alias("blocks")), "band").withColumn("own", own)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp")
-    dealt = dealt.join(classes.select("node", "registers", "n_shingles"), "node")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        reg = np.frombuffer(b"".join(pdf["registers"]), np.uint16).reshape(-1, BUCKETS)
-        n, comp, node = pdf["n_shingles"].to_numpy(), pdf["comp"].to_numpy(), pdf["node"].to_numpy()
-        own, i, j = pdf["own"].to_numpy(), pdf["i"].to_numpy(), pdf["j"].to_numpy()
-        edge = np.flatnonzero(np.r_[True, (pdf["band"].to_numpy()[1:] != pdf["band"].to_numpy()[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-        found = []
-        for lo, hi in zip(edge, np.r_[edge[1:], len(pdf)], strict=True):
-            for x in range(lo, hi):
-                if own[x] != i[x]:
-                    continue
-                # within one block each pair once; between two blocks all
-                y = np.arange(x + 1, hi) if i[x] == j[x] else lo + np.flatnonzero(own[lo:hi] == j[x])
-                y = y[comp[y] != comp[x]]
-                if len(y):
-                    y = y[estimate(reg[x][None, :], reg[y], n[x], n[y]) >= cut]
-                    found += [(min(node[x], node[k]), max(node[x], node[k])) for k in y]
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"])
+    large = sets.groupBy("family").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("family")
+    known = materialize(large, "large")
+    if known.isEmpty():
+        return sets
+    ours = sets.join(known, "family")
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 64):  # a few hundred thousand rows at once
+                part = pdf.iloc[at : at + 64]
+                each = [np.frombuffer(x, np.int64) for x in part["shingles"]]
+                size = [len(x) for x in each]
+                yield pd.DataFrame({"family": np.repeat(part["family"].to_numpy(), size), "node": np.repeat(part["node"].to_numpy(), size), "shingle": np.concatenate(each)})
 
-    return in_groups(dealt, ["band", "i", "j"], compare, "a binary, b binary").distinct()
+    single = ours.mapInPandas(split, "family binary, node binary, shingle long").groupBy("family", "shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
+    alone = single.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    size = F.length("shingles") / 8
+    fit = 100 * (size - F.coalesce("alone", F.lit(0))) >= percent * size
+    return sets.join(alone, "node", "left").where(fit).select("node", "family", "shingles")
+
+
+def _spanning_links(sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``u, v`` that join the linked sets of each family: 100 * |intersection| >= percent * |union|.
+
+    Intersections are counted exactly, for all pairs of two blocks at once as a product of incidence matrices; a link
+    is returned only if it joins parts that the links of its blocks have left apart.
+    """
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for group in _edges_of(pdf, ["family", "i", "j"]):
+            node, own = group["node"].to_numpy(), group["own"].to_numpy()
+            each = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
+            n = np.array([len(x) for x in each])
+            shared, where, times = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
+            row, column = np.repeat(np.arange(len(n)), n), np.cumsum(times > 1)[where] - 1
+            keep = times[where] > 1
+            row, column = row[keep], column[keep]
+            common = np.zeros((len(n), len(n)), np.float32)
+            step = 8192
+            for lo in range(0, int(column.max()) + 1 if len(column) else 0, step):
+                part = (column >= lo) & (column < lo + step)
+                matrix = np.zeros((len(n), step), np.float32)
+                matrix[row[part], column[part] - lo] = 1
+                common += matrix @ matrix.T
+            linked = 100 * common.astype(np.int64) >= percent * (n[:, None] + n[None, :] - common.astype(np.int64))
+            if group["i"].iloc[0] != group["j"].iloc[0]:
+                linked &= own[:, None] != own[None, :]
+            part = np.arange(len(n))
+            for x, y in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+                if part[x] != part[y]:
+                    part[part == part[y]] = part[x]
+                    found.append((min(node[x], node[y]), max(node[x], node[y])))
+        return pd.DataFrame(found, columns=["u", "v"])
+
+    blocks = _in_blocks(sets, ["family"], BLOCK)
+    return in_groups(blocks, ["family", "i", "j"], link, "u binary, v binary", rows=2 * BLOCK).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,7 +286,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     without words (null, empty, white space) has no shingles and stays alone. A row without id is never linked; its
     component is null and it is kept. Repeated rows get the same values; further columns are not read.
     """
-    cut = percent / 100 - SLACK
     signed = materialize(signatures(docs, shingle, id_col, text_col), "signatures")
     with_words = signed.where(F.col("id").isNotNull() & F.col("set_key").isNotNull())
     classes = materialize(
@@ -220,14 +295,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     every = bands(classes)
     leaders = every.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "leader")
     met = materialize(every.join(leaders, "band"), "buckets")
-    to_leader = met.where(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    likely = materialize(_estimated(to_leader, classes, cut), "likely")
-    links = materialize(_confirmed(likely, _full_sets(docs, likely, classes, shingle, id_col, text_col), percent), "links")
-    roots = contract(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    more = materialize(_cross_pairs(met, roots, classes, cut).join(likely, ["a", "b"], "left_anti"), "likely")
-    if not more.isEmpty():
-        found = materialize(_confirmed(more, _full_sets(docs, more, classes, shingle, id_col, text_col), percent), "links")
-        roots = contract(links.union(found).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    sets = _full_sets(docs, _members(_families(met, classes)), classes, shingle, id_col, text_col)
+    roots = contract(_spanning_links(_able(sets, percent), percent))
     placed = classes.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_class = placed.join(least, "root").select(F.col("node").alias("set_key"), "component_id")
@@ -243,5 +312,6 @@ def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: s
     """The rows of one document per component, with all their columns; repeated rows of it are one."""
     gone = near_duplicates(docs, shingle, percent, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
     rest = docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
-    named = rest.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return named.unionByName(rest.where(F.col(id_col).isNull()))
+    # rows without id are no copies of each other
+    own = rest.withColumn("_row", F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()))
+    return own.dropDuplicates([id_col, "_row"]).select(*docs.columns)
