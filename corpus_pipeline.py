@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hazegrid.llm import bpe, decontamination, hyperminhash, ordinal, suffixes
 from hazegrid.llm.common import table
-from hazegrid.session import materialize
+from hazegrid.session import discard, materialize
 
 #: The stages follow a fitted model and groups of similar texts, which SQL cannot state; tests compare each stage with
 #: brute force.
@@ -58,5 +58,6 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for n, (_, stage) in enumerate(STAGES):
-        docs = materialize(stage(spark, docs, sf_dir), f"stage{n}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage{n}")
+        discard(before)
     return docs

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from hazegrid.llm.common import in_groups, small_batches
 from hazegrid.operators.components import contract
-from hazegrid.session import materialize
+from hazegrid.session import discard, materialize
 
 #: 2**P buckets, R mantissa bits, ROWS registers in a band: a pair at similarity 0.85 (0.8) misses all 32 bands with
 #: probability 5e-11 (5e-8).
@@ -188,7 +188,9 @@ def _families(met: DataFrame, classes: DataFrame) -> DataFrame:
 
     more = in_groups(blocks, ["band", "i", "j"], lead, "u binary, v binary")
     edges = first.union(more).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    return contract(edges).select("node", F.col("root").alias("family"))
+    families = contract(edges).select("node", F.col("root").alias("family"))
+    discard(seen)
+    return families
 
 
 def _members(roots: DataFrame) -> DataFrame:
@@ -295,8 +297,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     every = bands(classes)
     leaders = every.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "leader")
     met = materialize(every.join(leaders, "band"), "buckets")
-    sets = _full_sets(docs, _members(_families(met, classes)), classes, shingle, id_col, text_col)
+    families = _families(met, classes)
+    discard(met)
+    sets = _full_sets(docs, _members(families), classes, shingle, id_col, text_col)
     roots = contract(_spanning_links(_able(sets, percent), percent))
+    discard(sets)
     placed = classes.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_class = placed.join(least, "root").select(F.col("node").alias("set_key"), "component_id")

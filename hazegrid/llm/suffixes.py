@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from hazegrid.llm.common import in_groups, small_batches
 from hazegrid.llm.deepshallow import sort_strings
-from hazegrid.session import materialize
+from hazegrid.session import discard, materialize
 
 LENGTH = 200
 #: Bytes of an anchor's K-gram (a power of two times 8).
@@ -222,6 +222,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     # hot K-grams are one row on the right, so adaptive execution can split the left
     hits = every.join(often, "gram").groupBy("place").agg(F.sort_array(F.collect_set(F.struct("at", "gram", "crowded"))).alias("hits"))
     hits = materialize(hits.join(texts, "place").select("place", "text_key", "hits"), "hits")
+    discard(every)
 
     bodies = rows.where(long_enough).select("place", "text_key", "text")
     around = bodies.join(hits, ["place", "text_key"])
