@@ -193,6 +193,24 @@ def _(t: Tables):
     return t.spark.createDataFrame(rows, "k int, silhouette double, selected boolean")
 
 
+@query(
+    "hs_14_zone_invariants",
+    """ SELECT count(*) FILTER (WHERE hcho IS NOT NULL AND no2 IS NOT NULL AND co IS NOT NULL) AS clustered,
+    count(*) FILTER (WHERE hcho IS NULL OR no2 IS NULL OR co IS NULL) AS left_out, true AS ids_from_zero, true AS means_rise, true AS scores_cancel FROM scene""",
+    ["scene"],
+)
+def _(t: Tables):
+    out, _meta = zones.fit_zones(_zone_cells(t), ["aqi", "hcho", "no2", "co"])
+    per_zone = out.groupBy("zone_id").agg(F.count(F.lit(1)).alias("n"), F.avg("aqi").alias("m"), F.abs(F.avg("zone_score")).alias("off"))
+    inside = F.col("zone_id").isNotNull()
+    ranked = F.array_sort(F.collect_list(F.when(inside, F.struct("zone_id", "m"))))
+    ids, means = F.transform(ranked, lambda z: z["zone_id"]), F.transform(ranked, lambda z: z["m"])
+    return per_zone.agg(
+        F.coalesce(F.sum(F.when(inside, F.col("n"))), F.lit(0)).alias("clustered"), F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).alias("left_out"),
+        (ids == F.sequence(F.lit(0), F.size(ids) - 1)).alias("ids_from_zero"), (means == F.array_sort(means)).alias("means_rise"), (F.max("off") < 1e-6).alias("scores_cancel"),
+    )
+
+
 _GIVEN = """, cl AS (SELECT row, col, lon, lat, no2 * 8e0 AS aqi, hcho, no2, co, CASE WHEN no2 IS NOT NULL THEN row % 4 END AS g FROM scene),
     zm AS (SELECT g, avg(aqi) AS m, count(*) AS n FROM cl WHERE g IS NOT NULL GROUP BY 1),
     zn AS (SELECT *, CAST(row_number() OVER (ORDER BY m NULLS LAST, g) - 1 AS INT) AS zone_id FROM zm),

@@ -98,6 +98,30 @@ def _(t: Tables):
     return model.predict(t.panel()).select("station_id", F.col("date").cast("string").alias("date"), "pred_pm25")
 
 
+# one split on a feature with few values: the cut with the least squared error and the mean on either side
+_SPLIT = """, m AS (SELECT CAST(pm25 AS DOUBLE) AS y, month(date) AS x FROM panel WHERE pm25 IS NOT NULL),
+    s AS (SELECT t.x AS c, sum(y) FILTER (WHERE m.x <= t.x) AS sl, count(*) FILTER (WHERE m.x <= t.x) AS nl, sum(y) FILTER (WHERE m.x > t.x) AS sr, count(*) FILTER (WHERE m.x > t.x) AS nr
+        FROM m, (SELECT DISTINCT x FROM m) t GROUP BY 1),
+    b AS (SELECT * FROM s WHERE nr > 0 ORDER BY sl * sl / nl + sr * sr / nr DESC, c LIMIT 1)
+    SELECT station_id, date, round(CASE WHEN month(date) <= c THEN sl / nl ELSE sr / nr END, 4) AS pred_pm25 FROM panel, b"""
+
+
+def _one_split(t: Tables, make):
+    panel = t.panel().withColumn("month", F.month("date").cast("double"))
+    model = regression.TargetRegressors(["pm25"], ["month"], make).fit(panel)
+    return rounded(model.predict(panel).select("station_id", "date", "pred_pm25"), 4, "pred_pm25")
+
+
+@query("ml_01_single_split", _SPLIT, ["panel"], text=["date"])
+def _(t: Tables):
+    return _one_split(t, regression.random_forest(trees=1, max_depth=1, bootstrap=False))
+
+
+@query("ml_02_single_split", _SPLIT, ["panel"], text=["date"])
+def _(t: Tables):
+    return _one_split(t, regression.boosted_trees(rounds=1, max_depth=1, share=1.0))
+
+
 _LINE = "SELECT regr_slope(pm25, no2) AS b, regr_intercept(pm25, no2) AS a, regr_slope(pm10, no2) AS b2, regr_intercept(pm10, no2) AS a2 FROM panel"
 
 

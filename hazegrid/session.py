@@ -95,7 +95,7 @@ def materialize(df: DataFrame, label: str, partition_by: Sequence[str] = ()) ->
 def discard(df: DataFrame | None) -> None:
     """Delete the files behind an earlier :func:`materialize` result."""
     path = getattr(df, "_scratch_path", None)
-    if path is None:
+    if path is None:  # not a scratch table
         return
     spark = df.sparkSession
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
