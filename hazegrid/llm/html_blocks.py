@@ -82,7 +82,14 @@ def read_page(source: str) -> Page:
             pieces.clear()
             if text:
                 _, path, chrome, main = next(e for e in reversed(stack) if e[0] not in INLINE)
-                page.blocks.append(Block(path, chrome or any(e[2] for e in stack[-8:]), main, text))
+                page.blocks.append(Block(path, chrome, main, text))
+
+    def take(text: str) -> None:
+        # an inline part that is no content leaves a gap in its block
+        tag, _, chrome, _ = stack[-1]
+        if chrome and tag in INLINE and not next(e for e in reversed(stack) if e[0] not in INLINE)[2]:
+            text = " "
+        pieces.append(text)
 
     def pop_to(tag: str, until: frozenset[str] = frozenset()) -> bool:
         for i in range(len(stack) - 1, 0, -1):
@@ -99,10 +106,10 @@ def read_page(source: str) -> Page:
     while at < size:
         m = _TOKEN.search(source, at)
         if m is None:
-            pieces.append(source[at:])
+            take(source[at:])
             break
         if m.start() > at:
-            pieces.append(source[at : m.start()])
+            take(source[at : m.start()])
         at = m.end()
         tag = m["tag"]
         if tag is None:
@@ -129,9 +136,6 @@ def read_page(source: str) -> Page:
                 chrome = _marks(m["attrs"])[1] if "=" in m["attrs"] or "hidden" in m["attrs"] else False
                 top = stack[-1]
                 stack.append((tag, top[1], top[2] or chrome, top[3]))
-                if chrome:
-                    # text of an inline part that is no content must not join its block
-                    pieces.append(" ")
             continue
         flush()
         if tag in VOID:

@@ -6,7 +6,7 @@ from hazegrid.llm.html_blocks import read_page
 HEAD = "<!DOCTYPE html><html><head><title>T {n}</title><style>p{{x}}</style><script>var t='</p><article>no</article>';</script></head><body>"
 ARTICLE = HEAD + (
     "<nav><ul><li><a href='/{n}'>menu {n}</a></ul></nav><header>Site</header><!-- <p>note</p> --><div class='ad big'>buy {n}</div>"
-    "<article><h1>Title&nbsp;{n} &amp; more</h1><p><b>First  {n}<br>line<p>Second\n one <em>em</em>phasis &lt;b&gt;</p><p>The same line.</p>"
+    "<article><h1>Title&nbsp;{n} &amp; more</h1><p><b>First  {n}<br>line<p>Second\n one <em>em</em>phasis &lt;b&gt;</p><p>The same<span class='ad'>BUY <i>now</i></span> line.</p>"
     "<form><input><p>mail?</p></form><div class=\"share-buttons\">share</div><ul><li>one<li>two</ul><section id='comments'><p>reader {n}</p></section></article>"
     "<aside>side</aside><div role='contentinfo'>c</div><footer>&copy; host</footer></body></html>"
 )
