@@ -75,18 +75,18 @@ class Network:
         group, member = target // MEMBERS, target % MEMBERS
         row = np.arange(n)
 
-        def log_softmax(z: np.ndarray) -> np.ndarray:
-            z -= z.max(axis=1, keepdims=True)
-            z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-            return z
-
-        by_class = log_softmax(h @ self.classes + self.class_bias)
-        out = by_class[row, group]
-        order = np.argsort(group, kind="stable")
+        def log_softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """(scores, what to subtract from each row of them)."""
+            top = z.max(axis=1)
+            return z, np.log(np.exp(z - top[:, None]).sum(axis=1)) + top
+
+        by_class, less = log_softmax(h @ self.classes + self.class_bias)
+        out = by_class[row, group] - less
+        order = np.argsort(group.astype(np.uint8), kind="stable")
         bounds = np.searchsorted(group[order], np.arange(CLASSES + 1))
         if back:
             grad = Network(np.zeros_like(self.flat))
-            d = -np.exp(by_class)
+            d = -np.exp(by_class - less[:, None])
             d[row, group] += 1
             d /= n
             grad.classes[:] = h.T @ d
@@ -96,13 +96,14 @@ class Network:
             k = order[bounds[c] : bounds[c + 1]]
             if not len(k):
                 continue
-            within = log_softmax(h[k] @ self.members[c] + self.member_bias[c])
-            out[k] += within[np.arange(len(k)), member[k]]
+            own = h[k]
+            within, less = log_softmax(own @ self.members[c] + self.member_bias[c])
+            out[k] += within[np.arange(len(k)), member[k]] - less
             if back:
-                d = -np.exp(within)
+                d = -np.exp(within - less[:, None])
                 d[np.arange(len(k)), member[k]] += 1
                 d /= n
-                grad.members[c] = h[k].T @ d
+                grad.members[c] = own.T @ d
                 grad.member_bias[c] = d.sum(axis=0)
                 dh[k] += d @ self.members[c].T
         if not back:
@@ -110,7 +111,10 @@ class Network:
         da = dh * (1 - h * h)
         grad.hidden[:] = x.T @ da
         grad.hidden_bias[:] = da.sum(axis=0)
-        np.add.at(grad.embed, context.ravel(), (da @ self.hidden.T).reshape(-1, WIDTH))
+        word = context.ravel()
+        order = np.argsort(word, kind="stable")
+        first = np.flatnonzero(np.r_[True, word[order][1:] != word[order][:-1]])
+        grad.embed[word[order[first]]] = np.add.reduceat((da @ self.hidden.T).reshape(-1, WIDTH)[order], first)
         return out, grad.flat
 
 
@@ -135,13 +139,20 @@ class Reader:
         return np.fromiter(map(self.lookup.__getitem__, words), np.int32, len(words))
 
 
-def contexts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, target, text) of all words; beyond the ends of a text the context is the padding word."""
+def contexts(texts: list[np.ndarray], share: float = 1.0, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, target, text) of all words, or of a random share of them in random order.
+
+    Beyond the ends of a text the context is the padding word.
+    """
     n = np.array([len(t) for t in texts], dtype=np.int64)
     pad = np.full(SIDE, SIZE, np.int32)
     flat = np.concatenate([x for t in texts for x in (pad, t)] + [pad])
     owner = np.repeat(np.arange(len(texts)), n)
     at = np.arange(n.sum()) + SIDE * (owner + 1)
+    if share < 1:
+        rng = np.random.default_rng(seed)
+        chosen = rng.permutation(np.flatnonzero(rng.random(len(at)) < share))
+        at, owner = at[chosen], owner[chosen]
     around = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
     return flat[at[:, None] + around], flat[at], owner
 
@@ -188,17 +199,13 @@ def train(docs: DataFrame, vocabulary: list[tuple[bytes, int]], rate: float = 0.
             for pdf in batches:
                 for lo in range(0, len(pdf), 64):
                     raw = [t or "" for t in pdf["text"].iloc[lo : lo + 64]]
-                    context, target, owner = contexts([reader(t) for t in raw])
-                    if not len(target):
-                        continue
                     seed = zlib.crc32(raw[0].encode("utf-8", "surrogatepass"))
                     token ^= seed
-                    masked = np.flatnonzero(np.random.default_rng(seed).random(len(target)) < MASKED)
-                    np.random.default_rng(seed + 1).shuffle(masked)
-                    for at in range(0, len(masked), STEP_WORDS):
-                        k = masked[at : at + STEP_WORDS]
+                    context, target, _ = contexts([reader(t) for t in raw], MASKED, seed)
+                    for at in range(0, len(target), STEP_WORDS):
+                        k = slice(at, at + STEP_WORDS)
                         _, g = own.forward(context[k], target[k], back=True)
-                        step, seen = step + 1, seen + len(k)
+                        step, seen = step + 1, seen + len(target[k])
                         mean += 0.1 * (g - mean)
                         square += 0.01 * (g * g - square)
                         own.flat += rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-6)
