@@ -33,6 +33,8 @@ COSINE = 0.5
 LCS_SHARE, ANSWER_SHARE = 0.8, 0.5
 #: The benchmark is held by every task; a larger one is to be checked in parts.
 MOST_ITEMS = 20_000
+#: Blocks whose rows are worked on at once.
+NEAR = 512
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _SENTENCE = re.compile(r"[.!?]\s+")
 
@@ -133,7 +135,7 @@ def _blocks(ids: list[bytes], size: int, n_terms: int, weight: np.ndarray | None
 
 
 def _over_blocks(numbered: DataFrame, size: int, n_terms: int, width: int, weight: np.ndarray, basis: np.ndarray, second) -> np.ndarray:
-    """Sum over all passages of a matrix with ``width`` columns that ``second(blocks, latent)`` gives by rows.
+    """Sum over all passages of a matrix with ``width`` columns to which ``second(blocks, weight, latent, sum)`` adds.
 
     ``latent`` has the weighted terms of each passage times ``basis``. Each task adds up its own, Spark adds the rows.
     """
@@ -146,8 +148,9 @@ def _over_blocks(numbered: DataFrame, size: int, n_terms: int, width: int, weigh
             if not len(pdf):
                 continue
             blocks, _ = _blocks(list(pdf["ids"]), size, n_terms, w)
-            part = second(blocks, w, _latent(blocks, w, b))
-            total = part if total is None else total + part
+            if total is None:
+                total = np.zeros((max(n_terms, width), width))
+            second(blocks, w, _latent(blocks, w, b), total)
         if total is not None:
             rows = np.flatnonzero(np.abs(total).sum(axis=1))
             yield pd.DataFrame({"row": rows, "cells": [total[r].astype(np.float32).tobytes() for r in rows]})
@@ -170,9 +173,9 @@ def _latent(blocks: Blocks, weight: np.ndarray, basis: np.ndarray) -> np.ndarray
     own = np.zeros((blocks.total + 1, basis.shape[1]), np.float32)
     if len(block):
         starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-        for lo in range(0, len(starts), 4096):  # a few MB at once
-            s = starts[lo : lo + 4096]
-            end = starts[lo + 4096] if lo + 4096 < len(starts) else len(block)
+        for lo in range(0, len(starts), NEAR):  # what stays in the processor's cache
+            s = starts[lo : lo + NEAR]
+            end = starts[lo + NEAR] if lo + NEAR < len(starts) else len(block)
             own[block[s]] = np.add.reduceat(basis[term[s[0] : end]] * value[s[0] : end, None], s - s[0])
     out = own[:-1] + own[1:]
     last = blocks.first + blocks.count - 1
@@ -180,8 +183,8 @@ def _latent(blocks: Blocks, weight: np.ndarray, basis: np.ndarray) -> np.ndarray
     return out
 
 
-def _by_term(blocks: Blocks, weight: np.ndarray, latent: np.ndarray) -> np.ndarray:
-    """Transposed TF-IDF matrix times the rows of the passages, each passage scaled to unit length."""
+def _by_term(blocks: Blocks, weight: np.ndarray, latent: np.ndarray, out: np.ndarray) -> None:
+    """Add the transposed TF-IDF matrix times the rows of the passages, each passage scaled to unit length."""
     own = np.bincount(blocks.block, (blocks.times * weight[blocks.term]) ** 2, blocks.total)
     last = blocks.first + blocks.count - 1
     norm = own + np.append(own[1:], 0)
@@ -190,13 +193,13 @@ def _by_term(blocks: Blocks, weight: np.ndarray, latent: np.ndarray) -> np.ndarr
     around = scaled.copy()
     around[1:] += scaled[:-1]  # a block is in the passage that it starts and in the one before
     around[blocks.first[1:]] -= scaled[blocks.first[1:] - 1]
-    out = np.zeros((len(weight), latent.shape[1]), np.float64)
-    for lo in range(0, len(blocks.term), 1 << 16):
-        order = lo + np.argsort(blocks.term[lo : lo + (1 << 16)], kind="stable")
-        t = blocks.term[order]
+    order = np.argsort(blocks.term, kind="stable")
+    term, block = blocks.term[order], blocks.block[order]
+    value = (blocks.times[order] * weight[term]).astype(np.float32)[:, None]
+    for lo in range(0, len(term), 16 * NEAR):
+        t = term[lo : lo + 16 * NEAR]
         starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-        out[t[starts]] += np.add.reduceat(around[blocks.block[order]] * (blocks.times[order] * weight[t]).astype(np.float32)[:, None], starts)
-    return out
+        out[t[starts]] += np.add.reduceat(around[block[lo : lo + 16 * NEAR]] * value[lo : lo + 16 * NEAR], starts)
 
 
 def latent_space(numbered: DataFrame, bench: Benchmark, rank: int = RANK, sketch: int = SKETCH, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
