@@ -2,8 +2,9 @@
 
 Documents are read as blocks of words; two neighbouring blocks are a passage, so that every run of words as long as a
 benchmark item lies in one. TF-IDF over the terms of the benchmark is reduced by a distributed randomised SVD, items
-and passages are compared by their cosine in the latent space, and each candidate is then judged by its longest common
-subsequence of words with the item and by whether the item's answer is there as well.
+and passages are compared by their cosine in the latent space. What the cosine can miss (frequent words without weight,
+items outside the leading directions) comes in by an exact rule on shared words that loses no pair. Each candidate is
+then judged by its longest common subsequence of words with the item and by whether the item's answer is there as well.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ LCS_SHARE, ANSWER_SHARE = 0.8, 0.5
 MOST_ITEMS = 20_000
 #: Blocks whose rows are worked on at once.
 NEAR = 512
+#: Cells of a table of passages and terms, and pairs of passages and items, that the exact rule holds at once.
+MOST_CELLS, MOST_PAIRS = 1 << 24, 1 << 20
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _SENTENCE = re.compile(r"[.!?]\s+")
 
@@ -113,6 +116,9 @@ class Blocks:
     def total(self) -> int:
         return int(self.count.sum())
 
+    def where(self, kept: np.ndarray) -> Blocks:
+        return Blocks(self.block[kept], self.term[kept], self.times[kept], self.first, self.count)
+
     def passages(self) -> np.ndarray:
         """First block of each passage: block and successor of one text, or the only block of a text."""
         starts = np.ones(self.total, bool)
@@ -202,8 +208,8 @@ def _by_term(blocks: Blocks, weight: np.ndarray, latent: np.ndarray, out: np.nda
         out[t[starts]] += np.add.reduceat(around[block[lo : lo + 16 * NEAR]] * value[lo : lo + 16 * NEAR], starts)
 
 
-def latent_space(numbered: DataFrame, bench: Benchmark, rank: int = RANK, sketch: int = SKETCH, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """(idf weight per term, right singular vectors) of the TF-IDF matrix ``A`` of all passages and the items.
+def latent_space(numbered: DataFrame, bench: Benchmark, rank: int = RANK, sketch: int = SKETCH, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(idf weight per term, right singular vectors) of the TF-IDF matrix ``A`` of all passages and the items, and df.
 
     Randomised SVD in Nystroem's form: one distributed pass gives ``G = A'(A Omega)``; with ``Omega'G = L L'`` the left
     singular vectors of ``G inv(L')`` are the right singular vectors of ``A``. Only matrices of terms by ``sketch``
@@ -242,7 +248,65 @@ def latent_space(numbered: DataFrame, bench: Benchmark, rank: int = RANK, sketch
     values, vectors = np.linalg.eigh((square + square.T) / 2)
     root = vectors / np.sqrt(np.maximum(values, shift * 1e-3))
     left, _, _ = np.linalg.svd(g @ root, full_matrices=False)
-    return weight, left[:, : min(rank, sketch)]
+    return weight, left[:, : min(rank, sketch)], df
+
+
+class Sharing:
+    """Exact candidates: every passage whose common subsequence with an item can be long enough.
+
+    At most ``n - need`` of an item's ``n`` words may be absent from a passage, so one of any ``n - need + 1`` is there.
+    The rarest ones are looked up; what they bring must then have ``need`` of all words, in any order.
+    """
+
+    def __init__(self, words: list[list[int]], df: np.ndarray):
+        self.length = np.array([len(w) for w in words], np.int64)
+        self.need = np.ceil(LCS_SHARE * self.length).astype(np.int64)
+        self.start = np.concatenate([[0], np.cumsum(self.length)])[:-1]
+        self.flat = np.concatenate([np.asarray(w, np.int64) for w in words])
+        pairs = [(t, i) for i, w in enumerate(words) for t in set(sorted(w, key=lambda t: (df[t], t))[: len(w) - int(self.need[i]) + 1])]
+        term, self.item = np.array(sorted(pairs), np.int64).T
+        self.bound = np.searchsorted(term, np.arange(len(df) + 1))
+
+    def candidates(self, blocks: Blocks) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(first block of the passage, item), each pair once; ``blocks`` has all terms."""
+        n_terms, n_items = len(self.bound) - 1, len(self.length)
+        starts = np.zeros(blocks.total + 1, bool)
+        starts[blocks.passages()] = True
+        # a block's terms are in the passage that it starts and in the one before
+        later = np.ones(blocks.total, bool)
+        later[blocks.first] = False
+        step = max(1, MOST_CELLS // n_terms)
+        for lo in range(0, blocks.total, step):
+            hi = min(blocks.total, lo + step)
+            a, b = np.searchsorted(blocks.block, [lo, min(blocks.total, hi + 1)])
+            block, term = blocks.block[a:b], blocks.term[a:b]
+            own = (block < hi) & starts[block]
+            prev = (block > lo) & later[block]
+            passage, term = np.r_[block[own], block[prev] - 1], np.r_[term[own], term[prev]]
+            has = np.zeros((hi - lo, n_terms), bool)
+            has[passage - lo, term] = True
+            order = np.argsort(passage, kind="stable")
+            passage, term = passage[order], term[order]
+            times = self.bound[term + 1] - self.bound[term]
+            passage, term, times = passage[times > 0], term[times > 0], times[times > 0]
+            # cut between passages, so that each pair comes up once
+            ends = np.cumsum(times)
+            at = 0
+            while at < len(passage):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + MOST_PAIRS)))
+                to = int(np.searchsorted(passage, passage[to - 1], "right"))
+                t = times[at:to]
+                within = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
+                key = np.unique(np.repeat(passage[at:to], t) * n_items + self.item[np.repeat(self.bound[term[at:to]], t) + within])
+                at = to
+                for k in np.array_split(key, -(-len(key) * 64 // MOST_PAIRS)):
+                    p, item = k // n_items, k % n_items
+                    n = self.length[item]
+                    first = np.cumsum(n) - n
+                    word = self.flat[np.repeat(self.start[item], n) + np.arange(n.sum()) - np.repeat(first, n)]
+                    shared = np.add.reduceat(has[np.repeat(p - lo, n), word], first, dtype=np.int64)
+                    enough = shared >= self.need[item]
+                    yield p[enough], item[enough]
 
 
 def common_subsequence(masks: dict[int, int], length: int, words) -> int:
@@ -279,44 +343,47 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         return spark.createDataFrame([], kinds).withColumn("lcs_share", F.lit(0.0))
     size, n_terms = bench.block, len(bench.terms)
     numbered = materialize(_numbered(docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text")), bench.terms), "terms")
-    weight, basis = latent_space(numbered, bench)
+    weight, basis, df = latent_space(numbered, bench)
     queries = np.zeros((len(bench.ids), basis.shape[1]), np.float32)
     for i, ws in enumerate(bench.words):
         queries[i] = (weight[ws, None] * basis[ws]).sum(axis=0)
     norm = np.linalg.norm(queries, axis=1)
     queries /= np.maximum(norm, 1e-12)[:, None]
-    shared = spark.sparkContext.broadcast((bench.words, bench.answers, weight.astype(np.float32), basis.astype(np.float32), queries, norm < 1e-9, bench.ids))
+    shared = spark.sparkContext.broadcast((bench.words, bench.answers, weight.astype(np.float32), basis.astype(np.float32), queries, Sharing(bench.words, df), bench.ids))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, answers, w, b, q, bare, ids = shared.value
+        words, answers, w, b, q, sharing, ids = shared.value
         in_words, in_answers = [_places(x) for x in words], [_places(x) for x in answers]
         for pdf in batches:
             if not len(pdf):
                 continue
-            blocks, texts = _blocks(list(pdf["ids"]), size, n_terms, w)
-            latent = _latent(blocks, w, b)
+            blocks, texts = _blocks(list(pdf["ids"]), size, n_terms)
+            latent = _latent(blocks.where(w[blocks.term] > 0), w, b)
             owner = np.repeat(np.arange(len(texts)), blocks.count)
             found: dict[tuple[int, int], tuple[int, float]] = {}
             starts = blocks.passages()
-            # an item without weight in the latent space is compared with every passage
-            for lo in range(0, len(starts), 8192):
-                p = starts[lo : lo + 8192]
-                x = latent[p]
-                size_of = np.linalg.norm(x, axis=1, keepdims=True)
-                near = (x @ q.T >= cosine * np.maximum(size_of, 1e-12)) & (size_of > 1e-9)
-                near[:, bare] = True
-                for row, item in zip(*np.nonzero(near), strict=True):
-                    doc = owner[p[row]]
-                    at = int(p[row] - blocks.first[doc]) * size
-                    passage = texts[doc][at : at + 2 * size].tolist()
-                    n = len(words[item])
-                    lcs = common_subsequence(in_words[item], n, passage)
-                    if lcs < LCS_SHARE * n:
-                        continue
-                    share = common_subsequence(in_answers[item], len(answers[item]), passage) / len(answers[item])
-                    if share >= ANSWER_SHARE:
-                        key = (int(doc), int(item))
-                        found[key] = max(found.get(key, (0, 0.0)), (lcs, share))
+
+            def near(latent=latent, starts=starts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                for lo in range(0, len(starts), 8192):
+                    p = starts[lo : lo + 8192]
+                    x = latent[p]
+                    size_of = np.linalg.norm(x, axis=1, keepdims=True)
+                    row, item = np.nonzero((x @ q.T >= cosine * np.maximum(size_of, 1e-12)) & (size_of > 1e-9))
+                    yield p[row], item
+
+            both = [first * len(ids) + item for way in (near(), sharing.candidates(blocks)) for first, item in way]
+            for key in np.unique(np.concatenate([np.zeros(0, np.int64), *both])).tolist():
+                first, item = divmod(key, len(ids))
+                doc = int(owner[first])
+                at = int(first - blocks.first[doc]) * size
+                passage = texts[doc][at : at + 2 * size].tolist()
+                n = len(words[item])
+                lcs = common_subsequence(in_words[item], n, passage)
+                if lcs < LCS_SHARE * n:
+                    continue
+                share = common_subsequence(in_answers[item], len(answers[item]), passage) / len(answers[item])
+                if share >= ANSWER_SHARE:
+                    found[doc, item] = max(found.get((doc, item), (0, 0.0)), (lcs, share))
             doc_ids = pdf["doc"].tolist()
             yield pd.DataFrame([(doc_ids[d], ids[i], lcs, len(words[i]), share) for (d, i), (lcs, share) in found.items()], columns=[id_col, item_id, "lcs_words", "item_words", "answer_share"])
 

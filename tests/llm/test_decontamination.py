@@ -65,3 +65,15 @@ def test_a_benchmark_has_a_bound(spark, monkeypatch):
     monkeypatch.setattr(dc, "MOST_ITEMS", 2)
     with pytest.raises(ValueError, match="parts"):
         dc.read_benchmark(spark.createDataFrame([(i, f"t{i}") for i in range(3)], "item_id long, text string"))
+
+
+def test_frequent_words_of_copies_do_not_hide_an_item(spark, make_docs):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    item = [word() for _ in range(40)]
+    changed = [word() if k % 7 == 3 else w for k, w in enumerate(item)]
+    hot = " ".join([word() for _ in range(120)] + changed + [word() for _ in range(120)])
+    rows = [(i, hot if i % 3 == 0 else " ".join(word() for _ in range(280))) for i in range(90)]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in dc.contaminated(make_docs(rows), bench).collect()}
+    assert got == brute(rows, [(7, " ".join(item))]) == {(i, 7) for i in range(0, 90, 3)}
