@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from hazegrid.llm.common import in_groups, small_batches
 from hazegrid.session import materialize
 
-#: Words of a block at least; longer if an item is longer.
+#: Words of a block at least; doubled until it holds the item, so that items of like length share their passages.
 BLOCK_WORDS = 64
 #: Latent dimensions and columns of the random sketch.
 RANK, SKETCH = 112, 128
@@ -60,7 +60,11 @@ class Benchmark:
     terms: dict[str, int]
     words: list[list[int]]
     answers: list[list[int]]
-    block: int
+
+    def by_block(self) -> list[tuple[int, np.ndarray]]:
+        """(words of a block, items that are read by it)."""
+        size = np.array([BLOCK_WORDS << max(0, (-(-len(w) // BLOCK_WORDS) - 1).bit_length()) for w in self.words])
+        return [(int(s), np.flatnonzero(size == s)) for s in np.unique(size)]
 
 
 def read_benchmark(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Benchmark:
@@ -72,7 +76,7 @@ def read_benchmark(items: DataFrame, id_col: str = "item_id", text_col: str = "t
     rows = [r for r in rows if r[1]]
     terms: dict[str, int] = {}
     number = lambda ws: [terms.setdefault(w, len(terms)) for w in ws]
-    return Benchmark([r[0] for r in rows], terms, [number(r[1]) for r in rows], [number(r[2]) for r in rows], max([BLOCK_WORDS, *(len(r[1]) for r in rows)]))
+    return Benchmark([r[0] for r in rows], terms, [number(r[1]) for r in rows], [number(r[2]) for r in rows])
 
 
 def _numbered(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
@@ -215,7 +219,7 @@ def latent_space(numbered: DataFrame, bench: Benchmark, rank: int = RANK, sketch
     singular vectors of ``G inv(L')`` are the right singular vectors of ``A``. Only matrices of terms by ``sketch``
     reach the driver.
     """
-    size, n_terms = bench.block, len(bench.terms)
+    size, n_terms = BLOCK_WORDS, len(bench.terms)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, n = np.zeros(n_terms, np.int64), 0
@@ -341,7 +345,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     kinds = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, {item_id} {items.schema[item_id].dataType.simpleString()}, lcs_words int, item_words int, answer_share double"
     if not bench.ids:
         return spark.createDataFrame([], kinds).withColumn("lcs_share", F.lit(0.0))
-    size, n_terms = bench.block, len(bench.terms)
+    n_terms = len(bench.terms)
     numbered = materialize(_numbered(docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text")), bench.terms), "terms")
     weight, basis, df = latent_space(numbered, bench)
     queries = np.zeros((len(bench.ids), basis.shape[1]), np.float32)
@@ -349,41 +353,43 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         queries[i] = (weight[ws, None] * basis[ws]).sum(axis=0)
     norm = np.linalg.norm(queries, axis=1)
     queries /= np.maximum(norm, 1e-12)[:, None]
-    shared = spark.sparkContext.broadcast((bench.words, bench.answers, weight.astype(np.float32), basis.astype(np.float32), queries, Sharing(bench.words, df), bench.ids))
+    classes = [(size, items, queries[items], Sharing([bench.words[i] for i in items], df)) for size, items in bench.by_block()]
+    shared = spark.sparkContext.broadcast((bench.words, bench.answers, weight.astype(np.float32), basis.astype(np.float32), classes, bench.ids))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, answers, w, b, q, sharing, ids = shared.value
+        words, answers, w, b, by_block, ids = shared.value
         in_words, in_answers = [_places(x) for x in words], [_places(x) for x in answers]
         for pdf in batches:
             if not len(pdf):
                 continue
-            blocks, texts = _blocks(list(pdf["ids"]), size, n_terms)
-            latent = _latent(blocks.where(w[blocks.term] > 0), w, b)
-            owner = np.repeat(np.arange(len(texts)), blocks.count)
             found: dict[tuple[int, int], tuple[int, float]] = {}
-            starts = blocks.passages()
-
-            def near(latent=latent, starts=starts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-                for lo in range(0, len(starts), 8192):
-                    p = starts[lo : lo + 8192]
-                    x = latent[p]
-                    size_of = np.linalg.norm(x, axis=1, keepdims=True)
-                    row, item = np.nonzero((x @ q.T >= cosine * np.maximum(size_of, 1e-12)) & (size_of > 1e-9))
-                    yield p[row], item
-
-            both = [first * len(ids) + item for way in (near(), sharing.candidates(blocks)) for first, item in way]
-            for key in np.unique(np.concatenate([np.zeros(0, np.int64), *both])).tolist():
-                first, item = divmod(key, len(ids))
-                doc = int(owner[first])
-                at = int(first - blocks.first[doc]) * size
-                passage = texts[doc][at : at + 2 * size].tolist()
-                n = len(words[item])
-                lcs = common_subsequence(in_words[item], n, passage)
-                if lcs < LCS_SHARE * n:
-                    continue
-                share = common_subsequence(in_answers[item], len(answers[item]), passage) / len(answers[item])
-                if share >= ANSWER_SHARE:
-                    found[doc, item] = max(found.get((doc, item), (0, 0.0)), (lcs, share))
+            for size, members, q, sharing in by_block:
+                blocks, texts = _blocks(list(pdf["ids"]), size, n_terms)
+                latent = _latent(blocks.where(w[blocks.term] > 0), w, b)
+                owner = np.repeat(np.arange(len(texts)), blocks.count)
+                starts = blocks.passages()
+
+                def near(latent=latent, starts=starts, q=q) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                    for lo in range(0, len(starts), 8192):
+                        p = starts[lo : lo + 8192]
+                        x = latent[p]
+                        size_of = np.linalg.norm(x, axis=1, keepdims=True)
+                        row, item = np.nonzero((x @ q.T >= cosine * np.maximum(size_of, 1e-12)) & (size_of > 1e-9))
+                        yield p[row], item
+
+                both = [first * len(members) + item for way in (near(), sharing.candidates(blocks)) for first, item in way]
+                for key in np.unique(np.concatenate([np.zeros(0, np.int64), *both])).tolist():
+                    first, item = divmod(key, len(members))
+                    doc, item = int(owner[first]), int(members[item])
+                    at = int(first - blocks.first[doc]) * size
+                    passage = texts[doc][at : at + 2 * size].tolist()
+                    n = len(words[item])
+                    lcs = common_subsequence(in_words[item], n, passage)
+                    if lcs < LCS_SHARE * n:
+                        continue
+                    share = common_subsequence(in_answers[item], len(answers[item]), passage) / len(answers[item])
+                    if share >= ANSWER_SHARE:
+                        found[doc, item] = max(found.get((doc, item), (0, 0.0)), (lcs, share))
             doc_ids = pdf["doc"].tolist()
             yield pd.DataFrame([(doc_ids[d], ids[i], lcs, len(words[i]), share) for (d, i), (lcs, share) in found.items()], columns=[id_col, item_id, "lcs_words", "item_words", "answer_share"])
 

@@ -77,3 +77,24 @@ def test_frequent_words_of_copies_do_not_hide_an_item(spark, make_docs):
     bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in dc.contaminated(make_docs(rows), bench).collect()}
     assert got == brute(rows, [(7, " ".join(item))]) == {(i, 7) for i in range(0, 90, 3)}
+
+
+def test_items_of_mixed_length_are_found_in_windows_of_their_own(spark, make_docs):
+    rng = random.Random(8)
+    common = ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(3000)]
+    text = lambda n: [common[min(int(rng.paretovariate(0.6)) - 1, 2999)] for _ in range(n)]
+    items = [(k, text(rng.randrange(8, 60))) for k in range(400)] + [(400, text(400)), (401, text(130))]
+    rows, planted = [], set()
+    for d in range(300):
+        k = 400 + d % 2 if d < 20 else rng.randrange(400)
+        body = [w if rng.random() < 0.9 else "other" for w in items[k][1]] if d % 2 else items[k][1]
+        rows.append((d, " ".join(text(rng.randrange(300)) + body + text(rng.randrange(600)))))
+        if d % 2 == 0 or dc.common_subsequence(dc._places(items[k][1]), len(items[k][1]), body) >= 0.8 * len(body):
+            planted.add((d, k))
+    # words spread over more than two blocks of an item's own size are no copy of it
+    spread = [w for x in items[0][1] for w in [x] + ["other"] * 30]
+    rows.append((1000, " ".join(spread)))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in dc.contaminated(make_docs(rows), bench).collect()}
+    wants_answer = {(d, k) for d, k in planted if d % 2 == 0}
+    assert wants_answer <= got and len(planted - got) <= 0.01 * len(planted) and (1000, 0) not in got
