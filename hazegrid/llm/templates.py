@@ -73,6 +73,8 @@ def deduce(pages: DataFrame) -> DataFrame:
 
     ``pages`` has ``host`` and ``html``.
     """
+    # copies of a page say nothing on what its host's pages share: each different page counts once
+    pages = pages.where("html <> ''").groupBy("host", F.xxhash64("html").alias("own"), F.length("html").alias("size")).agg(F.first("html").alias("html"))
     sums = [F.sum(c).alias(c) for c in ("n_pages", "times", "low", "high", "chars")]
     tokens = _tokens(pages).groupBy("host", "token").agg(*sums, F.max("article").alias("article"))
     tokens = materialize(tokens, "tokens")
@@ -108,16 +110,18 @@ def main_text(source: str | None, slot: str | None, fixed: frozenset[str] | set[
     inside = [b for b in blocks if slot and (b.path == slot or b.path.startswith(slot + "/"))]
     if any(b.main for b in blocks) and not any(b.main for b in inside):
         inside = [b for b in blocks if b.main]
-    kept = [b for b in (inside or blocks) if b.main or _run_token(b.path, b.text) not in fixed]
-    return "\n\n".join(b.text for b in kept)
+    found = inside or blocks
+    kept = [b for b in found if b.main or _run_token(b.path, b.text) not in fixed]
+    # the template never takes all of a page
+    return "\n\n".join(b.text for b in kept or found)
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The rows without their HTML, with ``text`` (main text) and ``n_chars`` (its code points).
 
     Pages are grouped by the host of their URL; pages without one form a group of their own. A null or empty page
-    has an empty text. Templates are summed up before any shuffle, so a host may hold any share of the pages. Repeated
-    rows count twice in their host and get equal texts; columns named ``text``, ``n_chars`` or ``host`` are replaced.
+    has an empty text. Pages are shuffled by their own hash and templates summed up before the next shuffle, so a host
+    may hold any share of the pages. Repeated rows count once in their host and get equal texts; columns named ``text``, ``n_chars`` or ``host`` are replaced.
     """
     small_batches(pages.sparkSession)
     keep = [c for c in pages.columns if c not in ("text", "n_chars", "host", html_col)]

@@ -35,3 +35,16 @@ def test_pages(spark):
 @pytest.mark.parametrize("source", ["<", "<p", "<!--", "<script>", "</p></b>", "<p x='", "<![CDATA[ x", "<a b=\"c' d>t</a>", "<p>" * 3000 + "x", "<div>" * 500 + "x", "&#x0;&bad;&am", "<script>a</script", "x" * 200_000, "<b " * 20_000, "<a='" * 5_000])
 def test_broken_pages_are_read(source):
     read_page(source)
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    one, two, three = (PLAIN.format(n=n) for n in (1, 2, 3))
+    rows = [(1, "http://a.example/1", one), (2, "http://a.example/2", one)]
+    rows += [(3, "http://b.example/1", two), (4, "http://b.example/2", two), (5, "http://b.example/3", two), (6, "http://b.example/4", one), (7, "http://b.example/5", three)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = {r["page_id"]: r["text"] for r in templates.extract(pages).collect()}
+    story = lambda n: f"Head {n}\n\n" + " ".join([f"Words of page {n}."] * 9)
+    assert story(1) in texts[1] and texts[1] == texts[2]
+    assert [texts[i] for i in (3, 4, 5, 6, 7)] == [story(n) for n in (2, 2, 2, 1, 3)]
+    # runs of the template are kept if nothing else is there
+    assert templates.main_text("<p>all the same</p>", None, {templates._run_token("/p", "all the same")}) == "all the same"
