@@ -48,3 +48,28 @@ def test_copies_of_a_page_are_no_template(spark):
     assert [texts[i] for i in (3, 4, 5, 6, 7)] == [story(n) for n in (2, 2, 2, 1, 3)]
     # runs of the template are kept if nothing else is there
     assert templates.main_text("<p>all the same</p>", None, {templates._run_token("/p", "all the same")}) == "all the same"
+
+
+STORY = "A story that is long enough to be the page. " * 5
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<body class='has-sidebar right-sidebar'><article><p>{s}</article><div class=sidebar>side</div>",
+        "<html id=header><body class='menu'><p>{s}</p>",
+        "<article class='post comments-open'><p>{s}</p></article><div class='comments'><article>other</article></div>",
+        "<main class='search'><p>{s}</p></main>",
+        "<div id='content-with-menu'><p>{s}</p></div>",
+        "<div class='search-result'><p>{s}</p></div><div class='main-menu'>go</div>",
+        "<div class='widget'><p>{s}</p></div><div class='ad'>buy</div>",
+        "<div class='social'><article>{s}</article></div><p class='site-footer'>imprint</p>",
+    ],
+)
+def test_names_around_the_article_do_not_drop_it(source):
+    assert templates.main_text(source.format(s=STORY), None, set()) == STORY.strip()
+
+
+@pytest.mark.parametrize("name", ["comments", "related-posts", "comment-list", "replies"])
+def test_long_texts_of_readers_stay_out(name):
+    assert templates.main_text(f"<div><p>short</p></div><div class='{name}'><article><p>{STORY}</p></article></div>", None, set()) == "short"
