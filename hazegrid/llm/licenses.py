@@ -3,6 +3,9 @@
 A text is cut into sentences; sentences that speak of licensing are normalised (lower case, only letters, digits, dots
 and plus signs) and mapped to the identifier of the first pattern that they match in full, or to ``unknown``. Ordered
 rules then read the sequence of identifiers: each rule takes its identifiers out of the sequence and adds a licence.
+
+Licence texts are mostly wrapped: lines that make up a known sentence are read as one, and a sentence of several clauses
+is read by clauses if that tells more. ``duckdb_sql`` reads line by line and without gaps, so it agrees on other texts only.
 """
 
 from __future__ import annotations
@@ -85,6 +88,13 @@ RULES = (
 #: A sentence ends at a line feed or at a stop with white space behind it.
 END = r"([.!?])[ \t\r\n]+"
 NOISE = r"[^a-z0-9.+]+"
+#: Line feeds that end a sentence without a stop: before a line without letters, a numbered or marked point, an opening.
+OPENING = (
+    r"permission is hereby granted|permission to use|redistributions? (and use|of source|in binary)|the above copyright notice and|the software is provided|"
+    r"this (program|library|work|file) is|this software is (provided by|licensed|released)|this source code form is|(licensed|released) under|"
+    r"unless required by|you may (not use|obtain)|you should have received|neither the name|all rights reserved|copyright (\(c\)|©|[0-9])|spdx-"
+)
+BLOCK_END = rf"\n(?=[^A-Za-z0-9\n]*+\n|[ \t]*(?:[-•]|\(?[0-9a-z]{{1,2}}[.)])[ \t]|[^A-Za-z0-9\n]*+(?i:{OPENING}))"
 
 
 def sequence_pattern(identifiers: tuple[str, ...]) -> str:
@@ -92,6 +102,11 @@ def sequence_pattern(identifiers: tuple[str, ...]) -> str:
     return "".join(rf"\|{i}" for i in identifiers) + r"(\||$)"
 
 
+def spaced_pattern(identifiers: tuple[str, ...]) -> str:
+    """The same, with unknown sentences between."""
+    return r"(?:\|unknown)*".join(rf"\|{i}" for i in identifiers) + r"(\||$)"
+
+
 def normalised(sentence: Column) -> Column:
     plain = F.regexp_replace(ascii_lower(sentence), NOISE, " ")
     return F.regexp_replace(F.trim(plain), r"[. ]+$", "")
@@ -104,6 +119,28 @@ def identified(sentence: Column) -> Column:
     return out
 
 
+def _known(ids: Column) -> Column:
+    return F.filter(ids, lambda i: i != "unknown")
+
+
+def _readings(sentence: Column) -> Column:
+    """Identifiers of a sentence by its lines, as a whole and by its clauses."""
+
+    def each(parts: Column) -> Column:
+        return F.transform(F.filter(parts, lambda s: s.rlike(HINT)), lambda s: identified(normalised(s)))
+
+    whole = F.when(sentence.contains("\n"), identified(normalised(sentence))).otherwise("unknown")
+    clauses = F.when(sentence.contains(";"), each(F.split(sentence, ";"))).otherwise(F.array().cast("array<string>"))
+    return F.struct(each(F.split(sentence, "\n")).alias("lines"), whole.alias("whole"), clauses.alias("clauses"))
+
+
+def _best(reading: Column) -> Column:
+    """The whole if it is known and no line says anything else, else the clauses if more of them are known, else the lines."""
+    others = F.filter(reading["lines"], lambda i: (i != "unknown") & (i != reading["whole"]))
+    more = F.size(_known(reading["clauses"])) > F.size(_known(reading["lines"]))
+    return F.when((reading["whole"] != "unknown") & (F.size(others) == 0), F.array(reading["whole"])).when(more, reading["clauses"]).otherwise(reading["lines"])
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, sentence_ids, licenses, n_known, n_unknown`` of every row.
 
@@ -114,17 +151,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     source = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
     # most texts never speak of licensing: they are not cut into sentences
-    speaks = F.coalesce(F.col("_text").rlike(HINT), F.lit(False))
-    sentences = F.split(F.regexp_replace("_text", END, "$1\n"), "\n")
-    relevant = F.when(speaks, F.transform(F.filter(sentences, lambda s: s.rlike(HINT)), normalised)).otherwise(F.array().cast("array<string>"))
-    found = source.select("_id", F.transform(relevant, identified).alias("_ids"))
+    speaks = F.coalesce(F.col("_text").rlike(HINT.replace(" ", r"\s+")), F.lit(False))
+    sentences = F.split(F.regexp_replace(F.regexp_replace("_text", END, "$1\n\n"), BLOCK_END, "\n\n"), "\n\n+")
+    found = source.select("_id", F.when(speaks, F.transform(sentences, _readings)).alias("_read"))
+    found = found.select("_id", F.coalesce(F.flatten(F.transform("_read", _best)), F.array().cast("array<string>")).alias("_ids"))
     found = found.withColumn("_left", F.when(F.size("_ids") > 0, F.concat(F.lit("|"), F.array_join("_ids", "|"))).otherwise(""))
     # each rule reads what the earlier ones have left
     hits = []
     left = F.col("_left")
     work = found
     for n, (licence, identifiers) in enumerate(RULES):
-        pattern = sequence_pattern(identifiers)
+        pattern = spaced_pattern(identifiers)
         work = work.withColumn(f"_hit{n}", F.when(left.rlike(pattern), licence)).withColumn("_left", F.regexp_replace(left, pattern, "$1"))
         hits.append(F.col(f"_hit{n}"))
     licences = F.array_join(F.array_distinct(F.array_compact(F.array(*hits))), ";")
