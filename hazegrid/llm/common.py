@@ -27,6 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> bytes:
+    """A vocabulary file, read where the plan is made: its bytes go to the tasks."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only; other letters stay as they are."""
     return F.translate(c, _UPPER, _LOWER)

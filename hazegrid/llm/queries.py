@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazegrid.llm import bpe, decontamination, hyperminhash, licenses, line_quality, merkle, ordinal, pseudo_likelihood, suffixes, templates, urls
-from hazegrid.llm.common import ascii_lower, table
+from hazegrid.llm import bpe, decontamination, hyperminhash, licenses, line_quality, merkle, ordinal, packing, pseudo_likelihood, suffixes, templates, urls
+from hazegrid.llm.common import ascii_lower, table, tokenizer_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -186,3 +186,9 @@ def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("path"))
     out = out.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@register("op12_best_fit_packing")
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2, outputs=("ids_crc32",))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
