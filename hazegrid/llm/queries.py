@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazegrid.llm import bpe, decontamination, hyperminhash, licenses, line_quality, merkle, ordinal, packing, pseudo_likelihood, suffixes, templates, urls
+from hazegrid.llm import alignment, bpe, decontamination, hyperminhash, licenses, line_quality, merkle, ordinal, packing, pseudo_likelihood, suffixes, templates, urls
 from hazegrid.llm.common import ascii_lower, table, tokenizer_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,3 +192,8 @@ def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2, outputs=("ids_crc32",))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@register("op13_token_alignment")
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
