@@ -44,3 +44,37 @@ def test_pieces_meet_at_safe_boundaries(reference, chunk):
         text = text or ""
         assert "".join(bpe.pieces(text, chunk)) == text
         assert bpe.codec(RANKS, public_tokenizers.PATTERN).encode(text, chunk) == reference.encode_ordinary(text)
+
+
+def whole_matches(text):
+    """Ids by the pattern's matches, found without the library."""
+    import regex
+
+    single = bpe.codec(RANKS, public_tokenizers.PATTERN).encoding._encode_single_piece
+    return [i for m in regex.finditer(public_tokenizers.PATTERN, text) for i in single(m.group())]
+
+
+LONG = [
+    " " * 1_000_000, "word" + " " * 200_000 + "word", "\n" * 150_000 + "x", "a" + " \n\t" * 50_000, "\u00a0\u3000 " * 20_000 + "!", " " * 1023 + "x", " " * 1025 + "\u2003",
+    "x" + " " * 5000 + "y" + "\r\n" * 5000 + "z" + "\t" * 5000, "\x1c" * 5000 + "q" + "\x85" * 2000,
+]
+
+
+@pytest.mark.parametrize("k", range(len(LONG)))
+def test_long_white_space(k):
+    c = bpe.codec(RANKS, public_tokenizers.PATTERN)
+    ids = c.encode(LONG[k])
+    assert ids == whole_matches(LONG[k]) and c.decode(ids) == LONG[k].encode()
+
+
+def test_long_white_space_in_a_table(make_docs):
+    rows = {r["doc_id"]: r for r in bpe.encode(make_docs(list(enumerate(LONG))), RANKS, public_tokenizers.PATTERN, outputs=("decoded_sha256", "n_tokens")).collect()}
+    for i, t in enumerate(LONG):
+        assert rows[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
+
+
+def test_words_of_any_script_are_cut(reference):
+    text = "привет мир это длинный текст без латинских букв " * 9000
+    parts = list(bpe.pieces(text))
+    assert len(parts) > 5 and max(map(len, parts)) < bpe.CHUNK + 100 and "".join(parts) == text
+    assert bpe.codec(RANKS, public_tokenizers.PATTERN).encode(text) == reference.encode_ordinary(text)
