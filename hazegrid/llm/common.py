@@ -40,6 +40,14 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, _UPPER, _LOWER)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many marks before it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def per_batch(fn: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """``mapInPandas`` body that skips empty batches."""
 

@@ -401,6 +401,11 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of documents that hold no item, with all their columns; rows with a null id stay."""
-    found = contaminated(docs, items, id_col, text_col).select(F.col(id_col).alias("_found")).distinct()
-    return docs.join(found, docs[id_col] == F.col("_found"), "left_anti")
+    """The rows whose text holds no item, with all their columns; rows with a null id stay.
+
+    Each row is judged by its own text: an id with several texts loses those that hold an item.
+    """
+    key = F.md5(docs[text_col])
+    texts = docs.select(key.alias("doc"), docs[text_col].alias("text")).where(docs[id_col].isNotNull() & key.isNotNull())
+    found = contaminated(texts, items, "doc", "text").select(F.col("doc").alias("found_key")).distinct()
+    return docs.join(found, docs[id_col].isNotNull() & (key == found["found_key"]), "left_anti")

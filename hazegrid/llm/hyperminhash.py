@@ -14,10 +14,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazegrid.llm.common import in_groups, small_batches
+from hazegrid.llm.common import in_groups, small_batches, unused
 from hazegrid.operators.components import contract
 from hazegrid.session import discard, materialize
 
@@ -88,10 +88,18 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return np.maximum(0.0, equal - chance) / np.maximum(1, used)
 
 
-def signatures(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_shingles, set_key, registers`` of every row; key and registers are null for a text without words."""
+def _text_key(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def signatures(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """``id, text_key, n_shingles, set_key, registers`` of every row.
+
+    Set key and registers are null for a text without words; ``text_key`` is the text's MD5 if ``keyed``, else empty.
+    """
     small_batches(docs.sparkSession)
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    text_key = _text_key(docs[text_col]) if keyed else F.lit(b"")
+    source = docs.select(docs[id_col].alias("id"), text_key.alias("text_key"), docs[text_col].alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = ShingleHasher(shingle)
@@ -99,12 +107,13 @@ def signatures(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col:
             sets = [hasher(t) for t in pdf["text"]]
             yield pd.DataFrame({
                 "id": pdf["id"],
+                "text_key": pdf["text_key"],
                 "n_shingles": [len(s) for s in sets],
                 "set_key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                 "registers": [registers(s).tobytes() if len(s) else None for s in sets],
             })
 
-    return source.mapInPandas(run, f"id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, set_key binary, registers binary")
+    return source.mapInPandas(run, f"id {docs.schema[id_col].dataType.simpleString()}, text_key binary, n_shingles long, set_key binary, registers binary")
 
 
 def bands(classes: DataFrame) -> DataFrame:
@@ -200,7 +209,7 @@ def _members(roots: DataFrame) -> DataFrame:
 
 def _full_sets(docs: DataFrame, members: DataFrame, classes: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
     """``node, family, shingles`` of the classes in ``members``; one document of each class gives its text."""
-    wanted = classes.join(members, "node").select(F.col("rep").alias("id"), "node", "family")
+    wanted = classes.join(members, "node").select(F.col("rep.id").alias("id"), "node", "family")
     # both sides are dealt by id at every size
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(wanted.hint("merge"), "id").select("node", "family", "text")
 
@@ -279,19 +288,13 @@ def _spanning_links(sets: DataFrame, percent: int) -> DataFrame:
     return in_groups(blocks, ["family", "i", "j"], link, "u binary, v binary", rows=2 * BLOCK).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, n_shingles, component_id, kept`` of every row.
-
-    Words are runs without ASCII white space, A-Z count as a-z, and a set holds the distinct runs of ``shingle``
-    words (or all words as one, if there are fewer). Documents with ``100 * intersection >= percent * union`` are
-    linked; ``component_id`` is the least id that links lead to and ``kept`` marks the row that carries it. A text
-    without words (null, empty, white space) has no shingles and stays alone. A row without id is never linked; its
-    component is null and it is kept. Repeated rows get the same values; further columns are not read.
-    """
-    signed = materialize(signatures(docs, shingle, id_col, text_col), "signatures")
+def _components(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str, keyed: bool) -> DataFrame:
+    """``id, text_key, n_shingles, first`` of every row; ``first`` has the least id of the row's component and, among its
+    rows, the least text key, or is null for rows that are never linked."""
+    signed = materialize(signatures(docs, shingle, id_col, text_col, keyed), "signatures")
     with_words = signed.where(F.col("id").isNotNull() & F.col("set_key").isNotNull())
     classes = materialize(
-        with_words.groupBy(F.col("set_key").alias("node")).agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")),
+        with_words.groupBy(F.col("set_key").alias("node")).agg(F.min(F.struct("id", "text_key")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")),
         "classes",
     )
     every = bands(classes)
@@ -303,20 +306,41 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     roots = contract(_spanning_links(_able(sets, percent), percent))
     discard(sets)
     placed = classes.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
-    least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_class = placed.join(least, "root").select(F.col("node").alias("set_key"), "component_id")
+    least = placed.groupBy("root").agg(F.min("rep").alias("first"))
+    of_class = placed.join(least, "root").select(F.col("node").alias("set_key"), "first")
     # a set that a third of all rows share is one row on the right, so adaptive execution can split the left
     out = signed.join(of_class, "set_key", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+    return out.select("id", "text_key", "n_shingles", F.when(F.col("id").isNotNull(), F.col("first")).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, n_shingles, component_id, kept`` of every row.
+
+    Words are runs without ASCII white space, A-Z count as a-z, and a set holds the distinct runs of ``shingle``
+    words (or all words as one, if there are fewer). Documents with ``100 * intersection >= percent * union`` are
+    linked; ``component_id`` is the least id that links lead to and ``kept`` marks the row that carries it. A text
+    without words (null, empty, white space) has no shingles and stays alone. A row without id is never linked; its
+    component is null and it is kept. Repeated rows get the same values; further columns are not read.
+    """
+    out = _components(docs, shingle, percent, id_col, text_col, keyed=False)
+    component = F.coalesce("first.id", "id")
     return out.select(
         F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept")
     )
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of one document per component, with all their columns; repeated rows of it are one."""
-    gone = near_duplicates(docs, shingle, percent, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    rest = docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
-    # rows without id are no copies of each other
-    own = rest.withColumn("_row", F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()))
-    return own.dropDuplicates([id_col, "_row"]).select(*docs.columns)
+    """The rows of one document per component, with all their columns.
+
+    A document is an id with a text: an id whose texts differ keeps a row for each component they are in. Of a
+    component the least id stays, and of its texts the one with the least MD5. Repeated rows of a document are one;
+    rows without id or without words are never copies of others, and rows without id all stay.
+    """
+    out = _components(docs, shingle, percent, id_col, text_col, keyed=True)
+    stays = (F.col("id") == F.col("first.id")) & (F.col("text_key") == F.col("first.text_key"))
+    gone = out.where(F.col("first").isNotNull() & ~stays).select(F.col("id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    key = _text_key(docs[text_col])
+    rest = docs.join(gone, (docs[id_col] == gone["gone_id"]) & (key == gone["gone_key"]), "left_anti")
+    row, text_key = unused(docs, "row"), unused(docs, "text_key")
+    own = rest.withColumns({row: F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()), text_key: _text_key(F.col(text_col))})
+    return own.dropDuplicates([id_col, row, text_key]).select(*docs.columns)

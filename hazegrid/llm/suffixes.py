@@ -15,10 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazegrid.llm.common import in_groups, small_batches
+from hazegrid.llm.common import in_groups, small_batches, unused
 from hazegrid.llm.deepshallow import sort_strings
 from hazegrid.session import discard, materialize
 
@@ -187,12 +187,15 @@ def _strings(length: int):
     return run
 
 
+def _place(id_: Column, text_key: Column) -> Column:
+    """A number for each row, the same only for rows with equal id and equal text."""
+    return F.xxhash64(id_, text_key)
+
+
 def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``place``: a number for each row, the same for rows with equal id, or with equal text if there is no id."""
     text = F.coalesce(docs[text_col], F.lit(""))
     key = F.md5(text)
-    place = F.when(docs[id_col].isNotNull(), F.xxhash64(docs[id_col])).otherwise(F.xxhash64(key))
-    return docs.select(docs[id_col].alias("id"), F.coalesce(place, F.lit(0).cast("long")).alias("place"), F.unhex(key).alias("text_key"), text.alias("text"))
+    return docs.select(docs[id_col].alias("id"), _place(docs[id_col], key).alias("place"), F.unhex(key).alias("text_key"), text.alias("text"))
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", group_rows: int = GROUP_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -292,12 +295,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     columns = docs.columns
     text = F.coalesce(docs[text_col], F.lit(""))
     key = F.md5(text)
-    number = F.coalesce(F.when(docs[id_col].isNotNull(), F.xxhash64(docs[id_col])).otherwise(F.xxhash64(key)), F.lit(0).cast("long"))
-    keyed = docs.withColumns({"_place": number, "_key": F.unhex(key)})
-    whole = copies.select(F.col("text_key").alias("_key"), F.lit(True).alias("_gone"))
-    marked = keyed.join(whole, "_key", "left")
-    cuts = spans.select(F.col("place").alias("_place"), F.col("text_key").alias("_key"), F.arrays_zip("starts", "stops").alias("_spans"))
-    marked = marked.join(cuts, ["_place", "_key"], "left")
+    own_place, own_key, gone, cut_at = (unused(docs, c) for c in ("place", "text_key", "gone", "spans"))
+    keyed = docs.withColumns({own_place: _place(docs[id_col], key), own_key: F.unhex(key)})
+    whole = copies.select(F.col("text_key").alias(own_key), F.lit(True).alias(gone))
+    marked = keyed.join(whole, own_key, "left")
+    cuts = spans.select(F.col("place").alias(own_place), F.col("text_key").alias(own_key), F.arrays_zip("starts", "stops").alias(cut_at))
+    marked = marked.join(cuts, [own_place, own_key], "left")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
@@ -308,8 +311,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    new = F.when(F.col("_gone"), "").otherwise(F.when(F.col("_spans").isNotNull(), cut(F.col(text_col), F.col("_spans.starts"), F.col("_spans.stops"))).otherwise(F.col(text_col)))
+    new = F.when(F.col(gone), "").otherwise(F.when(F.col(cut_at).isNotNull(), cut(F.col(text_col), F.col(f"{cut_at}.starts"), F.col(f"{cut_at}.stops"))).otherwise(F.col(text_col)))
     out = marked.withColumn(text_col, new)
     if chars_col and chars_col in columns:
-        out = out.withColumn(chars_col, F.when(F.col("_gone").isNotNull() | F.col("_spans").isNotNull(), F.char_length(text_col).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
+        out = out.withColumn(chars_col, F.when(F.col(gone).isNotNull() | F.col(cut_at).isNotNull(), F.char_length(text_col).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
     return out.select(*columns)

@@ -98,3 +98,12 @@ def test_items_of_mixed_length_are_found_in_windows_of_their_own(spark, make_doc
     got = {(r["doc_id"], r["item_id"]) for r in dc.contaminated(make_docs(rows), bench).collect()}
     wants_answer = {(d, k) for d, k in planted if d % 2 == 0}
     assert wants_answer <= got and len(planted - got) <= 0.01 * len(planted) and (1000, 0) not in got
+
+
+def test_rows_are_judged_by_their_own_text(spark, make_docs):
+    item = "which of these rivers carries the most water into the northern sea every year the great one"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, f"before it {item} and after it"), (1, "a clean text with words of its own and nothing else in it"), (None, item), (None, "clean too"), (2, None)]
+    left = dc.decontaminated(make_docs(rows), bench)
+    assert sorted((r["doc_id"], r["text"]) for r in left.where("doc_id IS NOT NULL").collect()) == [(1, rows[1][1]), (2, None)]
+    assert [r["text"] for r in left.where("doc_id IS NULL").collect()] == [rows[2][1], "clean too"]

@@ -91,3 +91,19 @@ def test_estimates_follow_similarity():
         assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
     x, y = hm.registers(rng.integers(0, 2**63, 9000).astype(np.uint64)), hm.registers(rng.integers(0, 2**63, 9000).astype(np.uint64))
     assert hm.estimate(x, y, 9000, 9000) < 0.03
+
+
+def test_an_id_with_several_texts_loses_copies_only(make_docs):
+    a, b = "one two three four five six seven eight nine ten eleven", "other words that have nothing in common with those of it"
+    kept = lambda rows: sorted((r["doc_id"], r["text"]) for r in hm.deduplicated(make_docs(rows), 3, 85).collect())
+    assert kept([(0, b), (1, a), (1, b)]) == [(0, b), (1, a)]
+    # texts of one id in one component: one stays
+    assert len(kept([(1, a), (1, a.upper()), (1, a), (2, a)])) == 1
+    assert kept([(1, a), (1, b), (1, b)]) == sorted([(1, a), (1, b)])
+    assert sorted(kept([(1, ""), (1, " "), (2, "")])) == [(1, ""), (1, " "), (2, "")]
+
+
+def test_columns_named_like_helpers_are_kept(make_docs):
+    docs = make_docs([(1, "a b c d"), (2, "a b c d")]).selectExpr("*", "7 AS row", "8 AS _row", "9 AS text_key", "1 AS gone_id", "2 AS gone_key")
+    (only,) = hm.deduplicated(docs, 3, 85).collect()
+    assert only.asDict() == docs.where("doc_id = 1").first().asDict()

@@ -70,3 +70,19 @@ def test_deep_shallow_order():
             pairs = [len(os.path.commonprefix([strings[order[k - 1]], strings[order[k]]])) for k in range(1, len(order))]
             assert lcp == [0] * bool(strings) + pairs
     assert common_prefix(b"", b"a") == 0 and common_prefix(b"\0\0a", b"\0\0b") == 2
+
+
+def test_texts_that_share_an_id_are_told_apart(make_docs):
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = noise(350)
+    rows = [(1, noise(500) + passage + noise(100)), (1, noise(1168)), (2, passage + noise(700)), (1, noise(300) + passage), (3, noise(900))]
+    got = sorted(tuple(r)[1:] for r in suffixes.measure(make_docs(rows)).collect())
+    assert got == sorted(brute(rows, 200))
+    one_id = [(7, t) for _, t in rows]
+    assert sorted(tuple(r)[1:] for r in suffixes.measure(make_docs(one_id)).collect()) == sorted(brute(rows, 200))
+    docs = make_docs(one_id).selectExpr("*", "1 AS _place", "2 AS _key", "3 AS _gone", "4 AS _spans", "5 AS text_key", "6 AS spans")
+    left = suffixes.without_repeats(docs)
+    assert left.columns == docs.columns
+    assert sorted(hashlib.sha256(r["text"].encode()).hexdigest() for r in left.collect()) == sorted(d for *_, d in brute(rows, 200))
+    assert {(r["_place"], r["_key"], r["_gone"], r["_spans"], r["text_key"], r["spans"]) for r in left.collect()} == {(1, 2, 3, 4, 5, 6)}
