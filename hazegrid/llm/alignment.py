@@ -33,7 +33,7 @@ ID_BITS = 24
 WIDE = 256
 #: Tokens on either side of the middle that are tried before the whole interval is.
 NEAR = 3
-_PIECES: dict[str, Pieces] = {}
+_ALIGNERS: dict[tuple[str, str], Aligner] = {}
 
 
 class Pieces:
@@ -58,12 +58,17 @@ def _middle_cuts(end_a: np.ndarray, end_b: np.ndarray, a0: np.ndarray, a1: np.nd
     middle = (a0 + a1 - 2) // 2
     at = np.full(len(a0), -1)
     other = np.full(len(a0), -1)
+    open_ = np.arange(len(a0))
     for step in sorted(range(-NEAR, NEAR + 1), key=abs):
-        open_ = np.flatnonzero((at < 0) & (middle + step >= a0) & (middle + step < a1 - 1))
         i = middle[open_] + step
+        inside = (i >= a0[open_]) & (i < a1[open_] - 1)
+        own, i = open_[inside], i[inside]
         j = np.searchsorted(end_b, end_a[i])
         hit = end_b[j] == end_a[i]
-        at[open_[hit]], other[open_[hit]] = i[hit], j[hit]
+        at[own[hit]], other[own[hit]] = i[hit], j[hit]
+        open_ = open_[at[open_] < 0]
+        if not len(open_):
+            break
     far = np.flatnonzero((at < 0) & (a1 - a0 - 1 > 2 * NEAR + 1))
     if len(far):
         n = a1[far] - a0[far] - 1
@@ -89,15 +94,17 @@ def leaf_groups(end_a: np.ndarray, end_b: np.ndarray, docs_a: np.ndarray, docs_b
     a0, a1, b0, b1 = a0[some], a1[some], b0[some], b1[some]
     stops_a, stops_b = [], []
     while len(a0):
-        at, other = _middle_cuts(end_a, end_b, a0, a1)
         # one token on a side cannot be cut
-        whole = (at < 0) | (a1 - a0 < 2) | (b1 - b0 < 2)
+        cut = np.flatnonzero((a1 - a0 > 1) & (b1 - b0 > 1))
+        at, other = _middle_cuts(end_a, end_b, a0[cut], a1[cut])
+        cut, at, other = cut[at >= 0], at[at >= 0] + 1, other[at >= 0] + 1
+        whole = np.ones(len(a0), bool)
+        whole[cut] = False
         stops_a.append(a1[whole])
         stops_b.append(b1[whole])
-        cut = ~whole
-        i, j = at[cut] + 1, other[cut] + 1
-        a0, a1 = np.concatenate([a0[cut], i]), np.concatenate([i, a1[cut]])
-        b0, b1 = np.concatenate([b0[cut], j]), np.concatenate([j, b1[cut]])
+        # halves side by side: the intervals stay in order, which keeps the searches local
+        a0, a1 = np.column_stack([a0[cut], at]).ravel(), np.column_stack([at, a1[cut]]).ravel()
+        b0, b1 = np.column_stack([b0[cut], other]).ravel(), np.column_stack([other, b1[cut]]).ravel()
     if not stops_a:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     sa, sb = np.concatenate(stops_a), np.concatenate(stops_b)
@@ -128,46 +135,42 @@ def _load(blobs: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64), np.cumsum([len(p) for p in parts])
 
 
-def _written(ids_a: np.ndarray, ids_b: np.ndarray, stop_a: np.ndarray, stop_b: np.ndarray) -> np.ndarray:
-    """Ids as text, with the marks of the groups, in the order of writing."""
-    comma_a, comma_b = ids_a.astype("U").astype(object) + ",", ids_b.astype("U").astype(object) + ","
-    comma_a[stop_a - 1] = ids_a[stop_a - 1].astype("U").astype(object) + "|"
-    comma_b[stop_b - 1] = ids_b[stop_b - 1].astype("U").astype(object) + ";"
-    # stable: within a group first those of A
-    side = np.concatenate([2 * np.searchsorted(stop_a, np.arange(len(ids_a)), "right"), 2 * np.searchsorted(stop_b, np.arange(len(ids_b)), "right") + 1])
-    return np.concatenate([comma_a, comma_b])[np.argsort(side, kind="stable")]
+def _written(ids_a: np.ndarray, ids_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, marked: dict[str, np.ndarray]) -> np.ndarray:
+    """Ids as text, with the marks of the groups, in the order of writing; ``marked`` has all ids with each mark."""
+    stop_a, stop_b = np.cumsum(size_a), np.cumsum(size_b)
+    out = np.empty(len(ids_a) + len(ids_b), object)
+    at_a = np.arange(len(ids_a)) + np.repeat(stop_b - size_b, size_a)
+    at_b = np.arange(len(ids_b)) + np.repeat(stop_a, size_b)
+    out[at_a], out[at_b] = marked[","][ids_a], marked[","][ids_b]
+    out[at_a[stop_a - 1]], out[at_b[stop_b - 1]] = marked["|"][ids_a[stop_a - 1]], marked[";"][ids_b[stop_b - 1]]
+    return out
 
 
-_ALIGNED = "row long, id string, ids_a binary, ids_b binary, size_a binary, size_b binary, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
+class Aligner:
+    """Both tokenizers and what is derived from their vocabularies; built once per Python worker."""
 
+    def __init__(self, name_a: str, a_file: bytes, b_model: bytes):
+        self.a, self.b = encoder(name_a, a_file, plain_specials=True), Pieces(b_model)
+        self.bytes_a, self.bytes_b = self.a.token_bytes(), self.b.bytes
+        self.length_a, self.length_b = np.array([len(t) for t in self.bytes_a]), np.array([len(t) for t in self.bytes_b])
+        most = max(len(self.bytes_a), len(self.bytes_b))
+        self.marked = {mark: np.array([f"{i}{mark}" for i in range(most)], object) for mark in ",|;"}
 
-def aligned(docs: DataFrame, a_file: bytes, b_model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Token ids and groups of every row, as numbers in bytes, and their counts and hash.
-
-    A encodes a blank and the text, B the text. A text that is null or empty, or whose joined token bytes are not the
-    blank and the text on both sides, has no tokens.
-    """
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((a_file, b_model))  # a few megabytes
-    name_a, name_b = hashlib.sha256(a_file).hexdigest(), hashlib.sha256(b_model).hexdigest()
-    source = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].cast("string").alias("id"), docs[text_col].alias("text"))
-
-    def align(a, table_a, len_a, b, len_b, texts: list[str]) -> list[tuple]:
-        raw_a = a.encode_all([" " + t for t in texts])
-        raw_b = b.encode_all(texts)
-        ids_a, ids_b = [], []
+    def __call__(self, texts: list[str]) -> list[tuple]:
+        raw_a, raw_b = self.a.encode_all([" " + t for t in texts]), self.b.encode_all(texts)
+        ids_a, ids_b, none = [], [], np.zeros(0, np.int64)
         for k, t in enumerate(texts):
-            x, y = np.frombuffer(raw_a[k], "<u4"), np.array(raw_b[k], np.int64)
+            x, y = np.frombuffer(raw_a[k], "<u4").astype(np.int64), np.array(raw_b[k], np.int64)
             want = b" " + t.encode("utf-8", "surrogatepass")
-            same = t and b"".join(map(table_a.__getitem__, x.tolist())) == want == b"".join(map(b.bytes.__getitem__, raw_b[k]))
-            ids_a.append(x.astype(np.int64) if same else np.zeros(0, np.int64))
-            ids_b.append(y if same else np.zeros(0, np.int64))
+            same = t and b"".join(map(self.bytes_a.__getitem__, x.tolist())) == want == b"".join(map(self.bytes_b.__getitem__, raw_b[k]))
+            ids_a.append(x if same else none)
+            ids_b.append(y if same else none)
         docs_a, docs_b = np.cumsum([len(x) for x in ids_a]), np.cumsum([len(x) for x in ids_b])
         flat_a, flat_b = np.concatenate(ids_a), np.concatenate(ids_b)
-        stop_a, stop_b = leaf_groups(np.cumsum(len_a[flat_a]), np.cumsum(len_b[flat_b]), docs_a, docs_b)
+        stop_a, stop_b = leaf_groups(np.cumsum(self.length_a[flat_a]), np.cumsum(self.length_b[flat_b]), docs_a, docs_b)
         size_a, size_b = np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0)
         until = np.searchsorted(stop_a, docs_a, "right")
-        words = _written(flat_a, flat_b, stop_a, stop_b)
+        words = _written(flat_a, flat_b, size_a, size_b, self.marked)
         out, g0, w0 = [], 0, 0
         for k in range(len(texts)):
             g1, w1 = int(until[k]), int(docs_a[k] + docs_b[k])
@@ -177,18 +180,28 @@ def aligned(docs: DataFrame, a_file: bytes, b_model: bytes, id_col: str = "doc_i
             g0, w0 = g1, w1
         return out
 
+
+_ALIGNED = "row long, id string, ids_a binary, ids_b binary, size_a binary, size_b binary, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
+
+
+def aligned(docs: DataFrame, a_file: bytes, b_model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Token ids and groups of every row, as numbers in bytes, and their counts and hash.
+
+    A encodes a blank and the text, B the text. A text that is null or empty, or whose joined token bytes are not the
+    blank and the text on both sides, has no tokens.
+    """
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast((a_file, b_model))  # a few megabytes
+    names = hashlib.sha256(a_file).hexdigest(), hashlib.sha256(b_model).hexdigest()
+    source = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].cast("string").alias("id"), docs[text_col].alias("text"))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a_blob, b_blob = shared.value
-        a = encoder(name_a, a_blob, plain_specials=True)
-        if name_b not in _PIECES:
-            _PIECES[name_b] = Pieces(b_blob)
-        b = _PIECES[name_b]
-        table_a = a.token_bytes()
-        len_a, len_b = np.array([len(t) for t in table_a]), np.array([len(t) for t in b.bytes])
+        if names not in _ALIGNERS:
+            _ALIGNERS[names] = Aligner(names[0], *shared.value)
         for pdf in batches:
             texts = [t or "" for t in pdf["text"]]
             for lo, hi in _slices([len(t) for t in texts]):
-                rows = align(a, table_a, len_a, b, len_b, texts[lo:hi])
+                rows = _ALIGNERS[names](texts[lo:hi])
                 out = pd.DataFrame(rows, columns=["ids_a", "ids_b", "size_a", "size_b", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"])
                 out.insert(0, "row", pdf["row"].to_numpy()[lo:hi])
                 out.insert(1, "id", pd.Series(pdf["id"].tolist()[lo:hi], dtype=object))
