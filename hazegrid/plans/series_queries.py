@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hazegrid.operators import temporal, trends
+from hazegrid.operators import density, temporal, trends
 from hazegrid.plans import sqltext as S
 from hazegrid.plans.hotspot_queries import _TAIL
 from hazegrid.plans.registry import query, rounded
@@ -42,3 +42,26 @@ def _(t: Tables):
 )
 def _(t: Tables):
     return rounded(rounded(trends.theil_sen(t.panel(), ["station_id"], F.unix_date("date"), "aod"), 10, "slope"), 7, "intercept")
+
+
+# --- density --------------------------------------------------------------------------------
+EPS, MIN_POINTS = 0.45, 4
+_WITHIN = f"(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {EPS!r}e0 * {EPS!r}e0"
+
+
+@query(
+    "ts_05_density_clusters",
+    f""", RECURSIVE pts AS (SELECT fire_id AS id, longitude AS x, latitude AS y FROM fires),
+    near AS (SELECT a.id AS a, b.id AS b FROM pts a JOIN pts b ON {_WITHIN}),
+    core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= {MIN_POINTS}),
+    owned AS (SELECT a, b FROM near WHERE b IN (SELECT id FROM core)),
+    links AS (SELECT a, b FROM owned WHERE a IN (SELECT id FROM core)),
+    reach AS (SELECT id, id AS root FROM core UNION SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.id),
+    named AS (SELECT id, min(root) AS cluster FROM reach GROUP BY id),
+    border AS (SELECT a AS id, min(b) AS owner FROM owned GROUP BY a)
+    SELECT pts.id AS fire_id, coalesce(named.cluster, own.cluster) AS cluster, named.id IS NOT NULL AS core
+    FROM pts LEFT JOIN named ON pts.id = named.id LEFT JOIN border ON pts.id = border.id LEFT JOIN named own ON border.owner = own.id""",
+    ["fires"],
+)
+def _(t: Tables):
+    return density.density_clusters(t.fires(), EPS, MIN_POINTS, "fire_id", "longitude", "latitude")
