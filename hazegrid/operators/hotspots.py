@@ -132,15 +132,14 @@ def permutation_p(
     """
     offsets = offsets_within(band / spacing)
     present = cells.where(F.col(value).isNotNull()).select("row", "col", F.col(value).cast("double").alias("_x"))
-    rows = present.count()
     marked = present.withColumn("_p", F.struct("_x", F.col("row").alias("r"), F.col("col").alias("c")))
     here = (F.col("_v.r") == F.col("row")) & (F.col("_v.c") == F.col("col"))
     observed = neighbour_aggregate(marked, "_p", offsets, {"_obs": F.sum("_v._x"), "_own": F.max(F.when(here, F.col("_v._x")))})
     place, tie = F.concat_ws(",", "row", "col"), ("row", "col")
-    slots = shuffled_positions(present.select("row", "col"), place, f"slot{seed}", rows, "_slot", tie=tie)
+    slots = shuffled_positions(present.select("row", "col"), place, f"slot{seed}", "_slot", tie=tie)
     runs = present.withColumn("_perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
     key = F.concat_ws(":", F.col("_perm"), place)
-    values = shuffled_positions(runs, key, f"value{seed}", rows, "_slot", ["_perm"], tie)
+    values = shuffled_positions(runs, key, f"value{seed}", "_slot", ["_perm"], tie)
     values = values.select("_perm", "_slot", "_x", F.col("row").alias("_from_r"), F.col("col").alias("_from_c"))
     landed = F.struct("_x", F.col("row").alias("r"), F.col("col").alias("c"), "_from_r", "_from_c")
     relabelled = values.join(slots, "_slot").withColumn("_p", landed)
@@ -163,21 +162,20 @@ def permutation_p(
     ).drop("_ge")
 
 
-def fdr_adjust(df: DataFrame, p: str = "gi_p", out: str = "p_adj", **ranking) -> DataFrame:
+def fdr_adjust(df: DataFrame, p: str = "gi_p", out: str = "p_adj", ranges: int | None = None) -> DataFrame:
     """Benjamini-Hochberg adjusted p-values over the whole table; NULL p stays NULL.
 
     Works on distinct p-values with their cumulative counts, so equal p-values (however many)
     are one row, and the running minimum from the top is taken per value range and then
     across ranges.
     """
-    ranks = cumulative_counts(df, p, **ranking)
-    total = ranks.agg(F.sum("n")).scalar()
-    scored = ranks.withColumn("_s", F.col(p) * total.cast("double") / F.col("n_le").cast("double"))
-    above = Window.partitionBy("bin").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    higher = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = cumulative_counts(df, p, ranges=ranges)
+    scored = ranks.withColumn("_s", F.col(p) * F.col("total").cast("double") / F.col("n_le").cast("double"))
+    above = Window.partitionBy("range").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
+    higher = Window.partitionBy(F.lit(0)).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
     # one row per range
-    later = scored.groupBy("bin").agg(F.min("_s").alias("_m")).select("bin", F.min("_m").over(higher).alias("_later"))
-    adjusted = scored.withColumn("_own", F.min("_s").over(above)).join(later, "bin").select(
+    later = scored.groupBy("range").agg(F.min("_s").alias("_m")).select("range", F.min("_m").over(higher).alias("_later"))
+    adjusted = scored.withColumn("_own", F.min("_s").over(above)).join(later, "range").select(
         F.col(p), F.least(F.col("_own"), F.col("_later"), F.lit(1.0)).alias(out)
     )
     return df.join(adjusted, p, "left")

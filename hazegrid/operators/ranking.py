@@ -1,4 +1,8 @@
-"""Global order statistics that never put all rows into one task."""
+"""Global order statistics that never put all rows into one task.
+
+There is one path at every size: rows are dealt by ranges of their order and stored, each range counts its rows, and the
+counts of the lower ranges are joined back.
+"""
 
 from __future__ import annotations
 
@@ -11,157 +15,76 @@ from pyspark.sql import functions as F
 from hazegrid.functions.geo import portable_hash
 from hazegrid.session import materialize
 
-# Largest table that one task may sort or hold.
-ONE_TASK_ROWS = 1_000_000
-
 
-def cumulative_counts(df: DataFrame, value: str, task_rows: int = ONE_TASK_ROWS) -> DataFrame:
-    """Distinct non-NULL values with ``n``, ``n_le`` (rows <= value) and ``bin``.
+def running_sums(df: DataFrame, order: Sequence[str], amount: str, by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
+    """``df`` with ``range``, ``upto`` (sum of ``amount`` up to and with the row, per ``by``) and ``total`` (of its group).
 
-    Rows collapse to distinct values before anything is ordered, so a value held by a third
-    of all rows is one row here. Distinct values beyond ``task_rows`` are split into value
-    ranges, each running its own window and shifted by the counts of the lower ranges.
+    ``by`` must not be null. Rows that are equal in ``order`` are taken in any order. ``ranges`` asks for a number of
+    ranges; without it the session's shuffle settings decide.
     """
-    counts = materialize(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n")), "values")
-    distinct = counts.count()
-    n_bins = max(1, math.ceil(distinct / task_rows))
-    if n_bins == 1:
-        binned = counts.withColumn("bin", F.lit(0))
-    else:
-        # cuts fall between distinct values, so every range holds a similar share of them
-        at = [i / n_bins for i in range(1, n_bins)]
-        cuts = counts.agg(F.percentile_approx(value, at, 20 * n_bins)).first()[0]
-        edges = F.array(*[F.lit(c) for c in cuts])
-        binned = counts.withColumn("bin", F.size(F.filter(edges, lambda e: e < F.col(value))))
-    inner = Window.partitionBy("bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    running = binned.withColumn("_in_bin", F.sum("n").over(inner))
-    if n_bins == 1:
-        return running.withColumnRenamed("_in_bin", "n_le")
-    # one row per range: bounded by n_bins
-    lower = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    shift = (
-        binned.groupBy("bin").agg(F.sum("n").alias("_bin_n"))
-        .withColumn("_below", F.coalesce(F.sum("_bin_n").over(lower), F.lit(0)))
-        .select("bin", "_below")
+    keys = [F.col(c).asc_nulls_first() for c in [*by, *order]]
+    spread = df.repartitionByRange(ranges, *keys) if ranges else df.repartitionByRange(*keys)
+    # stored: both readings below must see the same ranges
+    spread = materialize(spread.withColumn("range", F.spark_partition_id()), "ranges")
+    # one row for each range and group
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    lower = group.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    base = spread.groupBy(*by, "range").agg(F.sum(amount).alias("_amount")).select(
+        *by, "range", F.coalesce(F.sum("_amount").over(lower), F.lit(0)).alias("_below"), F.sum("_amount").over(group).alias("total")
     )
-    return running.join(shift, "bin").select(value, "n", "bin", (F.col("_in_bin") + F.col("_below")).alias("n_le"))
+    inside = Window.partitionBy(*by, "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    counted = spread.withColumn("_upto", F.sum(amount).over(inside)).join(base, [*by, "range"])
+    return counted.select(*df.columns, "range", (F.col("_upto") + F.col("_below")).alias("upto"), "total")
 
 
-def exact_quantiles(
-    df: DataFrame,
-    columns: Mapping[str, Column] | Sequence[str],
-    probs: Sequence[float],
-    task_rows: int = ONE_TASK_ROWS,
-) -> dict[str, list[float | None]]:
-    """Exact linearly interpolated quantiles of several columns, NULLs ignored.
+def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
+    """Distinct non-NULL values (per ``by``) with ``n``, ``n_le`` (rows <= value), ``total`` and ``range``.
 
-    One pass brackets every quantile with a sketch. If a column has few rows the built-in
-    exact aggregate finishes; otherwise only rows inside the brackets are counted by value
-    and the wanted ranks are picked from those counts.
+    Rows collapse to distinct values before anything is ordered, so a value held by a third of all rows is one row here.
     """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    return running_sums(counts, [value], "n", by, ranges).select(*by, value, "n", "range", F.col("upto").alias("n_le"), "total")
+
+
+def mid_ranks(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "rank", ranges: int | None = None) -> DataFrame:
+    """``df`` with the rank of each value per ``by``; equal values share the mean of their ranks, NULL has none."""
+    counts = cumulative_counts(df, value, by, ranges)
+    # one row for each value on the right, so adaptive execution can split a hot value on the left
+    ranks = counts.select(*by, value, (F.col("n_le") - (F.col("n") - 1) / F.lit(2.0)).alias(out))
+    return df.join(ranks, [*by, value], "left")
+
+
+def exact_quantiles(
+    df: DataFrame, columns: Mapping[str, Column] | Sequence[str], probs: Sequence[float], ranges: int | None = None
+) -> dict[str, list[float | None]]:
+    """Exact linearly interpolated quantiles of several columns, NULLs ignored, in one pass over ``df``."""
     exprs = dict(columns) if isinstance(columns, Mapping) else {c: F.col(c) for c in columns}
     if not exprs:
         return {}
     names = list(exprs)
-    base = df.select(*[exprs[c].cast("double").alias(c) for c in names])
-    sketch = 10_000
-    margin = 2.0 / sketch
-    bracket_at = [min(1.0, max(0.0, p + s * margin)) for p in probs for s in (-1, 1)]
-    first = base.agg(
-        *[F.count(c).alias(f"n_{i}") for i, c in enumerate(names)],
-        *[F.percentile_approx(c, bracket_at, sketch).alias(f"b_{i}") for i, c in enumerate(names)],
-    ).first()
-    counts = {c: first[f"n_{i}"] for i, c in enumerate(names)}
-    if max(counts.values()) <= task_rows:
-        row = base.agg(*[F.percentile(c, F.array(*[F.lit(float(p)) for p in probs])).alias(c) for c in names]).first()
-        return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in names}
-
-    # (column, probability index, 0-based target position) and the value bracket that holds it
-    wanted = [(c, j, (counts[c] - 1) * p) for c in names for j, p in enumerate(probs) if counts[c]]
-    bracket = [tuple(first[f"b_{names.index(c)}"][2 * j : 2 * j + 2]) for c, j, _ in wanted]
-    for attempt in range(4):
-        guards = []
-        for q, (c, _j, _h) in enumerate(wanted):
-            lo, hi = bracket[q]
-            guards += [
-                F.count(F.when(F.col(c) < lo, 1)).alias(f"below_{q}"),
-                F.count(F.when(F.col(c).between(lo, hi), 1)).alias(f"inside_{q}"),
-                F.max(F.when(F.col(c) < lo, F.col(c))).alias(f"prev_{q}"),
-                F.min(F.when(F.col(c) > hi, F.col(c))).alias(f"next_{q}"),
-            ]
-        edge = base.agg(*guards).first()
-        wide = [q for q in range(len(wanted)) if edge[f"inside_{q}"] > task_rows and bracket[q][0] < bracket[q][1]]
-        if not wide or attempt == 3:
-            break
-        # narrow again inside the bracket; a single value held by many rows cannot narrow and need not
-        again = []
-        for q in wide:
-            c, _j, h = wanted[q]
-            lo, hi = bracket[q]
-            local = (h - edge[f"below_{q}"]) / max(edge[f"inside_{q}"] - 1, 1)
-            at = [min(1.0, max(0.0, local + s * margin)) for s in (-1, 1)]
-            again.append(F.percentile_approx(F.when(F.col(c).between(lo, hi), F.col(c)), at, sketch).alias(f"b_{q}"))
-        narrowed = base.agg(*again).first()
-        settled = True
-        for q in wide:
-            settled &= tuple(narrowed[f"b_{q}"]) == bracket[q]
-            bracket[q] = tuple(narrowed[f"b_{q}"])
-        if settled:
-            break
-    parts = [
-        F.when(F.col(c).between(*bracket[q]), F.struct(F.lit(q).alias("q"), F.col(c).alias("v")))
-        for q, (c, _j, _h) in enumerate(wanted)
-    ]
-    inside = (
-        base.select(F.explode(F.array_compact(F.array(*parts))).alias("e")).groupBy("e.q", "e.v")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    order = Window.partitionBy("q").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranks = F.create_map(
-        *[x for q, (_, _, h) in enumerate(wanted) for x in (F.lit(q), F.lit(float(math.floor(h) - edge[f"below_{q}"])))]
-    )
-    cum = inside.withColumn("le", F.sum("n").over(order)).withColumn("k", ranks[F.col("q")])
-    picked = {
-        r["q"]: r
-        for r in cum.groupBy("q").agg(
-            F.min(F.when(F.col("le") > F.col("k"), F.col("v"))).alias("a"),
-            F.min(F.when(F.col("le") > F.col("k") + 1, F.col("v"))).alias("b"),
-            F.max("v").alias("top"),
-        ).collect()
-    }
-    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in names}
-    for q, (c, j, h) in enumerate(wanted):
-        r, frac = picked[q], h - math.floor(h)
-        a = edge[f"prev_{q}"] if math.floor(h) < edge[f"below_{q}"] else r["a"]
-        if a is None:
-            a = edge[f"next_{q}"]
-        b = r["b"] if r["b"] is not None else (edge[f"next_{q}"] if edge[f"next_{q}"] is not None else r["top"])
-        out[c][j] = a if frac == 0.0 else a + (b - a) * frac
-    return out
+    values = F.array(*[F.struct(F.lit(i).alias("q"), exprs[c].cast("double").alias("v")) for i, c in enumerate(names)])
+    counts = cumulative_counts(df.select(F.explode(values).alias("e")).select("e.q", "e.v"), "v", ["q"], ranges)
+    picks = []
+    for j, p in enumerate(probs):
+        at = (F.col("total") - 1) * F.lit(float(p))
+        low, high = F.floor(at), F.least(F.floor(at) + 1, F.col("total") - 1)
+        picks += [
+            F.min(F.when(F.col("n_le") > low, F.col("v"))).alias(f"a{j}"), F.min(F.when(F.col("n_le") > high, F.col("v"))).alias(f"b{j}"),
+            F.max(at - F.floor(at)).alias(f"f{j}"),
+        ]
+    found = {names[r["q"]]: r for r in counts.groupBy("q").agg(*picks).collect()}  # one row for each column
+
+    def at(r, j: int) -> float:
+        a, b, frac = r[f"a{j}"], r[f"b{j}"], r[f"f{j}"]
+        return a if frac == 0.0 or a == b or math.isnan(b) else a + (b - a) * frac
+
+    return {c: [at(found[c], j) for j in range(len(probs))] if c in found else [None] * len(probs) for c in names}
 
 
 def shuffled_positions(
-    df: DataFrame, key: Column, seed: str, rows: int, out: str, parts: Sequence[str] = (), tie: Sequence[str] = (),
-    task_rows: int = ONE_TASK_ROWS,
+    df: DataFrame, key: Column, seed: str, out: str, parts: Sequence[str] = (), tie: Sequence[str] = (), ranges: int | None = None
 ) -> DataFrame:
-    """Dense 1-based position of every row in a seeded random order, per ``parts``.
-
-    ``rows`` is the (known) row count of a part. Beyond ``task_rows`` the hash range is cut into
-    equal slices, numbered on their own and shifted by the sizes of the lower slices.
-    """
-    slices = max(1, math.ceil(rows / task_rows))
-    hashed = df.withColumn("_h", portable_hash(key, seed, 15))
-    order = ["_h", *tie]
-    if slices == 1:
-        return hashed.withColumn(out, F.row_number().over(Window.partitionBy(*parts, F.lit(0)).orderBy(*order))).drop("_h")
-    sliced = hashed.withColumn("_slice", F.floor(F.col("_h") / F.lit(16**15 // slices + 1)).cast("int"))
-    inner = Window.partitionBy(*parts, "_slice").orderBy(*order)
-    lower = Window.partitionBy(*parts, F.lit(0)).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    shift = (
-        sliced.groupBy(*parts, "_slice").agg(F.count(F.lit(1)).alias("_k"))
-        .select(*parts, "_slice", F.coalesce(F.sum("_k").over(lower), F.lit(0)).alias("_below"))
-    )
-    return (
-        sliced.withColumn("_in", F.row_number().over(inner)).join(shift, [*parts, "_slice"])
-        .withColumn(out, F.col("_in") + F.col("_below")).drop("_h", "_slice", "_in", "_below")
-    )
+    """Dense 1-based position of every row in a seeded random order, per ``parts``."""
+    hashed = df.withColumns({"_h": portable_hash(key, seed, 15), "_one": F.lit(1).cast("long")})
+    counted = running_sums(hashed, ["_h", *tie], "_one", parts, ranges)
+    return counted.select(*df.columns, F.col("upto").cast("int").alias(out))

@@ -102,8 +102,7 @@ def _(t: Tables):
 
 @query("hs_07_fdr_adjust", _GI + " SELECT row, col, round(gi_p, 6) AS gi_p, round(p_adj, 6) AS p_adj FROM adj", ["scene"])
 def _(t: Tables):
-    # a small task size makes the value-range path run on this scene too
-    out = hotspots.fdr_adjust(_gi(t), task_rows=500)
+    out = hotspots.fdr_adjust(_gi(t))
     return rounded(out.select("row", "col", "gi_p", "p_adj"), 6, "gi_p", "p_adj")
 
 
