@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hazegrid.operators import density, temporal, trends
+from hazegrid.operators import correlation, density, temporal, trends
 from hazegrid.plans import sqltext as S
 from hazegrid.plans.hotspot_queries import _TAIL
 from hazegrid.plans.registry import query, rounded
@@ -65,3 +65,46 @@ _WITHIN = f"(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {EPS!r}e0 *
 )
 def _(t: Tables):
     return density.density_clusters(t.fires(), EPS, MIN_POINTS, "fire_id", "longitude", "latitude")
+
+
+# --- correlation ----------------------------------------------------------------------------
+@query(
+    "ts_03_season_correlation",
+    f""", pairs AS (SELECT {S.season("date")} AS season, hcho AS x, o3_obs AS y FROM panel WHERE hcho IS NOT NULL AND o3_obs IS NOT NULL),
+    ranked AS (SELECT *, rank() OVER (PARTITION BY season ORDER BY x) + (count(*) OVER (PARTITION BY season, x) - 1) / 2e0 AS rx,
+        rank() OVER (PARTITION BY season ORDER BY y) + (count(*) OVER (PARTITION BY season, y) - 1) / 2e0 AS ry FROM pairs)
+    SELECT season, count(*) AS n, round(corr(x, y), 8) AS pearson, round(corr(rx, ry), 8) AS spearman FROM ranked GROUP BY season""",
+    ["panel"],
+)
+def _(t: Tables):
+    out = correlation.correlation_by(t.panel().withColumn("season", temporal.season_of(F.col("date"))), "hcho", "o3_obs", ["season"])
+    return rounded(out, 8, "pearson", "spearman")
+
+
+_LAGS = """, days AS (SELECT station_id, date_diff('day', DATE '1970-01-01', date) AS t, hcho AS h, o3_obs AS o FROM panel),
+    m AS (SELECT station_id, avg(h) AS mh, avg(o) AS mo FROM days GROUP BY 1),
+    c AS (SELECT station_id, t, h - mh AS h, o - mo AS o FROM days JOIN m USING (station_id)),
+    d AS (SELECT station_id, sqrt(sum(h * h) * sum(o * o)) AS below FROM c GROUP BY 1),
+    pairs AS (SELECT station_id, lag, count(*) AS n, sum(a.h * b.o) AS above FROM c a JOIN c b USING (station_id)
+        JOIN (SELECT CAST(unnest(range(31)) AS INT) AS lag) k ON b.t = a.t + k.lag WHERE a.h IS NOT NULL AND b.o IS NOT NULL GROUP BY 1, 2),
+    lags AS (SELECT station_id, lag, coalesce(n, 0) AS n, coalesce(above, 0e0) / nullif(below, 0e0) AS r
+        FROM (SELECT station_id, below, CAST(unnest(range(31)) AS INT) AS lag FROM d) LEFT JOIN pairs USING (station_id, lag))"""
+
+
+def _lagged(t: Tables):
+    return correlation.lag_correlation(t.panel(), ["station_id"], F.unix_date("date"), "hcho", "o3_obs")
+
+
+@query("ts_04_lag_correlation", _LAGS + " SELECT station_id, lag, n, round(r, 7) AS r FROM lags", ["panel"])
+def _(t: Tables):
+    return rounded(_lagged(t), 7, "r")
+
+
+@query(
+    "ts_04_best_lag",
+    _LAGS + """ SELECT station_id, lag, n, round(r, 7) AS r FROM lags WHERE r IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY r DESC, lag) = 1""",
+    ["panel"],
+)
+def _(t: Tables):
+    return rounded(correlation.best_lag(_lagged(t), ["station_id"]), 7, "r")
