@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hazegrid.operators import correlation, density, temporal, trends
+from hazegrid.operators import correlation, density, temporal, trends, zonal
 from hazegrid.plans import sqltext as S
 from hazegrid.plans.hotspot_queries import _TAIL
 from hazegrid.plans.registry import query, rounded
-from hazegrid.plans.views import Tables
+from hazegrid.plans.views import SCENE_GRID, Tables
 
 # --- trends ---------------------------------------------------------------------------------
 _PAIRS = f"""JOIN points b ON a.station_id = b.station_id AND a.season = b.season AND a.t < b.t"""
@@ -108,3 +108,73 @@ def _(t: Tables):
 )
 def _(t: Tables):
     return rounded(correlation.best_lag(_lagged(t), ["station_id"]), 7, "r")
+
+
+# --- zones ----------------------------------------------------------------------------------
+# a five-sided zone with a three-sided hole around every supplier, in degrees from its centre
+OUTER = ((-1.03, -0.62), (0.87, -0.91), (1.21, 0.33), (0.14, 1.07), (-0.94, 0.71))
+HOLE = ((-0.31, -0.22), (0.05, 0.41), (0.37, -0.13))
+_RING_POINTS = [(k, s, bool(k), x, y) for k, ring in enumerate((OUTER, HOLE)) for s, (x, y) in enumerate(ring)]
+
+
+def _zones(t: Tables):
+    k = F.col("s_suppkey")
+    points = F.array(*[F.struct(F.lit(a).alias("ring"), F.lit(b).alias("seq"), F.lit(c).alias("hole"), F.lit(d).alias("dx"), F.lit(e).alias("dy")) for a, b, c, d, e in _RING_POINTS])
+    placed = t.table("supplier").select(k.alias("zone"), F.explode(points).alias("p")).select("zone", "p.*")
+    z = F.col("zone")
+    return placed.withColumns({"lon": F.lit(75.0) + (z * 7 % 50) / F.lit(10.0) + F.col("dx"), "lat": F.lit(32.0) - (z * 13 % 50) / F.lit(10.0) + F.col("dy")})
+
+
+def _covered(t: Tables):
+    return zonal.zone_cells(zonal.zone_spans(_zones(t), SCENE_GRID), t.scene())
+
+
+_POINT_ROWS = ", ".join(f"({a}, {b}, {str(c).lower()}, {S.num(d)}, {S.num(e)})" for a, b, c, d, e in _RING_POINTS)
+_FULL = "CASE WHEN {x} <= col THEN {x} - col WHEN {x} >= col + 1 THEN 0.5e0 ELSE ({x} - col) - ({x} - col) * ({x} - col) / 2e0 END"
+#: The share of a cell is the integral of what lies right of each edge, in closed form; every edge meets every cell.
+_ZONES = f""", v AS (SELECT s_suppkey AS zone, p.ring, p.seq, p.hole,
+        (75e0 + CAST(s_suppkey * 7 % 50 AS DOUBLE) / 10e0 + p.dx - 75e0) / 0.1e0 AS x0,
+        (32e0 - (32e0 - CAST(s_suppkey * 13 % 50 AS DOUBLE) / 10e0 + p.dy)) / 0.1e0 AS y0
+        FROM supplier, (VALUES {_POINT_ROWS}) p(ring, seq, hole, dx, dy)),
+    ed AS (SELECT *, coalesce(lead(x0) OVER w, first_value(x0) OVER w) AS x1, coalesce(lead(y0) OVER w, first_value(y0) OVER w) AS y1
+        FROM v WINDOW w AS (PARTITION BY zone, ring ORDER BY seq)),
+    turned AS (SELECT *, -sign(sum(x0 * y1 - x1 * y0) OVER (PARTITION BY zone, ring)) * CASE WHEN hole THEN -1 ELSE 1 END
+        * CASE WHEN y1 > y0 THEN 1 ELSE -1 END AS up FROM ed),
+    met AS (SELECT zone, row, col, up, greatest(least(y0, y1), row) AS lo, least(greatest(y0, y1), row + 1) AS hi, x0, y0, x1, y1
+        FROM turned JOIN scene ON least(y0, y1) < row + 1 AND greatest(y0, y1) > row AND y0 <> y1),
+    cut AS (SELECT zone, row, col, up * (hi - lo) AS dy, x0 + (lo - y0) * (x1 - x0) / (y1 - y0) AS xa, x0 + (hi - y0) * (x1 - x0) / (y1 - y0) AS xb FROM met),
+    shares AS (SELECT zone, row, col, sum(dy * CASE WHEN abs(xb - xa) < 1e-12 THEN greatest(0e0, least(1e0, col + 1 - xa))
+        ELSE (({_FULL.format(x="xb")}) - ({_FULL.format(x="xa")})) / (xb - xa) END) AS share FROM cut GROUP BY 1, 2, 3),
+    covered AS (SELECT zone, share, scene.* FROM shares JOIN scene USING (row, col) WHERE share > 1e-9)"""
+
+
+@query("ts_06_zone_shares", _ZONES + " SELECT zone, row, col, round(share, 7) AS share FROM covered", ["scene"])
+def _(t: Tables):
+    return rounded(_covered(t).select("zone", "row", "col", "share"), 7, "share")
+
+
+@query(
+    "ts_06_zonal_statistics",
+    _ZONES + """, w AS (SELECT zone, hcho AS v, share * cos(radians(lat)) AS w FROM covered WHERE hcho IS NOT NULL),
+    c AS (SELECT *, sum(w) OVER (PARTITION BY zone ORDER BY v) AS upto, sum(w) OVER (PARTITION BY zone) AS total FROM w)
+    SELECT zone, count(*) AS n_cells, round(sum(w), 6) AS weight, round(sum(v * w) / sum(w), 4) AS mean,
+        round(min(v) FILTER (upto >= total * 0.1e0 * (1 - 1e-12)), 4) AS q10, round(min(v) FILTER (upto >= total * 0.5e0 * (1 - 1e-12)), 4) AS q50,
+        round(min(v) FILTER (upto >= total * 0.9e0 * (1 - 1e-12)), 4) AS q90 FROM c GROUP BY zone""",
+    ["scene"],
+)
+def _(t: Tables):
+    out = zonal.zonal_statistics(_covered(t), "hcho", F.cos(F.radians("lat")), [0.1, 0.5, 0.9])
+    return rounded(rounded(out, 6, "weight"), 4, "mean", "q10", "q50", "q90")
+
+
+@query(
+    "ts_06_exposure_share",
+    _ZONES + """, b AS (SELECT zone, CASE WHEN hcho < 40000 THEN 'low' WHEN hcho < 60000 THEN 'middle' WHEN hcho >= 60000 THEN 'high' END AS band,
+        sum(share * no2) AS people FROM covered WHERE no2 IS NOT NULL GROUP BY 1, 2)
+    SELECT zone, band, round(people, 5) AS people, round(people / sum(people) OVER (PARTITION BY zone), 7) AS share FROM b""",
+    ["scene"],
+)
+def _(t: Tables):
+    h = F.col("hcho")
+    band = F.when(h < 40000, "low").when(h < 60000, "middle").when(h >= 60000, "high")
+    return rounded(rounded(zonal.exposure_shares(_covered(t), band, "no2"), 5, "people"), 7, "share")
