@@ -27,7 +27,7 @@ from hazegrid.session import discard, materialize
 HEAD = 1 << 19
 #: Characters or tokens that a task treats together; a longer document alone.
 SLICE = 1 << 20
-#: Bits of an id in a pair's number.
+#: Bits of an id in a pair's number; what 63 bits leave numbers the rows of a slice.
 ID_BITS = 24
 #: Groups with more pairs than this are first reduced to their different ids.
 WIDE = 256
@@ -112,10 +112,11 @@ def leaf_groups(end_a: np.ndarray, end_b: np.ndarray, docs_a: np.ndarray, docs_b
     return sa[order], sb[order]
 
 
-def _slices(sizes: Sequence[int]) -> Iterator[tuple[int, int]]:
+def _slices(sizes: Sequence[int], rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Runs of up to ``rows`` entries that hold ``SLICE`` together, or one entry if that holds more."""
     lo = total = 0
     for k, size in enumerate(sizes):
-        if k > lo and total + size > SLICE:
+        if k > lo and (total + size > SLICE or k - lo >= rows):
             yield lo, k
             lo, total = k, 0
         total += size
@@ -212,7 +213,7 @@ def aligned(docs: DataFrame, a_file: bytes, b_model: bytes, id_col: str = "doc_i
 
 def _links(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(number of the row, pair, times) of the different linked pairs of rows, in slices of whole rows."""
-    for lo, hi in _slices((pdf["n_a"] + pdf["n_b"]).tolist()):
+    for lo, hi in _slices((pdf["n_a"] + pdf["n_b"]).tolist(), 1 << 63 - 2 * ID_BITS - 1):
         part = pdf.iloc[lo:hi]
         ids_a, _ = _load(part["ids_a"])
         ids_b, _ = _load(part["ids_b"])
@@ -228,18 +229,20 @@ def _links(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
         of_a, x = of_a[narrow], ids_a[narrow]
         n = size_b[of_a]
         y = ids_b[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first_b[of_a], n)]
-        owners, pairs, times = [np.repeat(doc[of_a], n)], [np.repeat(x, n) << ID_BITS | y], [np.ones(len(y), np.int64)]
+        # one number for row and pair; most pairs come from small groups and count once each time
+        keys, times = np.unique(np.repeat(doc[of_a] << 2 * ID_BITS | x << ID_BITS, n) | y, return_counts=True)
+        more, more_times = [keys], [times]
         for g in np.flatnonzero(wide):
             ua, ca = np.unique(ids_a[first_a[g] : first_a[g] + size_a[g]], return_counts=True)
             ub, cb = np.unique(ids_b[first_b[g] : first_b[g] + size_b[g]], return_counts=True)
-            pairs.append((ua[:, None] << ID_BITS | ub).ravel())
-            times.append((ca[:, None] * cb).ravel())
-            owners.append(np.full(len(ua) * len(ub), doc[g]))
-        owner, pair, time = np.concatenate(owners), np.concatenate(pairs), np.concatenate(times)
-        order = np.lexsort((pair, owner))
-        owner, pair, time = owner[order], pair[order], time[order]
-        new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (pair[1:] != pair[:-1])))
-        yield owner[new] + lo, pair[new], np.add.reduceat(time, new)
+            more.append((doc[g] << 2 * ID_BITS | ua[:, None] << ID_BITS | ub).ravel())
+            more_times.append((ca[:, None] * cb).ravel())
+        if len(more) > 1:
+            flat = np.concatenate(more_times)
+            keys, where = np.unique(np.concatenate(more), return_inverse=True)
+            times = np.zeros(len(keys), np.int64)
+            np.add.at(times, where, flat)
+        yield (keys >> 2 * ID_BITS) + lo, keys & ((1 << 2 * ID_BITS) - 1), times
 
 
 def link_counts(rows: DataFrame) -> DataFrame:
