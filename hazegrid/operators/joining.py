@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from hazegrid.functions.geo import haversine_km
 from hazegrid.grid import GridSpec
+from hazegrid.session import materialize
 
 
 def sample_at_stations(stack: DataFrame, stations: DataFrame, grid: GridSpec, lon: str = "lon", lat: str = "lat") -> DataFrame:
@@ -126,35 +127,39 @@ def first_disc(lon: Column, lat: Column, discs: dict) -> Column:
     return F.coalesce(*hits) if hits else F.lit(None).cast("string")
 
 
-def nearest_time(rows: DataFrame, axis: DataFrame, time_col: str, axis_col: str, step_seconds: int = 86_400) -> DataFrame:
+def nearest_time(rows: DataFrame, axis: DataFrame, time_col: str, axis_col: str, ranges: int | None = None) -> DataFrame:
     """Rows with the nearest instant of a time axis, before or after; the earlier wins a tie.
-    All rows are kept; without any instant the result is NULL.
+    All rows are kept; without a time or any instant the result is NULL.
 
-    Every instant owns the half-open interval between its midpoints. Intervals are copied to
-    the fixed-width buckets they touch and matched by bucket, so no ordering of ``rows`` is
-    needed. The axis is one row per distinct instant.
+    Rows and instants are dealt by ranges of one order and stored. Inside a range a row sees the instants before and
+    after it; the last instant of the lower and the first of the higher ranges are carried over. Rows of one instant
+    may fill several ranges.
     """
-    ticks = axis.select(F.unix_micros(F.col(axis_col).cast("timestamp")).alias("_a"), F.col(axis_col).alias("_axis")).distinct()
-    w = Window.orderBy("_a")
-    owned = ticks.select(
-        "_axis", "_a", F.lag("_a").over(w).alias("_prev"), F.lead("_a").over(w).alias("_next")
+    axis_type = axis.schema[axis_col].dataType
+    stamp = lambda c: F.unix_micros(c.cast("timestamp"))
+    payload = F.struct(*[rows[c] for c in rows.columns])
+    ticks = axis.where(F.col(axis_col).isNotNull()).select(stamp(F.col(axis_col)).alias("t"), F.col(axis_col).alias("tick")).distinct()
+    both = ticks.select("t", F.lit(0).cast("long").alias("salt"), "tick", F.lit(None).cast(rows.schema).alias("row")).union(
+        # a salt splits the rows of one instant; instants stand before them
+        rows.select(stamp(rows[time_col]).alias("t"), F.monotonically_increasing_id() + 1, F.lit(None).cast(axis_type), payload)
     )
-    ends = ticks.agg(F.struct(F.min("_a").alias("lo"), F.max("_a").alias("hi"))).scalar()
-    width = F.lit(step_seconds * 1_000_000)
-    # doubled micros keep midpoints integral
-    low = F.when(F.col("_prev").isNull(), F.col("_a") * 2 - 1).otherwise(F.col("_prev") + F.col("_a"))
-    high = F.when(F.col("_next").isNull(), F.col("_a") * 2).otherwise(F.col("_a") + F.col("_next"))
-    spans = owned.select(
-        "_axis", low.alias("_low"), high.alias("_high"),
-        F.explode(F.sequence(F.floor(low / (width * 2)), F.floor(high / (width * 2)))).alias("_b"),
+    keys = [F.col("t").asc_nulls_first(), F.col("salt")]
+    spread = both.repartitionByRange(ranges, *keys) if ranges else both.repartitionByRange(*keys)
+    spread = materialize(spread.withColumn("range", F.spark_partition_id()), "instants")
+    seen = F.when(F.col("tick").isNotNull(), F.struct("t", "tick"))
+    # one row for each range
+    edges = spread.groupBy("range").agg(F.min(seen).alias("first"), F.max(seen).alias("last"))
+    order = Window.partitionBy(F.lit(0)).orderBy("range")
+    carried = edges.select(
+        "range", F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("from_below"), F.min("first").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("from_above")
     )
-    t = F.unix_micros(F.col(time_col).cast("timestamp"))
-    clamped = F.greatest(ends.getField("lo"), F.least(ends.getField("hi"), t))
-    keyed = rows.withColumn("_t2", clamped * 2).withColumn("_b", F.floor(F.col("_t2") / (width * 2)))
-    hit = (F.col("_t2") > F.col("_low")) & (F.col("_t2") <= F.col("_high"))
-    spans = spans.withColumnRenamed("_b", "_span")
-    matched = keyed.join(spans, (F.col("_b") == F.col("_span")) & hit, "left")
-    return matched.drop("_b", "_span", "_t2", "_low", "_high").withColumnRenamed("_axis", "nearest_time")
+    inside = Window.partitionBy("range").orderBy(F.col("t").asc_nulls_first(), "salt")
+    before = F.max(seen).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.min(seen).over(inside.rowsBetween(0, Window.unboundedFollowing))
+    met = spread.withColumns({"before": before, "after": after}).where(F.col("row").isNotNull()).join(carried, "range", "left")
+    low, high = F.coalesce("before", "from_below"), F.coalesce("after", "from_above")
+    nearer = F.when(high.isNull() | (F.col("t") - low["t"] <= high["t"] - F.col("t")), low).otherwise(high)
+    return met.select("row.*", F.when(F.col("t").isNotNull(), nearer["tick"]).alias("nearest_time"))
 
 
 def in_set(df: DataFrame, members: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:

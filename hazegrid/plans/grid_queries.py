@@ -543,21 +543,28 @@ def _(t: Tables):
     return rounded(out.select("place_id", "field_frp", "field_no2"), 4, "field_no2")
 
 
-@query(
-    "jn_10_nearest_time",
-    """WITH ax AS (SELECT DISTINCT date_trunc('hour', ts) AS a FROM events WHERE value > 300),
+def _asof_sql(axis: str) -> str:
+    return f"""WITH ax AS (SELECT DISTINCT {axis}),
     e AS (SELECT event_id, ts FROM events),
     lo AS (SELECT event_id, ts, a AS p FROM e ASOF LEFT JOIN ax ON e.ts >= ax.a), hi AS (SELECT event_id, a AS q FROM e ASOF LEFT JOIN ax ON e.ts <= ax.a)
     SELECT event_id, CASE WHEN p IS NULL THEN q WHEN q IS NULL THEN p WHEN epoch_us(ts) - epoch_us(p) <= epoch_us(q) - epoch_us(ts) THEN p ELSE q END AS nearest_time
-    FROM lo JOIN hi USING (event_id)""",
-    text=["nearest_time"],
-)
+    FROM lo JOIN hi USING (event_id)"""
+
+
+@query("jn_10_nearest_time", _asof_sql("date_trunc('hour', ts) AS a FROM events WHERE value > 300"), text=["nearest_time"])
 def _(t: Tables):
     ev = t.table("events").select("event_id", "ts", "value")
     axis = ev.where(F.col("value") > 300).select(F.date_trunc("hour", "ts").alias("a")).distinct()
     return joining.nearest_time(ev.select("event_id", "ts"), axis, "ts", "a").select("event_id", "nearest_time")
 
 
+@query("jn_10_nearest_second", _asof_sql("date_trunc('second', ts) AS a FROM events WHERE event_type = 'purchase'"), text=["nearest_time"])
+def _(t: Tables):
+    ev = t.table("events")
+    axis = ev.where(F.col("event_type") == "purchase").select(F.date_trunc("second", "ts").alias("a"))
+    return joining.nearest_time(ev.select("event_id", "ts"), axis, "ts", "a").select("event_id", "nearest_time")
+
+
 _SI_CELL = "(SELECT row, col, lon, lat, avg(no2) AS aqi, avg(hcho) AS hcho, avg(co) AS iso FROM stack GROUP BY 1, 2, 3, 4)"
 
 

@@ -22,7 +22,8 @@ def test_nearest_station_matches_brute_force(spark):
         assert means[k] == pytest.approx(np.mean([i for i in range(len(pts)) if want.get((float(pts[i, 0]), float(pts[i, 1]))) == k]))
 
 
-def test_nearest_time_matches_argmin(spark):
+@pytest.mark.parametrize("ranges", [None, 7])
+def test_nearest_time_matches_argmin(spark, ranges):
     rng = np.random.default_rng(1)
     base = datetime(2024, 1, 1)
     axis = sorted({base + timedelta(minutes=int(m)) for m in rng.choice(60 * 24 * 20, 25)})
@@ -30,11 +31,25 @@ def test_nearest_time_matches_argmin(spark):
     q += [axis[0] + (axis[1] - axis[0]) / 2]  # a tie goes to the earlier instant
     a = spark.createDataFrame([(t,) for t in axis], "a timestamp")
     df = spark.createDataFrame(list(enumerate(q)), "id int, ts timestamp")
-    got = {r["id"]: r["nearest_time"] for r in j.nearest_time(df, a, "ts", "a").collect()}
+    got = {r["id"]: r["nearest_time"] for r in j.nearest_time(df, a, "ts", "a", ranges).collect()}
     want = {i: min(axis, key=lambda x: (abs(x - t), x)) for i, t in enumerate(q)}
     assert got == want
 
 
+@pytest.mark.parametrize("ranges", [None, 9])
+def test_nearest_time_of_a_hot_instant_and_odd_rows(spark, ranges):
+    base = datetime(2024, 1, 1)
+    axis = [base + timedelta(hours=h) for h in (0, 0, 5, 9)] + [None]
+    q = [base + timedelta(hours=6)] * 60 + [base + timedelta(hours=5)] * 60 + [None] * 30 + [base - timedelta(days=3), base + timedelta(days=3), base + timedelta(hours=7)]
+    a = spark.createDataFrame([(t,) for t in axis], "a timestamp")
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(q)], "id int, ts timestamp, range string")
+    got = {r["id"]: r["nearest_time"] for r in j.nearest_time(df, a, "ts", "a", ranges).collect()}
+    known = sorted({t for t in axis if t})
+    assert got == {i: None if t is None else min(known, key=lambda x: (abs(x - t), x)) for i, t in enumerate(q)}
+    assert j.nearest_time(df, a, "ts", "a").columns == ["id", "ts", "range", "nearest_time"]
+    assert {r["nearest_time"] for r in j.nearest_time(df, a.limit(0), "ts", "a").collect()} == {None}
+
+
 def test_within_box_matches_brute_force(spark):
     rng = np.random.default_rng(2)
     a, b = np.round(rng.uniform(-3, 3, (40, 2)), 1), np.round(rng.uniform(-3, 3, (90, 2)), 1)
