@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +16,8 @@ from hazegrid import constants as K
 from hazegrid.models.scaling import RobustScale
 from hazegrid.session import materialize
 
+#: Points that the first centres of all runs are drawn from.
+START_ROWS = 4096
 DEFAULT_FEATURES = ("aqi", "hcho", "no2", "co", "doy_sin", "doy_cos")
 
 
@@ -32,24 +33,155 @@ def complete(columns: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in columns])
 
 
-def silhouettes(points: DataFrame, counts: Sequence[int], seed: int = 0, n_init: int = 4, parallel: int = 4) -> DataFrame:
-    """``k, cost, silhouette`` and the seed of the best of ``n_init`` runs for each count of clusters.
+@dataclass(frozen=True)
+class Fit:
+    """One run of K-Means: its centres, the cost of the cells at them and how many cells each centre has."""
 
-    ``points`` has a vector ``_x``. The silhouette is the one of squared Euclidean distances, which takes one pass over
-    the points; it is NULL where fewer than two clusters were found.
+    k: int
+    start: int
+    centres: np.ndarray
+    cost: float
+    counts: np.ndarray
+
+
+def candidate_counts(k_range: Sequence[int], n_cells: int) -> list[int]:
+    """The wanted numbers of zones that ``n_cells`` cells can have."""
+    return sorted({int(k) for k in k_range}.intersection(range(2, n_cells)))
+
+
+def lloyd_step(points: DataFrame, columns: Sequence[str], models: Sequence[np.ndarray]) -> DataFrame:
+    """``model, cluster, n, cost`` and the sum of each column, of the points nearest to each centre of each model.
+
+    All models are served by one pass over ``points``; a task sends one row for each centre. Among equally near centres
+    the first one wins; a centre without points has no row.
     """
+    flat, sizes = np.concatenate(models), [len(m) for m in models]
+    sums = [f"sum_{c}" for c in columns]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, cost, total = np.zeros(len(flat), np.int64), np.zeros(len(flat)), np.zeros((len(flat), len(columns)))
+        for pdf in batches:
+            x = pdf.to_numpy(float)
+            distances = (x * x).sum(axis=1)[:, None] - 2 * x @ flat.T + (flat * flat).sum(axis=1)
+            low = 0
+            for k in sizes:
+                mine = distances[:, low : low + k]
+                nearest = mine.argmin(axis=1)
+                n[low : low + k] += np.bincount(nearest, minlength=k)
+                cost[low : low + k] += np.bincount(nearest, np.maximum(mine.min(axis=1), 0.0), k)
+                for j in range(len(columns)):
+                    total[low : low + k, j] += np.bincount(nearest, x[:, j], k)
+                low += k
+        at = np.flatnonzero(n)
+        model = np.repeat(np.arange(len(sizes)), sizes)
+        first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        yield pd.DataFrame({"model": model[at], "cluster": (np.arange(len(flat)) - first)[at], "n": n[at], "cost": cost[at], **{c: total[at, j] for j, c in enumerate(sums)}})
+
+    kinds = "model int, cluster int, n long, cost double" + "".join(f", {c} double" for c in sums)
+    parts = points.select(*columns).mapInPandas(run, kinds)
+    return parts.groupBy("model", "cluster").agg(*[F.sum(c).alias(c) for c in ("n", "cost", *sums)])
+
+
+def _first_centres(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Rows of the sample, each drawn with the squared distance to those drawn before."""
+    chosen = [sample[rng.integers(len(sample))]]
+    gap = ((sample - chosen[0]) ** 2).sum(axis=1)
+    while len(chosen) < k:
+        weights = gap / gap.sum() if gap.sum() > 0 else None
+        chosen.append(sample[rng.choice(len(sample), p=weights)])
+        gap = np.minimum(gap, ((sample - chosen[-1]) ** 2).sum(axis=1))
+    return np.array(chosen)
+
+
+def _settled(sample: np.ndarray, centres: np.ndarray, max_iter: int) -> np.ndarray:
+    """Where K-Means on the sample alone ends."""
+    for _ in range(max_iter):
+        own = ((sample * sample).sum(axis=1)[:, None] - 2 * sample @ centres.T + (centres * centres).sum(axis=1)).argmin(axis=1)
+        n = np.bincount(own, minlength=len(centres))
+        sums = np.column_stack([np.bincount(own, sample[:, j], len(centres)) for j in range(sample.shape[1])])
+        new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+        if np.array_equal(new, centres):
+            break
+        centres = new
+    return centres
+
+
+def best_fits(points: DataFrame, columns: Sequence[str], counts: Sequence[int], seed: int = 0, n_init: int = 20, max_iter: int = 100, tol: float = 1e-4) -> dict[int, Fit]:
+    """The cheapest of ``n_init`` runs for each number of clusters.
+
+    All runs of all numbers advance together, one pass over the points a step; a run that no longer moves by more than
+    ``tol`` leaves. A run begins where it ends on ``START_ROWS`` points alone; every step then uses all points.
+    """
+    order = F.xxhash64(*columns, F.lit(seed))
+    sample = points.select(*columns).orderBy(order, *columns).limit(START_ROWS).toPandas().to_numpy(float)
+    runs = [(k, i) for k in counts for i in range(n_init)]
+    centres = {r: _settled(sample, _first_centres(sample, r[0], np.random.default_rng((seed, *r))), max_iter) for r in runs}
+    done: dict[tuple[int, int], Fit] = {}
+    for step in range(max_iter + 1):
+        active = [r for r in runs if r not in done]
+        if not active:
+            break
+        # one row for each centre
+        found = lloyd_step(points, columns, [centres[r] for r in active]).collect()
+        for m, r in enumerate(active):
+            new, n, cost = centres[r].copy(), np.zeros(r[0], np.int64), 0.0
+            for row in (x for x in found if x["model"] == m):
+                n[row["cluster"]] = row["n"]
+                cost += row["cost"]
+                new[row["cluster"]] = [row[f"sum_{c}"] / row["n"] for c in columns]
+            moved = np.sqrt(((new - centres[r]) ** 2).sum(axis=1)).max()
+            if moved <= tol or step == max_iter:
+                done[r] = Fit(*r, centres[r], cost, n)
+            centres[r] = new
+    return {k: min((done[r] for r in runs if r[0] == k), key=lambda f: (f.cost, f.start)) for k in counts}
+
+
+def nearest_centre(centres: np.ndarray, columns: Sequence[str]) -> Column:
+    """Number of the nearest centre, the first one among equally near ones."""
+    gaps = []
+    for i, centre in enumerate(centres):
+        gap = reduce(lambda a, b: a + b, [(F.col(c) - F.lit(float(v))) * (F.col(c) - F.lit(float(v))) for c, v in zip(columns, centre, strict=True)])
+        gaps.append(F.struct(gap.alias("gap"), F.lit(i).alias("i")))
+    return F.array_min(F.array(*gaps))["i"]
+
+
+def silhouettes(points: DataFrame, columns: Sequence[str], fits: Sequence[Fit]) -> dict[int, float | None]:
+    """Mean silhouette of squared distances for each fit, all in two passes; None where fewer than two clusters hold points."""
+    models = [f.centres for f in fits]
+    found = lloyd_step(points, columns, models).collect()
+    stats = []
+    for m, centres in enumerate(models):
+        n, mean, spread = np.zeros(len(centres)), centres.copy(), np.zeros(len(centres))
+        for row in (x for x in found if x["model"] == m):
+            c = row["cluster"]
+            n[c], mean[c] = row["n"], [row[f"sum_{name}"] / row["n"] for name in columns]
+            # the cost is around the centre; around the mean it is less by their squared distance
+            spread[c] = max(0.0, row["cost"] / row["n"] - ((centres[c] - mean[c]) ** 2).sum())
+        stats.append((n, mean, spread))
+    useful = [m for m, (n, *_) in enumerate(stats) if (n > 0).sum() > 1]
 
-    def run(job: tuple[int, int]) -> tuple[int, int, float, float | None]:
-        model = KMeans(k=job[0], seed=job[1], featuresCol="_x", predictionCol="_cluster", maxIter=100).fit(points)
-        found = model.transform(points)
-        value = ClusteringEvaluator(featuresCol="_x", predictionCol="_cluster").evaluate(found) if model.summary.k > 1 and found.select("_cluster").distinct().count() > 1 else None
-        return *job, float(model.summary.trainingCost), value
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, rows = np.zeros(len(stats)), 0
+        for pdf in batches:
+            x = pdf.to_numpy(float)
+            rows += len(x)
+            for m in useful:
+                n, mean, spread = stats[m]
+                own = ((x * x).sum(axis=1)[:, None] - 2 * x @ models[m].T + (models[m] ** 2).sum(axis=1)).argmin(axis=1)
+                # mean squared distance to the members of each cluster
+                apart = ((x[:, None, :] - mean) ** 2).sum(axis=2) + spread
+                apart[:, n == 0] = np.inf
+                at = np.arange(len(x))
+                inside = apart[at, own] * n[own] / np.maximum(n[own] - 1, 1)
+                apart[at, own] = np.inf
+                outside = apart.min(axis=1)
+                score = np.where(n[own] > 1, (outside - inside) / np.maximum(np.maximum(inside, outside), 1e-300), 0.0)
+                total[m] += score.sum()
+        yield pd.DataFrame({"model": np.arange(len(stats)), "total": total, "n": rows})
 
-    # runs are independent jobs over one stored table; a few may share the cluster
-    with ThreadPoolExecutor(max_workers=parallel) as pool:
-        rows = list(pool.map(run, [(k, seed + i) for k in counts for i in range(n_init)]))
-    every = points.sparkSession.createDataFrame(rows, "k int, seed int, cost double, silhouette double")
-    return every.groupBy("k").agg(F.min(F.struct("cost", "seed", "silhouette")).alias("best")).select("k", "best.*")
+    scored = points.select(*columns).mapInPandas(run, "model int, total double, n long").groupBy("model").agg((F.sum("total") / F.sum("n")).alias("s")).collect()
+    by_model = {r["model"]: r["s"] for r in scored}
+    return {f.k: by_model.get(m) if m in useful else None for m, f in enumerate(fits)}
 
 
 def label_zones(cells: DataFrame, cluster: str, order_by: str, labels: Sequence[str]) -> DataFrame:
@@ -73,12 +205,7 @@ def zone_table(zoned: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def fit_zones(
-    cells: DataFrame,
-    features: Sequence[str] | None = None,
-    k_range: Sequence[int] = (3, 4, 5),
-    seed: int = 0,
-    n_init: int = 4,
-    parallel: int = 4,
+    cells: DataFrame, features: Sequence[str] | None = None, k_range: Sequence[int] = (3, 4, 5), seed: int = 0, n_init: int = 20
 ) -> tuple[DataFrame, dict]:
     """(cells with zone columns, metadata).
 
@@ -90,30 +217,31 @@ def fit_zones(
     sizes = stored.agg(F.count(F.lit(1)).alias("all"), F.count_if("_whole").alias("whole")).first()
     if sizes["whole"] < 4:
         raise ValueError("zones need four cells or more with all features")
-    counts = sorted({int(k) for k in k_range if 1 < int(k) < sizes["whole"]})
+    counts = candidate_counts(k_range, sizes["whole"])
     if not counts:
         raise ValueError("k_range has no count below the number of cells")
 
     scale = RobustScale.fit(stored.where("_whole"), cols)
-    assembler = VectorAssembler(inputCols=[f"_s_{c}" for c in cols], outputCol="_x")
-    vectors = materialize(assembler.transform(scale.apply(stored.where("_whole"), "_s_")).select(*cells.columns, "_x"), "vectors")
-    points = vectors.select("_x").persist()
-    scores = silhouettes(points, counts, seed, n_init, parallel)
-    tried = scores.orderBy(F.desc_nulls_last("silhouette"), "k").collect()
-    chosen = tried[0]
-    model = KMeans(k=chosen["k"], seed=chosen["seed"], featuresCol="_x", predictionCol="_zone", maxIter=100).fit(points)
+    scaled = [f"_s_{c}" for c in cols]
+    whole = materialize(scale.apply(stored.where("_whole"), "_s_").select(*cells.columns, *scaled), "scaled")
+    points = whole.select(*scaled).persist()
+    fits = best_fits(points, scaled, counts, seed, n_init)
+    scores = silhouettes(points, scaled, [fits[k] for k in counts])
     points.unpersist()
-    clustered = model.transform(vectors).drop("_x").unionByName(stored.where(~F.col("_whole")).drop("_whole"), allowMissingColumns=True)
+    best = max(counts, key=lambda k: (scores[k] is not None, scores[k] or 0.0, -k))
+    clustered = whole.withColumn("_zone", nearest_centre(fits[best].centres, scaled)).select(*cells.columns, "_zone")
+    clustered = clustered.unionByName(stored.where(~F.col("_whole")).drop("_whole"), allowMissingColumns=True)
 
-    names = list(K.ZONE_LABELS.get(chosen["k"], [f"Zone {i + 1}" for i in range(chosen["k"])]))
+    names = list(K.ZONE_LABELS.get(best, [f"Zone {i + 1}" for i in range(best)]))
     zoned = materialize(label_zones(clustered, "_zone", "aqi" if "aqi" in cells.columns else cols[0], names), "zones")
-    return zoned, describe_zones(zoned, cols, names, {str(r["k"]): r["silhouette"] for r in sorted(tried, key=lambda r: r["k"])}, chosen["k"], sizes["all"])
+    return zoned, describe_zones(zoned, cols, names, {str(k): scores[k] for k in counts}, best, sizes["all"])
 
 
 def describe_zones(zoned: DataFrame, features: Sequence[str], labels: Sequence[str], scores: dict[str, float | None], k: int, n_cells: int) -> dict:
     """The zones as a document; its size is that of the zone table, one entry per zone."""
     table = zone_table(zoned, features).orderBy("zone_id").collect()
     centres = [{key: r[key] for key in ("zone_id", "zone_label", *features)} for r in table]
+    # fixed values: the field names of the document
     return {
         "method": "KMeans",
         "feature_cols": list(features),

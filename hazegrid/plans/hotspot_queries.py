@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from hazegrid import constants as K
@@ -210,6 +211,25 @@ def _(t: Tables):
     )
 
 
+# fixed starting centres of one step, over quantity and discount
+LLOYD_CENTRES = [[[10.3, 0.0213], [24.7, 0.0507], [39.9, 0.0791]], [[19.7, 0.0311], [31.3, 0.0713]]]
+_STEP_SQL = " UNION ALL ".join(
+    f"""SELECT {m} AS model, a.i AS cluster, count(*) AS n, round(sum(a.d), 4) AS cost, round(avg(no2), 6) AS no2, round(avg(co), 8) AS co FROM (
+        SELECT no2, co, list_min([{", ".join(f"{{'d': (no2 - {S.num(x)}) * (no2 - {S.num(x)}) + (co * 100e0 - {S.num(100 * y)}) * (co * 100e0 - {S.num(100 * y)}), 'i': {i}}}" for i, (x, y) in enumerate(model))}]) AS a
+        FROM scene WHERE no2 IS NOT NULL AND co IS NOT NULL) GROUP BY a.i"""
+    for m, model in enumerate(LLOYD_CENTRES)
+)
+
+
+@query("hs_14_lloyd_step", " " + _STEP_SQL, ["scene"])
+def _(t: Tables):
+    points = t.scene().where(F.col("no2").isNotNull() & F.col("co").isNotNull()).select("no2", (F.col("co") * 100.0).alias("co"))
+    models = [np.array(m) * [1.0, 100.0] for m in LLOYD_CENTRES]
+    step = zones.lloyd_step(points, ["no2", "co"], models)
+    out = step.select("model", "cluster", "n", "cost", (F.col("sum_no2") / F.col("n")).alias("no2"), (F.col("sum_co") / F.col("n") / 100.0).alias("co"))
+    return rounded(rounded(rounded(out, 4, "cost"), 6, "no2"), 8, "co")
+
+
 _GIVEN = """, cl AS (SELECT row, col, lon, lat, no2 * 8e0 AS aqi, hcho, no2, co, CASE WHEN no2 IS NOT NULL THEN row % 4 END AS g FROM scene),
     zm AS (SELECT g, avg(aqi) AS m, count(*) AS n FROM cl WHERE g IS NOT NULL GROUP BY 1),
     zn AS (SELECT *, CAST(row_number() OVER (ORDER BY m NULLS LAST, g) - 1 AS INT) AS zone_id FROM zm),

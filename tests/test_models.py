@@ -243,3 +243,37 @@ def test_layer_contract(spark):
     assert sum(r["layer"] == "zone_cells" for r in out) == 64 and sum(r["layer"] == "isolation_hotspots" for r in out) == 4
     with pytest.raises(ValueError):
         analysis_layers(cells.drop("lon"))
+
+
+def test_kmeans_runs_advance_together_as_alone(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(c, 0.3, (60, 2)) for c in ((0, 0), (3, 1), (1, 4))])
+    points = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double").repartition(3)
+    fits = zones.best_fits(points, ["a", "b"], [2, 3, 4], n_init=20)
+    assert sorted(fits[3].counts) == [60, 60, 60]
+    for k, f in fits.items():
+        d = ((x[:, None] - f.centres) ** 2).sum(2)
+        own = d.argmin(1)
+        assert f.cost == pytest.approx(d.min(1).sum()) and f.counts.tolist() == np.bincount(own, minlength=k).tolist()
+        # a fixed point: every centre is the mean of its points
+        for c in range(k):
+            assert f.centres[c] == pytest.approx(x[own == c].mean(0), abs=1e-3)
+    scores = zones.silhouettes(points, ["a", "b"], [fits[k] for k in (2, 3, 4)])
+    full = ((x[:, None] - x) ** 2).sum(2)
+    for k, f in fits.items():
+        own = ((x[:, None] - f.centres) ** 2).sum(2).argmin(1)
+        s = []
+        for i in range(len(x)):
+            mean = [full[i][own == c].sum() / max(1, (own == c).sum() - (c == own[i])) for c in range(k)]
+            inside, outside = mean[own[i]], min(m for c, m in enumerate(mean) if c != own[i])
+            s.append((outside - inside) / max(inside, outside))
+        assert scores[k] == pytest.approx(np.mean(s), abs=1e-6)
+    assert max(scores, key=scores.get) == 3
+
+
+def test_kmeans_of_equal_points_and_candidates(spark):
+    points = spark.createDataFrame([(1.0,)] * 9, "a double")
+    fits = zones.best_fits(points, ["a"], [2], n_init=2)
+    assert fits[2].cost == 0 and sorted(fits[2].counts) == [0, 9]
+    assert zones.silhouettes(points, ["a"], [fits[2]]) == {2: None}
+    assert zones.candidate_counts((5, 3, 3, 1, 9), 6) == [3, 5]
