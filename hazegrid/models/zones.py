@@ -109,13 +109,14 @@ def _settled(sample: np.ndarray, centres: np.ndarray, max_iter: int) -> np.ndarr
 def best_fits(points: DataFrame, columns: Sequence[str], counts: Sequence[int], seed: int = 0, n_init: int = 20, max_iter: int = 100, tol: float = 1e-4) -> dict[int, Fit]:
     """The cheapest of ``n_init`` runs for each number of clusters.
 
-    All runs of all numbers advance together, one pass over the points a step; a run that no longer moves by more than
-    ``tol`` leaves. A run begins where it ends on ``START_ROWS`` points alone; every step then uses all points.
+    All runs of all numbers advance together, one pass over the points a step; a run leaves when the squared movements
+    of its centres add up to no more than ``tol`` times the mean variance of the columns. A run begins where it ends on ``START_ROWS`` points alone; every step then uses all points.
     """
     order = F.xxhash64(*columns, F.lit(seed))
     sample = points.select(*columns).orderBy(order, *columns).limit(START_ROWS).toPandas().to_numpy(float)
     runs = [(k, i) for k in counts for i in range(n_init)]
     centres = {r: _settled(sample, _first_centres(sample, r[0], np.random.default_rng((seed, *r))), max_iter) for r in runs}
+    still = tol * sum(points.agg(*[F.var_pop(c) for c in columns]).first()) / len(columns)
     done: dict[tuple[int, int], Fit] = {}
     for step in range(max_iter + 1):
         active = [r for r in runs if r not in done]
@@ -129,8 +130,7 @@ def best_fits(points: DataFrame, columns: Sequence[str], counts: Sequence[int],
                 n[row["cluster"]] = row["n"]
                 cost += row["cost"]
                 new[row["cluster"]] = [row[f"sum_{c}"] / row["n"] for c in columns]
-            moved = np.sqrt(((new - centres[r]) ** 2).sum(axis=1)).max()
-            if moved <= tol or step == max_iter:
+            if ((new - centres[r]) ** 2).sum() <= still or step == max_iter:
                 done[r] = Fit(*r, centres[r], cost, n)
             centres[r] = new
     return {k: min((done[r] for r in runs if r[0] == k), key=lambda f: (f.cost, f.start)) for k in counts}

@@ -13,7 +13,7 @@ import __spark_entry__ as contract
 from hazegrid.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-FAMILIES = ("aq_", "px_", "ex_", "snk_", "src_", "jn_", "tm_", "qa_", "fe_", "hs_", "flagship")
+FAMILIES = ("aq_", "px_", "ex_", "snk_", "src_", "jn_", "tm_", "qa_", "fe_", "hs_", "ts_", "flagship")
 EVERYTHING = os.environ.get("HAZEGRID_ALL_QUERIES") == "1"
 
 
