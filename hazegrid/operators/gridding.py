@@ -285,6 +285,39 @@ def _reflect(i: Column, n: int) -> Column:
     return F.when(m < n, m).otherwise(F.lit(period) - m)
 
 
+#: Columns of one strip of a row, without the rims on either side.
+STRIP = 64
+
+
+def _mirrors(n: int, rim: int) -> list[tuple[int, int]]:
+    """(sign, shift) of the places ``sign * col + shift`` in ``-rim .. n - 1 + rim`` at which a column of ``n`` is seen."""
+    if n == 1:
+        return [(0, x) for x in range(-rim, rim + 1)]
+    period = 2 * (n - 1)
+    turns = range(-(rim // period + 1), rim // period + 2)
+    return [(1, k * period) for k in turns] + [(-1, k * period) for k in turns]
+
+
+def row_strips(stack: DataFrame, channels: Sequence[str], n_cols: int, rim: int) -> DataFrame:
+    """``t_idx, row, strip`` and ``values``: an array over the columns of each strip and its rims, mirrored at the grid's edges.
+
+    An entry has the channels; a missing cell or value is 0. ``stack`` has one row for each cell and time.
+    """
+    edge = F.col("col").isin(0, n_cols - 1)
+    # a cell on the edge is its own mirror
+    seen = F.array_distinct(F.array(*[(F.lit(sign) * F.col("col") + F.lit(shift)).cast("int") for sign, shift in _mirrors(n_cols, rim)]))
+    placed = stack.where(F.col("col").between(0, n_cols - 1)).select("t_idx", "row", *channels, F.explode(F.when(edge | (F.col("col") <= rim) | (F.col("col") >= n_cols - 1 - rim), seen).otherwise(F.array(F.col("col").cast("int")))).alias("x"))
+    placed = placed.where(F.col("x").between(-rim, n_cols - 1 + rim))
+    strips = F.sequence(F.greatest(F.lit(0), F.ceil((F.col("x") - rim - (STRIP - 1)) / STRIP)), F.least(F.lit((n_cols - 1) // STRIP), F.floor((F.col("x") + rim) / STRIP)))
+    placed = placed.withColumn("strip", F.explode(strips.cast("array<int>")))
+    values = F.struct(*[F.coalesce(F.col(c), F.lit(0.0)).cast("float").alias(c) for c in channels])
+    packed = placed.groupBy("t_idx", "row", "strip").agg(F.map_from_entries(F.collect_list(F.struct("x", values))).alias("_at"))
+    first = F.col("strip") * STRIP - rim
+    zero = F.struct(*[F.lit(0.0).cast("float").alias(c) for c in channels])
+    dense = F.transform(F.sequence(first, first + (STRIP + 2 * rim - 1)), lambda x: F.coalesce(F.try_element_at("_at", x), zero))
+    return packed.select("t_idx", "row", "strip", dense.alias("values"))
+
+
 def patch_sequences(
     samples: DataFrame,
     stack: DataFrame,
@@ -300,40 +333,37 @@ def patch_sequences(
     ``samples`` carry ``t_idx, row, col``; ``stack`` carries ``t_idx, row, col`` and the
     channels. Before the record starts the first frame repeats; past the edge the grid is
     mirrored; a missing value is 0 after standardisation. Positions run time, channel, row,
-    column. Each sample asks for exactly steps x patch x patch cells.
+    column. Each sample asks for steps x patch strips and cuts its window out of each.
     """
     half = patch // 2
-    wanted = samples.select(
-        sample_key,
-        "t_idx",
-        "row",
-        "col",
-        F.explode(F.sequence(F.lit(0), F.lit(steps * patch * patch - 1))).alias("p"),
-    ).select(
-        sample_key,
-        F.col("p"),
-        F.greatest(F.lit(0), F.col("t_idx") - (steps - 1) + F.floor(F.col("p") / (patch * patch))).cast("int").alias("t_idx"),
-        _reflect(F.col("row") - half + F.pmod(F.floor(F.col("p") / patch), F.lit(patch)), grid.n_rows).cast("int").alias("row"),
-        _reflect(F.col("col") - half + F.pmod(F.col("p"), F.lit(patch)), grid.n_cols).cast("int").alias("col"),
-    )
-    scaled = stack.select(
-        "t_idx", "row", "col", *[((F.col(c) - F.lit(stats[c][0])) / F.lit(stats[c][1])).alias(c) for c in channels]
-    )
-    cells = wanted.join(scaled, ["t_idx", "row", "col"], "left")
-    area, n = patch * patch, len(channels)
-    row = F.struct("p", *[F.coalesce(F.col(c), F.lit(0.0)).cast("float").alias(c) for c in channels])
-    # a fixed number of rows per sample: steps x patch x patch
-    gathered = cells.groupBy(sample_key).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-
-    def pick(channel: str):
-        return lambda cell: cell.getField(channel)
+    number = F.sequence(F.lit(0), F.lit(steps * patch - 1))
+    strip = F.least(F.floor(F.col("col") / STRIP), F.lit((grid.n_cols - 1) // STRIP)).cast("int")
+    wanted = samples.select(sample_key, "t_idx", "row", strip.alias("strip"), (F.col("col") - strip * STRIP).alias("_c"), F.explode(number).alias("p")).select(
+        sample_key, "p", "strip", "_c",
+        F.greatest(F.lit(0), F.col("t_idx") - (steps - 1) + F.floor(F.col("p") / patch)).cast("int").alias("t_idx"),
+        _reflect(F.col("row") - half + F.pmod(F.col("p"), F.lit(patch)), grid.n_rows).cast("int").alias("row"),
+    )
+    scaled = stack.select("t_idx", "row", "col", *[((F.col(c) - F.lit(stats[c][0])) / F.lit(stats[c][1])).alias(c) for c in channels])
+    met = wanted.join(row_strips(scaled, channels, grid.n_cols, half), ["t_idx", "row", "strip"], "left")
+    # the rim is as wide as half a patch, so the window begins at the sample's own column in the strip
+    window = F.slice("values", (F.col("_c") + 1).cast("int"), F.lit(patch))
+    nothing = F.array_repeat(F.lit(0.0).cast("float"), patch)
+
+    def pick(c: str):
+        return lambda v: v.getField(c)
+
+    def channel(c: str) -> Column:
+        return F.coalesce(F.transform(window, pick(c)), nothing).alias(c)
+
+    lines = met.select(sample_key, F.struct("p", *[channel(c) for c in channels]).alias("_line"))
+    gathered = lines.groupBy(sample_key).agg(F.array_sort(F.collect_list("_line")).alias("_lines"))
 
     def frame(step: Column) -> Column:
-        window = F.slice("_rows", step * area + 1, F.lit(area))
-        return F.flatten(F.array(*[F.transform(window, pick(c)) for c in channels]))
+        rows = F.slice("_lines", step * patch + 1, F.lit(patch))
+        return F.flatten(F.array(*[F.flatten(F.transform(rows, pick(c))) for c in channels]))
 
     return gathered.select(
         sample_key,
         F.flatten(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), frame)).alias("patch"),
-        F.array(*[F.lit(x) for x in (steps, n, patch, patch)]).alias("shape"),
+        F.array(*[F.lit(x) for x in (steps, len(channels), patch, patch)]).alias("shape"),
     )

@@ -339,20 +339,20 @@ def _reflect(i: str, n: int) -> str:
     return f"CASE WHEN {m} < {n} THEN {m} ELSE {p} - {m} END"
 
 
-@query(
-    "gr_11_patch_sequences",
-    _TSTACK + f""", st AS (SELECT avg(no2) AS mn, stddev_pop(no2) AS sn, avg(aod) AS ma, stddev_pop(aod) AS sa FROM tstack),
+def _patch_sql(patch: int, steps: int) -> str:
+    area = patch * patch
+    return _TSTACK + f""", st AS (SELECT avg(no2) AS mn, stddev_pop(no2) AS sn, avg(aod) AS ma, stddev_pop(aod) AS sa FROM tstack),
     smp AS (SELECT o_orderkey AS sample_id, CAST(o_custkey % 83 AS INT) AS t_idx, CAST(o_custkey % 20 AS INT) AS row, CAST(o_orderkey % 20 AS INT) AS col FROM orders),
-    want AS (SELECT sample_id, p, greatest(0, t_idx - {STEPS - 1} + p // {PATCH * PATCH}) AS t_idx,
-        {_reflect(f'row - {PATCH // 2} + (p // {PATCH}) % {PATCH}', STACK_GRID.n_rows)} AS row,
-        {_reflect(f'col - {PATCH // 2} + p % {PATCH}', STACK_GRID.n_cols)} AS col FROM smp, range(0, {STEPS * PATCH * PATCH}) q(p)),
+    want AS (SELECT sample_id, p, greatest(0, t_idx - {steps - 1} + p // {area}) AS t_idx,
+        {_reflect(f'row - {patch // 2} + (p // {patch}) % {patch}', STACK_GRID.n_rows)} AS row,
+        {_reflect(f'col - {patch // 2} + p % {patch}', STACK_GRID.n_cols)} AS col FROM smp, range(0, {steps * area}) q(p)),
     val AS (SELECT sample_id, p, CAST(coalesce((no2 - mn) / sn, 0e0) AS REAL) AS v0, CAST(coalesce((aod - ma) / sa, 0e0) AS REAL) AS v1
         FROM want LEFT JOIN tstack USING (t_idx, row, col), st),
-    pos AS (SELECT sample_id, (p // 9) * 18 + p % 9 AS i, v0 AS v FROM val UNION ALL SELECT sample_id, (p // 9) * 18 + 9 + p % 9, v1 FROM val)
-    SELECT sample_id, count(*) AS n, round(sum(CAST(v AS DOUBLE)), 3) AS total, round(sum(CAST(v AS DOUBLE) * (i + 1)), 3) AS weighted FROM pos GROUP BY 1""",
-    ["stack"],
-)
-def _(t: Tables):
+    pos AS (SELECT sample_id, (p // {area}) * {2 * area} + p % {area} AS i, v0 AS v FROM val UNION ALL SELECT sample_id, (p // {area}) * {2 * area} + {area} + p % {area}, v1 FROM val)
+    SELECT sample_id, count(*) AS n, round(sum(CAST(v AS DOUBLE)), 3) AS total, round(sum(CAST(v AS DOUBLE) * (i + 1)), 2) AS weighted FROM pos GROUP BY 1"""
+
+
+def _patches(t: Tables, patch: int, steps: int):
     axis = temporal.date_axis(t.stack())
     stack = t.stack().join(axis, "date")
     samples = t.table("orders").select(
@@ -360,12 +360,22 @@ def _(t: Tables):
         (F.col("o_custkey") % 20).cast("int").alias("row"), (F.col("o_orderkey") % 20).cast("int").alias("col"),
     )
     stats = features.channel_statistics(stack, ["no2", "aod"])
-    out = gridding.patch_sequences(samples, stack, ["no2", "aod"], stats, STACK_GRID, PATCH, STEPS)
+    out = gridding.patch_sequences(samples, stack, ["no2", "aod"], stats, STACK_GRID, patch, steps)
     weighted = F.aggregate(
         F.transform("patch", lambda v, i: v.cast("double") * (i + 1)), F.lit(0.0), lambda a, v: a + v
     )
     total = F.aggregate("patch", F.lit(0.0), lambda a, v: a + v.cast("double"))
-    return out.select("sample_id", F.size("patch").cast("bigint").alias("n"), rnd(total, 3).alias("total"), rnd(weighted, 3).alias("weighted"))
+    return out.select("sample_id", F.size("patch").cast("bigint").alias("n"), rnd(total, 3).alias("total"), rnd(weighted, 2).alias("weighted"))
+
+
+@query("gr_11_patch_sequences", _patch_sql(PATCH, STEPS), ["stack"])
+def _(t: Tables):
+    return _patches(t, PATCH, STEPS)
+
+
+@query("gr_11_whole_patches", _patch_sql(15, 7), ["stack"])
+def _(t: Tables):
+    return _patches(t, 15, 7)
 
 
 @query(

@@ -142,6 +142,23 @@ def test_patch_sequences_match_numpy(spark):
         assert np.allclose(np.array(got[sid]["patch"]).reshape(want.shape), np.nan_to_num(want), atol=1e-5)
 
 
+@pytest.mark.parametrize(("w", "patch"), [(150, 15), (64, 5), (65, 7), (3, 7), (1, 3)])
+def test_patches_over_strip_borders_and_mirrors(spark, w, patch):
+    rng = np.random.default_rng(w)
+    h, half = 4, patch // 2
+    cube = rng.normal(size=(h, w))
+    rows = [(0, r, c, float(cube[r, c])) for r in range(h) for c in range(w) if (r, c) != (1, 2)]
+    cube[1, 2 if w > 2 else 0] = 0.0 if w > 2 else cube[1, 0]
+    stack = spark.createDataFrame(rows, "t_idx int, row int, col int, a double")
+    samples = [(k, 0, int(rng.integers(h)), c) for k, c in enumerate(sorted({0, w // 2, w - 1, min(w - 1, 63), min(w - 1, 64), min(w - 1, 60)}))]
+    got = g.patch_sequences(spark.createDataFrame(samples, "sample_id int, t_idx int, row int, col int"), stack, ["a"], {"a": (0.0, 1.0)}, GridSpec(0, 0, w, h, 1.0), patch, 1)
+    found = {r["sample_id"]: np.array(r["patch"]).reshape(patch, patch) for r in got.collect()}
+    mirror = lambda i, n: 0 if n == 1 else (n - 1) - abs((i % (2 * (n - 1))) - (n - 1))
+    for k, _, r, c in samples:
+        want = [[cube[mirror(r - half + dy, h), mirror(c - half + dx, w)] for dx in range(patch)] for dy in range(patch)]
+        assert np.allclose(found[k], want, atol=1e-6)
+
+
 def test_haversine(spark):
     from hazegrid.functions.geo import haversine_km
 
