@@ -367,7 +367,7 @@ def _(t: Tables):
         part = ev.where(F.col("event_type") == kind).select("station_id", F.col("ts").cast("string").alias("datetime"), F.col("value").alias(header))
         part.write.option("header", True).csv(f"{root}/{kind}")
     t.stations().coalesce(1).write.option("header", True).csv(f"{root}/meta_raw")
-    t.fires().coalesce(1).write.option("header", True).csv(f"{root}/firms_raw")
+    t.fires().write.option("header", True).csv(f"{root}/firms_raw")
     _rename_parts(t.spark, f"{root}/meta_raw", f"{root}/station_list.csv")
     _rename_parts(t.spark, f"{root}/firms_raw", f"{root}/FIRMS_points.csv")
     meta, measured = stations.station_folder(t.spark, root)
@@ -376,11 +376,11 @@ def _(t: Tables):
 
 
 def _rename_parts(spark, folder: str, target: str) -> None:
-    """Give a one-file CSV folder a file name of its own."""
+    """Give the files of a CSV folder names of their own: ``target``, with a number before its ending from the second on."""
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    part = next(s.getPath() for s in fs.globStatus(path(f"{folder}/part-*")))
-    fs.rename(part, path(target))
+    for i, status in enumerate(fs.globStatus(path(f"{folder}/part-*"))):
+        fs.rename(status.getPath(), path(target.replace(".csv", f"_{i}.csv") if i else target))
     fs.delete(path(folder), True)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hazegrid import constants as K
+from hazegrid.session import materialize
 
 STATION_TYPES = {"lat": "double", "lon": "double", "latitude": "double", "longitude": "double"}
 FIRE_SCHEMA = T.StructType(
@@ -65,39 +66,52 @@ def list_files(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"))
 
 
-def _header_lines(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
-    """First line of every file, from one job over the first block of each."""
-    if not paths:
-        return {}
-    lines = spark.read.text(list(paths)).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value",
-        F.monotonically_increasing_id().alias("at"),
-    )
-    first = lines.where(F.col("start") == 0).groupBy("path").agg(F.min_by("value", "at").alias("line"))
-    return {r["path"]: r["line"] for r in first.collect()}
+def _folder_lines(spark: SparkSession, root: str) -> DataFrame:
+    """``path, name, start, value`` of every line of the CSV files below a folder, fire files excepted."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(root)
+    path = F.col("_metadata.file_path")
+    tagged = lines.select(path.alias("path"), F.lower(F.element_at(F.split(path, "/"), -1)).alias("name"), F.col("_metadata.file_block_start").alias("start"), "value")
+    return tagged.where(~F.col("name").contains("firms"))
+
 
+def _headers(lines: DataFrame) -> DataFrame:
+    """``path, name, head`` (first line) and ``columns`` (its trimmed names) of every file."""
+    numbered = lines.where("start = 0").withColumn("at", F.monotonically_increasing_id())
+    first = numbered.groupBy("path", "name").agg(F.min_by("value", "at").alias("head"))
+    names = F.transform(F.split("head", ","), lambda c: F.trim(F.regexp_replace(F.trim(c), '^"|"$', "")))
+    return first.withColumn("columns", names)
 
-def station_folder(spark: SparkSession, root: str) -> tuple[DataFrame | None, DataFrame | None]:
+
+def station_folder(spark: SparkSession, root: str, time_col: str = "datetime") -> tuple[DataFrame | None, DataFrame | None]:
     """(station metadata, measurements) from every CSV below a folder, fire files excepted.
 
-    The first file named like a station or metadata table is the metadata. Files are grouped
-    by their header, so exports with different columns read as separate scans and union by
-    name; a file without a time column is no measurement file and is left out.
+    The first file named like a station or metadata table is the metadata. All other files are one scan of lines,
+    joined with the table of their headers by path and read by the names there, whatever their columns and order; a
+    file without a time column is no measurement file and is left out. Names that mean one pollutant are merged, the
+    first present value of a line winning. What comes to the driver is the metadata's path and the column names.
     """
-    names = [(r["path"], r["name"].lower()) for r in list_files(spark, root).orderBy("path").collect()]
-    paths = [(p, n) for p, n in names if "firms" not in n]
-    meta = next((p for p, n in paths if "station" in n or "meta" in n), None)
-    rest = [p for p, _ in paths if p != meta]
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for p, line in sorted(_header_lines(spark, rest).items()):
-        groups.setdefault(tuple(c.strip().strip('"') for c in line.split(",")), []).append(p)
-    measured = None
-    for header, members in groups.items():
-        if "datetime" not in header:
-            continue
-        part = raw_measurements(spark, members)
-        measured = part if measured is None else measured.unionByName(part, allowMissingColumns=True)
-    return (station_metadata(spark, meta) if meta else None), measured
+    lines = _folder_lines(spark, root)
+    headers = materialize(_headers(lines), "headers")
+    meta = headers.where(F.col("name").contains("station") | F.col("name").contains("meta")).agg(F.min("path")).first()[0]
+    wanted = headers.where((F.col("path") != F.lit(meta or "")) & F.array_contains("columns", time_col)).select("path", "head", "columns")
+    shape = wanted.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("columns")))).alias("names"), F.max(F.size("columns")).alias("width")).first()
+    if not shape["width"]:
+        return (station_metadata(spark, meta) if meta else None), None
+    body = lines.select("path", "value").join(wanted, "path").where(F.col("value") != F.col("head"))
+    cells = F.from_csv("value", ", ".join(f"c{i} string" for i in range(shape["width"])))
+    body = body.withColumn("cells", cells).withColumn("cells", F.array(*[F.col(f"cells.c{i}") for i in range(shape["width"])]))
+
+    targets: dict[str, list[str]] = {}
+    for name in shape["names"]:
+        targets.setdefault(K.POLLUTANT_ALIASES.get(name, name), []).append(name)
+    pollutants = set(K.POLLUTANT_ALIASES.values())
+
+    def column(name: str, sources: list[str]):
+        kind = "double" if name in pollutants else "timestamp" if name == time_col else "string"
+        found = F.zip_with("columns", "cells", lambda n, v: F.when(n.isin(sources), v.try_cast(kind)))
+        return F.get(F.array_compact(found), F.lit(0)).alias(name)
+
+    return (station_metadata(spark, meta) if meta else None), body.select(*[column(n, c) for n, c in targets.items()])
 
 
 def fire_points(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -144,6 +158,11 @@ def archive_measurements(spark: SparkSession, root: str, year: int, months: Sequ
 _DAY = "[0-9]{4}-[0-9]{2}-[0-9]{2}"
 _FIRST_DAY = f"({_DAY})_{_DAY}"
 _LOOSE_DAY = "([0-9]{4})[_-]?([0-9]{2})[_-]?([0-9]{2})"
+#: How the file names of each family begin.
+FAMILY_PREFIXES = {
+    "s5p": "s5p_", "era5": "era5_", "modis_frp": "modis_frp_", "modis_burned": "modis_burned_",
+    "modis_evi": "modis_evi_", "worldcover": "worldcover", "srtm": "srtm", "insat": "insat",
+}
 
 
 def layer_catalogue(names: DataFrame, name_col: str = "name") -> DataFrame:
@@ -160,15 +179,7 @@ def layer_catalogue(names: DataFrame, name_col: str = "name") -> DataFrame:
         F.regexp_extract(n, _LOOSE_DAY, 0) != "",
         F.concat_ws("-", *[F.regexp_extract(n, _LOOSE_DAY, i) for i in (1, 2, 3)]),
     )
-    family = F.coalesce(
-        *[
-            F.when(stem.startswith(prefix), F.lit(kind))
-            for prefix, kind in (
-                ("s5p_", "s5p"), ("era5_", "era5"), ("modis_frp_", "modis_frp"), ("modis_burned_", "modis_burned"),
-                ("modis_evi_", "modis_evi"), ("worldcover", "worldcover"), ("srtm", "srtm"), ("insat", "insat"),
-            )
-        ]
-    )
+    family = F.coalesce(*[F.when(stem.startswith(prefix), F.lit(kind)) for kind, prefix in FAMILY_PREFIXES.items()])
     variable = (
         F.when(family == "s5p", F.get(F.split(stem, "_"), F.lit(1)))
         .when(family == "modis_burned", "burned").when(family == "modis_evi", "evi").when(family == "insat", "aod")
@@ -184,15 +195,16 @@ def layer_cells(spark: SparkSession, root: str) -> DataFrame:
     """Long layers (date, variable, row, col, value, is_static) from per-layer Parquet pixel tables.
 
     Single-band files hold ``row, col, value``; multi-band files hold one column per band.
-    Files are split into the two kinds by name, so each kind is one scan.
+    Each family of names is one scan, chosen by how the names begin.
     """
-    files = layer_catalogue(list_files(spark, root, "*.parquet")).where(F.col("family").isNotNull())
-    known = files.select("path", "family", "variable").collect()
     out = None
-    for family in sorted({r["family"] for r in known}):
-        paths = [r["path"] for r in known if r["family"] == family]
+    for prefix in FAMILY_PREFIXES.values():
+        glob = f"{prefix}*.parquet"
+        if list_files(spark, root, glob).isEmpty():
+            continue
         # files of one family may hold different bands
-        raw = spark.read.option("mergeSchema", True).parquet(*paths).withColumn("name", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+        found = spark.read.option("mergeSchema", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).parquet(root)
+        raw = found.withColumn("name", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
         tagged = layer_catalogue(raw)
         bands = [c for c in raw.columns if c not in ("row", "col", "name")]
         if bands == ["value"]:

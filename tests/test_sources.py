@@ -37,6 +37,20 @@ def test_folder_scan_skips_fires_and_foreign_files(spark, tmp_path):
     assert stations.station_folder(spark, str(tmp_path / "none")) == (None, None)
 
 
+def test_folder_of_files_with_differing_headers(spark, tmp_path):
+    heads = ["station_id,datetime,PM2.5", "datetime, station_id ,O3,Ozone", '"station_id","NO2","datetime"', "station_id,datetime,CO,remark", "station_id,time,PM10"]
+    bodies = ["a{k},2024-01-01 0{h}:00:00,{k}", "2024-01-01 0{h}:00:00,a{k},,{k}", 'a{k},bad,2024-01-01 0{h}:00:00', 'a{k},2024-01-01 0{h}:00:00,{k},"x, y"', "a{k},2024-01-01 0{h}:00:00,1"]
+    for k in range(60):
+        lines = [heads[k % 5]] + [bodies[k % 5].format(k=k, h=h) for h in range(3)]
+        (tmp_path / f"f{k:03d}.csv").write_text("\n".join(lines) + "\n")
+    meta, measured = stations.station_folder(spark, str(tmp_path))
+    rows = measured.collect()
+    assert meta is None and len(rows) == 48 * 3 and all(r["datetime"] is not None for r in rows)
+    by = {r["station_id"]: r for r in rows}
+    assert (by["a0"]["pm25"], by["a1"]["o3"], by["a2"]["no2"], by["a3"]["co"], by["a3"]["remark"]) == (0.0, 1.0, None, 3.0, "x, y")
+    assert "a4" not in by
+
+
 def test_fire_points_fixed_schema(spark, tmp_path):
     (tmp_path / "f.csv").write_text("acq_date,scan,Latitude,longitude,frp,daynight\n2024-01-02,1,10.5,70.5,3.5,D\n")
     r = stations.fire_points(spark, str(tmp_path / "f.csv")).first()
