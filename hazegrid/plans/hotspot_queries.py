@@ -349,6 +349,11 @@ def _(t: Tables):
     return rounded(_paths(t), 5, "lon", "lat")
 
 
+@query("ex_06_path_points", _PATH + " SELECT parcel_id, step, round(lon, 2) AS lon, round(lat, 2) AS lat FROM path", ["wind", "parcels"])
+def _(t: Tables):
+    return layers.path_points(_paths(t))
+
+
 _HIT = S.haversine("longitude", "latitude", "lon", "lat")
 
 
