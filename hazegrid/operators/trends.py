@@ -112,16 +112,17 @@ def mann_kendall(df: DataFrame, keys: Sequence[str], time: Column, value: str, l
     return out.withColumn("trend", trend).select(*keys, "n", "s", "variance", "z", "p", "trend")
 
 
-def _inverted(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) with ``first[i] < first[j]`` and ``second[i] >= second[j]``."""
+def _inverted(first: np.ndarray, second: np.ndarray, strict: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) with ``first[i] < first[j]`` and ``second[i] >= second[j]``, or ``>`` if ``strict``."""
     order = np.lexsort((second, first))
     rank = np.unique(second[order], return_inverse=True)[1]
     pairs_i, pairs_j = [], []
-    for merged, right, key, before, _, _, total in _merges(rank, np.zeros(len(rank), np.int64)):
+    for merged, right, _, before, until, _, total in _merges(rank, np.zeros(len(rank), np.int64)):
         lefts = merged[~right]
-        count = np.where(right, total - before, 0)
+        met = until if strict else before
+        count = np.where(right, total - met, 0)
         j = np.repeat(merged, count)
-        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(before, count)
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(met, count)
         pairs_i.append(order[lefts[at]])
         pairs_j.append(order[j])
     i, j = np.concatenate([np.zeros(0, np.int64), *pairs_i]), np.concatenate([np.zeros(0, np.int64), *pairs_j])
@@ -133,7 +134,8 @@ def _slope_of_rank(t: np.ndarray, x: np.ndarray, k: int, rng: np.random.Generato
     """The ``k``-th smallest (from 1) of the slopes of all pairs, by randomised selection.
 
     Slopes at most s belong to the pairs whose ``x - s t`` does not rise, so a pass of merges counts them. Random pairs
-    give the pivots; once few slopes are left between two pivots, exactly these are listed.
+    give the pivots; once few slopes are left strictly between two pivots, exactly these are listed. A slope that many
+    pairs share is never inside: as a pivot it is the answer or a border.
     """
     n = len(t)
     pairs = n * (n - 1) // 2
@@ -141,12 +143,11 @@ def _slope_of_rank(t: np.ndarray, x: np.ndarray, k: int, rng: np.random.Generato
     while until - below > 8 * n:
         i, j = rng.integers(0, n, (2, 16 * n))
         slopes = (x[j] - x[i])[i != j] / (t[j] - t[i])[i != j]
-        sample = np.sort(slopes[(slopes > low) & (slopes <= high)])
+        sample = np.sort(slopes[(slopes > low) & (slopes < high)])
         if not len(sample):
             break
         wanted = (k - below) / (until - below) * len(sample)
         reach = 2 * np.sqrt(len(sample)) + 1
-        state = (low, high)
         for at in {int(np.clip(wanted - reach, 0, len(sample) - 1)), int(np.clip(wanted, 0, len(sample) - 1)), int(np.clip(wanted + reach, 0, len(sample) - 1))}:
             pivot = sample[at]
             if not low < pivot < high:
@@ -158,13 +159,10 @@ def _slope_of_rank(t: np.ndarray, x: np.ndarray, k: int, rng: np.random.Generato
             if at_most < k:
                 low, below = pivot, at_most
             else:
-                high, until = pivot, at_most
-        # equal slopes that rounding sets apart: what is left between the pivots is one value
-        if (low, high) == state:
-            return float(sample[int(np.clip(wanted, 0, len(sample) - 1))])
+                high, until = pivot, less
     first = x - low * t if np.isfinite(low) else np.arange(n, dtype=float)
     second = x - high * t if np.isfinite(high) else -np.arange(n, dtype=float)
-    i, j = _inverted(first, second)
+    i, j = _inverted(first, second, strict=True)
     slopes = (x[j] - x[i]) / (t[j] - t[i])
     at = min(max(k - below - 1, 0), len(slopes) - 1)
     return float(np.partition(slopes, at)[at])

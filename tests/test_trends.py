@@ -40,6 +40,18 @@ def test_long_series(kind):
     assert trends.median_slope(t, x) == pytest.approx(np.median((x[j] - x[i]) / (t[j] - t[i])), rel=1e-9, abs=1e-12)
 
 
+def test_median_just_below_a_slope_that_many_pairs_share():
+    # small whole values on whole days: a sixth of all pairs has slope 0, and the median may lie a few ranks off it
+    rng = np.random.default_rng(11)
+    for _ in range(6):
+        t = np.sort(rng.choice(2500, 300, replace=False)).astype(float)
+        x = rng.integers(0, 6, 300).astype(float)
+        slopes = np.sort(pair_slopes(t, x))
+        edge = int(np.searchsorted(slopes, 0.0))
+        for k in range(edge - 3, edge + 3):
+            assert trends._slope_of_rank(t, x, k, np.random.default_rng(k)) == pytest.approx(slopes[k - 1], rel=1e-9, abs=1e-12)
+
+
 def test_inverted_pairs():
     rng = np.random.default_rng(5)
     a, b = rng.integers(0, 12, 60).astype(float), rng.integers(0, 12, 60).astype(float)
