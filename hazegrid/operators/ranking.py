@@ -47,7 +47,11 @@ def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = (), ranges:
 
 
 def mid_ranks(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "rank", ranges: int | None = None) -> DataFrame:
-    """``df`` with the rank of each value per ``by``; equal values share the mean of their ranks, NULL has none."""
+    """``df`` with the rank of each value per ``by``; equal values share the mean of their ranks, NULL has none.
+
+    ``df`` is stored first, so that values are counted and looked up with the same digits.
+    """
+    df = materialize(df, "values")
     counts = cumulative_counts(df, value, by, ranges)
     # one row for each value on the right, so adaptive execution can split a hot value on the left
     ranks = counts.select(*by, value, (F.col("n_le") - (F.col("n") - 1) / F.lit(2.0)).alias(out))
