@@ -153,9 +153,11 @@ def nearest_time(rows: DataFrame, axis: DataFrame, time_col: str, axis_col: str,
     carried = edges.select(
         "range", F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("from_below"), F.min("first").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("from_above")
     )
-    inside = Window.partitionBy("range").orderBy(F.col("t").asc_nulls_first(), "salt")
-    before = F.max(seen).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.min(seen).over(inside.rowsBetween(0, Window.unboundedFollowing))
+    # both look back in their own order: a frame that ends with the partition is summed anew for every row
+    rising = Window.partitionBy("range").orderBy(F.col("t").asc_nulls_first(), "salt")
+    falling = Window.partitionBy("range").orderBy(F.col("t").desc_nulls_last(), F.desc("salt"))
+    before = F.max(seen).over(rising.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.min(seen).over(falling.rowsBetween(Window.unboundedPreceding, 0))
     met = spread.withColumns({"before": before, "after": after}).where(F.col("row").isNotNull()).join(carried, "range", "left")
     low, high = F.coalesce("before", "from_below"), F.coalesce("after", "from_above")
     nearer = F.when(high.isNull() | (F.col("t") - low["t"] <= high["t"] - F.col("t")), low).otherwise(high)

@@ -50,6 +50,14 @@ def test_nearest_time_of_a_hot_instant_and_odd_rows(spark, ranges):
     assert {r["nearest_time"] for r in j.nearest_time(df, a.limit(0), "ts", "a").collect()} == {None}
 
 
+def test_nearest_time_has_no_frame_that_reaches_to_the_end_for_each_row(spark):
+    df = spark.range(50).select("id", F.timestamp_seconds("id").alias("ts"))
+    plan = j.nearest_time(df, df.select(F.col("ts").alias("a")), "ts", "a")._jdf.queryExecution().executedPlan().toString()
+    # one such frame goes over the few rows of the table of ranges, none over rows or instants
+    wide = [line for line in plan.splitlines() if "unboundedfollowing" in line and " t#" in line]
+    assert "unboundedpreceding$(), currentrow$()" in plan and not wide
+
+
 def test_within_box_matches_brute_force(spark):
     rng = np.random.default_rng(2)
     a, b = np.round(rng.uniform(-3, 3, (40, 2)), 1), np.round(rng.uniform(-3, 3, (90, 2)), 1)
