@@ -202,33 +202,35 @@ def cell_dossier(
 ) -> DataFrame:
     """What every layer says about each place (``place_id, lon, lat``).
 
-    First matching cell within ``match_deg`` in (row, col) order; fires in a box, merged per
-    coordinate beforehand; the closest hotspot if its squared distance is below
-    ``source_deg2``.
+    First matching cell within ``match_deg`` in (row, col) order; fires in a box; the closest hotspot if its squared
+    distance is below ``source_deg2``. Places, fires and hotspots are merged per coordinate beforehand, so pairs are
+    those of different coordinates.
     """
+    spots = places.select("lon", "lat").distinct()
 
     def first_match(layer: DataFrame, values: Sequence[str]) -> DataFrame:
-        near = within_box(places.select("place_id", "lon", "lat"), layer.select("lon", "lat", "row", "col", *values), match_deg)
+        near = within_box(spots, layer.select("lon", "lat", "row", "col", *values), match_deg)
         best = F.min(F.struct("r_row", "r_col", *[f"r_{v}" for v in values])).alias("_m")
-        return near.groupBy("place_id").agg(best).select("place_id", *[F.col(f"_m.r_{v}").alias(v) for v in values])
+        return near.groupBy("lon", "lat").agg(best).select("lon", "lat", *[F.col(f"_m.r_{v}").alias(v) for v in values])
 
-    spots = fires.groupBy(F.col("longitude").alias("lon"), F.col("latitude").alias("lat")).agg(
+    burning = fires.groupBy(F.col("longitude").alias("lon"), F.col("latitude").alias("lat")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("frp", F.lit(0.0))).alias("frp")
     )
-    near_fires = within_box(places.select("place_id", "lon", "lat"), spots, fire_deg).groupBy("place_id").agg(
+    near_fires = within_box(spots, burning, fire_deg).groupBy("lon", "lat").agg(
         F.sum("r_n").alias("nearby_fire_count"), F.sum("r_frp").alias("nearby_frp")
     )
     reach = source_deg2**0.5
-    pairs = within_box(places.select("place_id", "lon", "lat"), hotspots.select("lon", "lat", "source", "hotspot_id"), reach)
+    # of the hotspots of one coordinate, all equally far, the first one wins
+    named = hotspots.groupBy("lon", "lat").agg(F.min(F.struct("hotspot_id", "source")).alias("first"))
+    pairs = within_box(spots, named, reach)
     d2 = (F.col("r_lon") - F.col("lon")) * (F.col("r_lon") - F.col("lon")) + (F.col("r_lat") - F.col("lat")) * (
         F.col("r_lat") - F.col("lat")
     )
     closest = (
-        pairs.where(d2 < F.lit(source_deg2)).groupBy("place_id")
-        .agg(F.min(F.struct(d2.alias("d"), F.col("r_hotspot_id"), F.col("r_source"))).alias("_m"))
-        .select("place_id", F.col("_m.r_source").alias("source"))
+        pairs.where(d2 < F.lit(source_deg2)).groupBy("lon", "lat")
+        .agg(F.min(F.struct(d2.alias("d"), F.col("r_first"))).alias("_m"))
+        .select("lon", "lat", F.col("_m.r_first.source").alias("source"))
     )
-    out = places
     for part in (
         first_match(index_cells, ["aqi"]),
         first_match(hcho_cells, ["hcho"]),
@@ -237,7 +239,8 @@ def cell_dossier(
         near_fires,
         closest,
     ):
-        out = out.join(part, "place_id", "left")
+        spots = spots.join(part, ["lon", "lat"], "left")
+    out = places.join(spots, ["lon", "lat"], "left").select(*places.columns, *[c for c in spots.columns if c not in ("lon", "lat")])
     return out.withColumns(
         {
             "nearby_fire_count": F.coalesce("nearby_fire_count", F.lit(0)).cast("bigint"),

@@ -101,3 +101,23 @@ def test_dossier(spark):
     r = got[1]
     assert (r["aqi"], r["zone_label"], r["nearby_fire_count"], r["nearby_frp"], r["source"]) == (90.0, "Good", 2, 5.0, "urban")
     assert got[2]["aqi"] is None and got[2]["nearby_fire_count"] == 0 and got[2]["source"] is None
+
+
+def test_dossier_does_not_pair_repeated_coordinates(spark, monkeypatch):
+    from hazegrid.operators import layers
+
+    pairs = []
+
+    def counted(*args, **kwargs):
+        pairs.append(j.within_box(*args, **kwargs))
+        return pairs[-1]
+
+    monkeypatch.setattr(layers, "within_box", counted)
+    at = [F.lit(75.0).alias("lon"), F.lit(25.0).alias("lat")]
+    places = spark.range(300).select(F.col("id").alias("place_id"), *at)
+    cells = spark.createDataFrame([(0, 9, 74.8, 25.2, 90.0, 0.5, 1, "Good", 0.2)], "row int, col int, lon double, lat double, aqi double, hcho double, zone_id int, zone_label string, isolation_score double")
+    fires = spark.range(4).select(F.lit(75.5).alias("longitude"), F.lit(25.0).alias("latitude"), F.lit(2.0).alias("frp"))
+    spots = spark.range(400).select(*at, F.concat(F.lit("s"), F.col("id")).alias("source"), (1000 - F.col("id")).alias("hotspot_id"))
+    rows = layers.cell_dossier(places, cells, cells, cells, cells, fires, spots).collect()
+    assert len(rows) == 300 and {(r["aqi"], r["nearby_fire_count"], r["nearby_frp"], r["source"]) for r in rows} == {(90.0, 4, 8.0, "s399")}
+    assert [p.count() for p in pairs] == [1] * 6
