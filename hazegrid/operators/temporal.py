@@ -73,6 +73,34 @@ def pivot_measurements(
     return long.groupBy(*keys).agg(*wide)
 
 
+def _eight_hour_means(rows: DataFrame, station_col: str, peaks: Mapping[str, tuple[Column, Column]]) -> DataFrame:
+    """Rows with ``_<name>_8h``, the mean over ``(t - 8 h, t]`` of the day from (sum, count) of each row; NULL below 6 readings.
+
+    The day has three blocks of 8 hours. The window ends in the row's block, as what has come there so far, and begins in
+    the block before, as what is left of it: its rows are sent on by 8 hours and those later than the row are summed.
+    Two running sums take the place of a frame that is summed anew for every row, and nothing is subtracted.
+    """
+    span = 8 * 3600 * 1_000_000
+    block = F.floor(F.col("_clock") / span).cast("int")
+    own = F.struct(block.alias("block"), F.col("_clock").alias("at"), F.lit(False).alias("before"))
+    left = F.struct((block + 1).alias("block"), (F.col("_clock") + span).alias("at"), F.lit(True).alias("before"))
+    sent = rows.withColumns({f"_{c}_{kind}": e for c, pair in peaks.items() for kind, e in zip(("part", "count"), pair, strict=True)})
+    sent = sent.withColumn("_e", F.explode(F.array_compact(F.array(own, F.when(block < 2, left)))))
+    sent = sent.withColumns({"_block": F.col("_e.block"), "_at": F.col("_e.at"), "_before": F.col("_e.before")}).repartition(station_col, "date")
+    one = Window.partitionBy(station_col, "date", "_block")
+    come = one.orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    # a row of just 8 hours ago is outside: it stands behind the rows that it could be left for
+    stay = one.orderBy(F.desc("_at"), "_before").rowsBetween(Window.unboundedPreceding, 0)
+
+    def total(name: str) -> Column:
+        now = F.sum(F.when(~F.col("_before"), F.col(name))).over(come)
+        return F.coalesce(now, F.lit(0)) + F.coalesce(F.sum(F.when(F.col("_before"), F.col(name))).over(stay), F.lit(0))
+
+    sums = sent.withColumns({f"{name}_8h": total(name) for c in peaks for name in (f"_{c}_part", f"_{c}_count")}).where(~F.col("_before"))
+    found = {f"_{c}_8h": F.when(F.col(f"_{c}_count_8h") >= K.EIGHT_HOUR_MIN_VALID, F.col(f"_{c}_part_8h") / F.col(f"_{c}_count_8h")) for c in peaks}
+    return sums.select(*rows.columns, *[e.alias(name) for name, e in found.items()])
+
+
 def daily_values(
     hourly: DataFrame,
     station_col: str = "station_id",
@@ -87,7 +115,7 @@ def daily_values(
     distinct hours is left out.
 
     The window is partitioned by station *and* day, so no partition exceeds one day of one
-    station however long or busy the station's record is.
+    station however long or busy the station's record is. Its time is linear in the readings.
     """
     means = [c for c in K.DAILY_MEAN_POLLUTANTS if c in hourly.columns]
     peaks = [c for c in K.EIGHT_HOUR_POLLUTANTS if c in hourly.columns]
@@ -95,15 +123,8 @@ def daily_values(
     whole = (F.hour(time_col) * 3600 + F.minute(time_col) * 60).cast("bigint") * 1_000_000
     clock = whole + (F.date_part(F.lit("SECOND"), F.col(time_col)) * 1_000_000).cast("bigint")
     rows = hourly.withColumns({"date": F.to_date(time_col), "_clock": clock})
-    reach = 8 * 3600 * 1_000_000 - 1
     if peaks and unique_times:
-        span = Window.partitionBy(station_col, "date").orderBy("_clock").rangeBetween(-reach, 0)
-        rows = rows.withColumns(
-            {
-                f"_{c}_8h": F.when(F.count(c).over(span) >= K.EIGHT_HOUR_MIN_VALID, F.avg(c).over(span))
-                for c in peaks
-            }
-        )
+        rows = _eight_hour_means(rows, station_col, {c: (F.col(c), F.col(c).isNotNull().cast("long")) for c in peaks})
     elif peaks:
         # Repeated instants are merged into sums first; the window then carries one row per
         # instant while means and counts still weigh every reading.
@@ -115,16 +136,7 @@ def daily_values(
                 *[F.max(c).alias(f"_{c}_top") for c in peaks],
             )
         )
-        span = Window.partitionBy(station_col, "date").orderBy("_clock").rangeBetween(-reach, 0)
-        rows = rows.withColumns(
-            {
-                f"_{c}_8h": F.when(
-                    F.sum(f"_{c}_n").over(span) >= K.EIGHT_HOUR_MIN_VALID,
-                    F.sum(f"_{c}_sum").over(span) / F.sum(f"_{c}_n").over(span),
-                )
-                for c in peaks
-            }
-        )
+        rows = _eight_hour_means(rows, station_col, {c: (F.col(f"_{c}_sum"), F.col(f"_{c}_n")) for c in peaks})
     merged = bool(peaks) and not unique_times
     n_rows = F.sum("_rows") if merged else F.count(F.lit(1))
 

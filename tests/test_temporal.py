@@ -42,6 +42,25 @@ def test_eight_hour_window_matches_pandas_and_stops_at_midnight(spark):
             assert got[d] == pytest.approx(v)
 
 
+@pytest.mark.parametrize("unique", [True, False])
+def test_eight_hour_window_leaves_out_the_reading_of_just_eight_hours_ago(spark, unique):
+    rng = np.random.default_rng(4)
+    base = datetime(2024, 3, 1)
+    # quarters of an hour, so windows begin at readings, also at the borders of 0, 8 and 16 o'clock; a gap and a huge value
+    rows = [("a", base + timedelta(minutes=15 * i), 1.0, None if 40 < i < 60 else 1e12 if i == 3 else float(rng.integers(0, 99))) for i in range(96)]
+    df = hourly(spark, rows)
+    sums = temporal._eight_hour_means(
+        df.withColumns({"date": F.to_date("datetime"), "_clock": F.unix_micros("datetime") - F.unix_micros(F.to_date("datetime").cast("timestamp"))}),
+        "station_id", {"o3": (F.col("o3"), F.col("o3").isNotNull().cast("long"))},
+    )
+    got = {r["datetime"]: r["_o3_8h"] for r in sums.collect()}
+    for _, t, _, _ in rows:
+        near = [v for _, s, _, v in rows if v is not None and t - timedelta(hours=8) < s <= t]
+        assert got[t] == (None if len(near) < 6 else sum(near) / len(near)), t
+    # no frame that is summed anew for every row
+    assert "-28799999999" not in temporal.daily_values(df, unique_times=unique)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pivot_averages_duplicates(spark):
     t = datetime(2024, 1, 1)
     long = spark.createDataFrame([("s", t, "pm25", 1.0), ("s", t, "pm25", 3.0), ("s", t, "co", 5.0)], "station_id string, datetime timestamp, parameter string, value double")
