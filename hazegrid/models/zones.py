@@ -49,6 +49,25 @@ def candidate_counts(k_range: Sequence[int], n_cells: int) -> list[int]:
     return sorted({int(k) for k in k_range}.intersection(range(2, n_cells)))
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray, distances: np.ndarray, doubt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the nearest centre, squared distance to it) of each point, both as sums of squared differences give them.
+
+    ``distances`` come from products, which lose digits far from 0: centres within ``doubt`` of the least one are compared
+    by their differences.
+    """
+    nearest = distances.argmin(axis=1)
+    least = distances[np.arange(len(x)), nearest]
+    close = np.flatnonzero((distances <= (least + doubt)[:, None]).sum(axis=1) > 1)
+    if len(close):
+        nearest[close] = _squares(x[close, None, :] - centres).argmin(axis=1)
+    return nearest, _squares(x - centres[nearest])
+
+
+def _squares(gaps: np.ndarray) -> np.ndarray:
+    """Squares summed over the last axis, in its order."""
+    return reduce(lambda a, b: a + b, [gaps[..., j] * gaps[..., j] for j in range(gaps.shape[-1])])
+
+
 def lloyd_step(points: DataFrame, columns: Sequence[str], models: Sequence[np.ndarray]) -> DataFrame:
     """``model, cluster, n, cost`` and the sum of each column, of the points nearest to each centre of each model.
 
@@ -62,13 +81,14 @@ def lloyd_step(points: DataFrame, columns: Sequence[str], models: Sequence[np.nd
         n, cost, total = np.zeros(len(flat), np.int64), np.zeros(len(flat)), np.zeros((len(flat), len(columns)))
         for pdf in batches:
             x = pdf.to_numpy(float)
-            distances = (x * x).sum(axis=1)[:, None] - 2 * x @ flat.T + (flat * flat).sum(axis=1)
+            squares = (x * x).sum(axis=1)
+            distances = squares[:, None] - 2 * x @ flat.T + (flat * flat).sum(axis=1)
+            doubt = 1e-13 * (squares + (flat * flat).sum(axis=1).max())
             low = 0
             for k in sizes:
-                mine = distances[:, low : low + k]
-                nearest = mine.argmin(axis=1)
+                nearest, gap = _nearest(x, flat[low : low + k], distances[:, low : low + k], doubt)
                 n[low : low + k] += np.bincount(nearest, minlength=k)
-                cost[low : low + k] += np.bincount(nearest, np.maximum(mine.min(axis=1), 0.0), k)
+                cost[low : low + k] += np.bincount(nearest, gap, k)
                 for j in range(len(columns)):
                     total[low : low + k, j] += np.bincount(nearest, x[:, j], k)
                 low += k

@@ -277,3 +277,12 @@ def test_kmeans_of_equal_points_and_candidates(spark):
     assert fits[2].cost == 0 and sorted(fits[2].counts) == [0, 9]
     assert zones.silhouettes(points, ["a"], [fits[2]]) == {2: None}
     assert zones.candidate_counts((5, 3, 3, 1, 9), 6) == [3, 5]
+
+
+def test_lloyd_step_far_from_zero(spark):
+    from hazegrid.models import zones
+
+    # squares of 1e8 leave no digit for a distance of 1; halfway points go to the first centre
+    df = spark.createDataFrame([(1e8 + i, 0.5) for i in range(5)], "a double, b double")
+    got = {r["cluster"]: (r["n"], r["cost"]) for r in zones.lloyd_step(df, ["a", "b"], [np.array([[1e8 + 1, 0.5], [1e8 + 3, 0.5]])]).collect()}
+    assert got == {0: (3, 2.0), 1: (2, 1.0)}
