@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,18 +72,28 @@ def _tie_term(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _points(column: pd.Series) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Times and values of each row's points."""
-    t, x = [], []
-    for points in column:
-        t.append(np.fromiter((p["t"] for p in points), float, len(points)))
-        x.append(np.fromiter((p["x"] for p in points), float, len(points)))
-    return t, x
+#: Points that one step looks at together; a longer series is looked at alone.
+TOGETHER = 1 << 18
 
 
-def _per_series(packed: DataFrame, fn: Callable[[pd.Series], pd.DataFrame], kinds: str) -> DataFrame:
-    found = F.pandas_udf(fn, kinds)(F.col("points"))
-    rows = packed.withColumn("_found", found)
+def _per_series(packed: DataFrame, fn: Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]], kinds: str) -> DataFrame:
+    """Rows with what ``fn(times, values, lengths)`` finds for series laid end to end, a bounded number of points at a time."""
+
+    numpy_kinds = {name: {"long": "int64", "double": "float64"}[kind] for name, kind in (part.split() for part in kinds.split(","))}
+
+    @F.arrow_udf(kinds)
+    def run(points: pa.Array) -> pa.Array:
+        ends = points.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+        t, x = (points.values.field(name).to_numpy(zero_copy_only=False) for name in ("t", "x"))
+        found, low = [], 0
+        while low < len(points):
+            high = max(low + 1, int(np.searchsorted(ends, ends[low] + TOGETHER, "right")) - 1)
+            at = slice(ends[low], ends[high])
+            found.append(fn(t[at], x[at], np.diff(ends[low : high + 1])))
+            low = high
+        return pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, k), *[f[name] for f in found]]), k) for name, k in numpy_kinds.items()], list(numpy_kinds))
+
+    rows = packed.withColumn("_found", run(F.col("points")))
     return rows.select(*[c for c in packed.columns if c != "points"], F.size("points").cast("long").alias("n"), "_found.*")
 
 
@@ -95,12 +105,9 @@ def mann_kendall(df: DataFrame, keys: Sequence[str], time: Column, value: str, l
     instant has variance 0, ``z`` 0 and ``p`` 1.
     """
 
-    def count(points: pd.Series) -> pd.DataFrame:
-        _, x = _points(points)
-        lengths = np.array([len(v) for v in x], np.int64)
-        flat = np.concatenate([np.zeros(0), *x])
-        up, down = rising_and_falling(flat, lengths)
-        return pd.DataFrame({"s": up - down, "ties": _tie_term(flat, lengths)})
+    def count(_: np.ndarray, x: np.ndarray, lengths: np.ndarray) -> dict[str, np.ndarray]:
+        up, down = rising_and_falling(x, lengths)
+        return {"s": up - down, "ties": _tie_term(x, lengths)}
 
     counted = _per_series(series(df, keys, time, value), count, "s long, ties double")
     n, s = F.col("n").cast("double"), F.col("s")
@@ -187,12 +194,13 @@ def theil_sen(df: DataFrame, keys: Sequence[str], time: Column, value: str) -> D
     With one instant the slope is null and the intercept its value.
     """
 
-    def fit(points: pd.Series) -> pd.DataFrame:
-        t, x = _points(points)
+    def fit(times: np.ndarray, values: np.ndarray, lengths: np.ndarray) -> dict[str, np.ndarray]:
+        cuts = np.cumsum(lengths)[:-1]
+        t, x = np.split(times, cuts), np.split(values, cuts)
         # times from the first instant on, which keeps x - s t small
         slopes = [median_slope(a - a[0], b) for a, b in zip(t, x, strict=True)]
         middle = [np.median(b) - (s * np.median(a) if len(a) > 1 else 0.0) for a, b, s in zip(t, x, slopes, strict=True)]
-        return pd.DataFrame({"slope": slopes, "intercept": middle})
+        return {"slope": np.array(slopes), "intercept": np.array(middle)}
 
     out = _per_series(series(df, keys, time, value), fit, "slope double, intercept double")
     return out.withColumn("slope", F.when(~F.isnan("slope"), F.col("slope")))

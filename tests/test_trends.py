@@ -75,3 +75,14 @@ def test_operators_with_gaps_repeats_and_short_series(spark):
     assert ts["a"]["slope"] == pytest.approx(np.median(pair_slopes(t, x))) and ts["b"]["slope"] is None and ts["b"]["intercept"] == 1.5
     assert ts["c"]["slope"] == 0.0
     assert trends.mann_kendall(df.limit(0), ["cell"], F.col("t"), "v").collect() == []
+
+
+def test_no_object_is_made_for_each_point(spark):
+    from hazegrid.operators import correlation
+
+    df = spark.createDataFrame([("a", k, float(k % 5), 1.0) for k in range(40)], "cell string, t int, v double, w double")
+    plans = [trends.mann_kendall(df, ["cell"], F.col("t"), "v"), trends.theil_sen(df, ["cell"], F.col("t"), "v"), correlation.lag_correlation(df, ["cell"], F.col("t"), "v", "w", 3, 8)]
+    for out in plans:
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        # the kind of function: 250 takes Arrow arrays, 200 a pandas series with a list of dictionaries for each series
+        assert "ArrowEvalPython" in plan and "], 250" in plan and "], 200" not in plan
