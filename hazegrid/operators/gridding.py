@@ -314,7 +314,8 @@ def row_strips(stack: DataFrame, channels: Sequence[str], n_cols: int, rim: int)
     packed = placed.groupBy("t_idx", "row", "strip").agg(F.map_from_entries(F.collect_list(F.struct("x", values))).alias("_at"))
     first = F.col("strip") * STRIP - rim
     zero = F.struct(*[F.lit(0.0).cast("float").alias(c) for c in channels])
-    dense = F.transform(F.sequence(first, first + (STRIP + 2 * rim - 1)), lambda x: F.coalesce(F.try_element_at("_at", x), zero))
+    last = F.least(first + (STRIP + 2 * rim - 1), F.lit(n_cols - 1 + rim))  # nothing is seen beyond the grid's own rim
+    dense = F.transform(F.sequence(first, last), lambda x: F.coalesce(F.try_element_at("_at", x), zero))
     return packed.select("t_idx", "row", "strip", dense.alias("values"))
 
 
@@ -333,37 +334,46 @@ def patch_sequences(
     ``samples`` carry ``t_idx, row, col``; ``stack`` carries ``t_idx, row, col`` and the
     channels. Before the record starts the first frame repeats; past the edge the grid is
     mirrored; a missing value is 0 after standardisation. Positions run time, channel, row,
-    column. Each sample asks for steps x patch strips and cuts its window out of each.
+    column. Samples of one time, row and strip share one block of steps x patch lines, as wide as their columns need, so
+    what is shuffled grows with the places asked for and not with the samples; each sample cuts its patch out of its block.
     """
     half = patch // 2
-    number = F.sequence(F.lit(0), F.lit(steps * patch - 1))
     strip = F.least(F.floor(F.col("col") / STRIP), F.lit((grid.n_cols - 1) // STRIP)).cast("int")
-    wanted = samples.select(sample_key, "t_idx", "row", strip.alias("strip"), (F.col("col") - strip * STRIP).alias("_c"), F.explode(number).alias("p")).select(
-        sample_key, "p", "strip", "_c",
+    block = ["t_idx", "row", "strip"]
+    placed = samples.select(sample_key, F.coalesce("t_idx", F.lit(0)).alias("t_idx"), "row", strip.alias("strip"), (F.col("col") - strip * STRIP).alias("_c"))
+    # blocks are small for the work they bring, so their number of tasks is not left to their size
+    placed = placed.repartition(int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")), *block)
+    blocks = placed.groupBy(*block).agg(F.min("_c").alias("_low"), F.max("_c").alias("_high"))
+    number = F.sequence(F.lit(0), F.lit(steps * patch - 1))
+    wanted = blocks.withColumn("p", F.explode(number)).select(
+        *[F.col(c).alias(f"_{c}") for c in block], "_low", "_high", "p", "strip",
         F.greatest(F.lit(0), F.col("t_idx") - (steps - 1) + F.floor(F.col("p") / patch)).cast("int").alias("t_idx"),
         _reflect(F.col("row") - half + F.pmod(F.col("p"), F.lit(patch)), grid.n_rows).cast("int").alias("row"),
     )
     scaled = stack.select("t_idx", "row", "col", *[((F.col(c) - F.lit(stats[c][0])) / F.lit(stats[c][1])).alias(c) for c in channels])
-    met = wanted.join(row_strips(scaled, channels, grid.n_cols, half), ["t_idx", "row", "strip"], "left")
-    # the rim is as wide as half a patch, so the window begins at the sample's own column in the strip
-    window = F.slice("values", (F.col("_c") + 1).cast("int"), F.lit(patch))
-    nothing = F.array_repeat(F.lit(0.0).cast("float"), patch)
+    # no window reaches rows outside the grid: it is mirrored there
+    inside = scaled.where(F.col("row").between(0, grid.n_rows - 1))
+    met = wanted.join(row_strips(inside, channels, grid.n_cols, half), block, "left")
+    # the rim is as wide as half a patch, so a window begins at the sample's own column in the strip
+    span = F.slice("values", (F.col("_low") + 1).cast("int"), (F.col("_high") - F.col("_low") + patch).cast("int"))
 
     def pick(c: str):
         return lambda v: v.getField(c)
 
-    def channel(c: str) -> Column:
-        return F.coalesce(F.transform(window, pick(c)), nothing).alias(c)
+    lines = met.select(*[f"_{c}" for c in block], "_low", F.struct("p", *[F.transform(span, pick(c)).alias(c) for c in channels]).alias("_line"))
+    gathered = lines.groupBy(*[f"_{c}" for c in block]).agg(F.first("_low").alias("_low"), F.array_sort(F.collect_list("_line")).alias("_lines"))
+    nothing = F.array_repeat(F.lit(0.0).cast("float"), patch)
+    held = placed.join(gathered.withColumnsRenamed({f"_{c}": c for c in block}), block, "left")
 
-    lines = met.select(sample_key, F.struct("p", *[channel(c) for c in channels]).alias("_line"))
-    gathered = lines.groupBy(sample_key).agg(F.array_sort(F.collect_list("_line")).alias("_lines"))
+    def window(c: str):
+        return lambda v: F.coalesce(F.slice(v.getField(c), (F.col("_c") - F.col("_low") + 1).cast("int"), F.lit(patch)), nothing)
 
     def frame(step: Column) -> Column:
         rows = F.slice("_lines", step * patch + 1, F.lit(patch))
-        return F.flatten(F.array(*[F.flatten(F.transform(rows, pick(c))) for c in channels]))
+        return F.flatten(F.array(*[F.flatten(F.transform(rows, window(c))) for c in channels]))
 
-    return gathered.select(
+    return held.select(
         sample_key,
-        F.flatten(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), frame)).alias("patch"),
+        F.coalesce(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), frame)), F.array_repeat(F.lit(0.0).cast("float"), steps * len(channels) * patch * patch)).alias("patch"),
         F.array(*[F.lit(x) for x in (steps, len(channels), patch, patch)]).alias("shape"),
     )

@@ -164,3 +164,20 @@ def test_haversine(spark):
 
     d = spark.range(1).select(haversine_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))).first()[0]
     assert d == pytest.approx(math.pi * 6371.0088 / 180)
+
+
+def test_patches_shuffle_grows_with_places_not_samples(spark):
+    rows = [(0, r, c, float(10 * r + c)) for r in range(4) for c in range(6)]
+    stack = spark.createDataFrame(rows, "t_idx int, row int, col int, a double")
+    # 40 samples at two places of one strip, one at no place; rows outside the grid do not count
+    samples = spark.range(40).select("id", F.lit(0).alias("t_idx"), F.lit(1).alias("row"), (F.col("id") % 2 * 3).cast("int").alias("col"))
+    samples = samples.union(spark.sql("SELECT 40L, 0, 1, CAST(NULL AS INT)"))
+    outside = spark.createDataFrame([(0, 9, 1, 5.0), (0, -1, 1, 5.0)], stack.schema)
+    got = g.patch_sequences(samples, stack.union(outside), ["a"], {"a": (0.0, 1.0)}, GridSpec(0, 0, 6, 4, 1.0), 3, 1, "id")
+    found = {r["id"]: r["patch"] for r in got.collect()}
+    assert len(found) == 41 and found[40] == [0.0] * 9
+    assert all(found[i] == [10.0 * y + abs(3 * (i % 2) + dx) for y in (0, 1, 2) for dx in (-1, 0, 1)] for i in range(40))
+    # lines are collected per block, not per sample
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    gathers = [line for line in plan.splitlines() if "Aggregate [" in line and "collect_list" in line]
+    assert gathers and not any("Aggregate [id#" in line for line in gathers)
