@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from hazegrid import constants as K
 from hazegrid.functions.geo import haversine_km, wind_from_direction, wind_speed
@@ -116,15 +119,47 @@ def back_trajectories(
     return nodes
 
 
+#: About the most coordinates of fires in one array.
+SPOTS = 512
+#: Distances that are computed at once.
+PAIRS = 1 << 19
+
+
+def _fires_met(lon: pa.Array, lat: pa.Array, fire_lon: pa.Array, fire_lat: pa.Array, fires: pa.Array, radius_km: float) -> pa.Array:
+    """How many of the fires of each row lie within the radius of any node of that row."""
+    nodes, spots = np.diff(lon.offsets.to_numpy()).astype(np.int64), np.diff(fire_lon.offsets.to_numpy()).astype(np.int64)
+    x, y = np.radians(lon.flatten().to_numpy()), np.radians(lat.flatten().to_numpy())
+    u, v = np.radians(fire_lon.flatten().to_numpy()), np.radians(fire_lat.flatten().to_numpy())
+    n = fires.flatten().to_numpy()
+    x0, u0 = np.cumsum(nodes) - nodes, np.cumsum(spots) - spots
+    ends = np.cumsum(nodes * spots)
+    out, row = np.zeros(len(nodes), np.int64), 0
+    while row < len(nodes):
+        # whole rows, one at least
+        upto = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + PAIRS, side="right")))
+        of, k = np.arange(row, upto), nodes[row:upto] * spots[row:upto]
+        owner = np.repeat(of, k)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(k) - k, k)
+        # the nodes of one coordinate follow each other
+        i, j = x0[owner] + place % nodes[owner], u0[owner] + place // nodes[owner]
+        half = np.sin((y[i] - v[j]) / 2) ** 2 + np.cos(v[j]) * np.cos(y[i]) * np.sin((x[i] - u[j]) / 2) ** 2
+        hit = 2 * K.EARTH_RADIUS_KM * np.arcsin(np.sqrt(np.minimum(half, 1.0))) <= radius_km
+        met = np.logical_or.reduceat(hit, np.flatnonzero(place % nodes[owner] == 0))
+        first = np.arange(u0[row], u0[row] + spots[row:upto].sum())
+        out[row:upto] = np.bincount(np.repeat(of - row, spots[row:upto]), met * n[first], upto - row).astype(np.int64)
+        row = upto
+    return pa.array(out)
+
+
 def fires_along_path(
     path: DataFrame, fires: DataFrame, radius_km: float = 50.0, path_key: Sequence[str] = ("parcel_id",),
     lon: str = "longitude", lat: str = "latitude",
 ) -> DataFrame:
     """Fires within ``radius_km`` of any node, counted once per path.
 
-    Fires at one coordinate are merged first, nodes are copied to the latitude-longitude
-    buckets their radius touches, and exact distances decide. The longitude reach of a node
-    grows with its latitude; near a pole it spans all longitudes.
+    Fires at one coordinate are merged first and dealt to latitude-longitude buckets. A path goes once to each bucket that
+    the radius of any node touches, with those nodes in one array, so a pair of path and coordinate arises once and is
+    counted where it arises. The longitude reach of a node grows with its latitude; near a pole it spans all longitudes.
     """
     reach = math.degrees(radius_km / K.EARTH_RADIUS_KM) * (1 + 1e-9)
     size = max(reach, 1e-6)
@@ -138,16 +173,25 @@ def fires_along_path(
     lon_reach = F.when(F.abs(rad_lat) + F.lit(angle) >= F.lit(math.pi / 2), F.lit(360.0)).otherwise(
         F.degrees(F.asin(F.least(F.lit(1.0), ratio))) * F.lit(1 + 1e-9)
     )
-    nodes = path.select(*path_key, "lon", "lat").distinct()
-    spread = nodes.withColumn(
+    spread = path.select(*path_key, "lon", "lat").withColumn(
         "_by", F.explode(F.sequence(bucket(F.col("lat") - F.lit(reach)), bucket(F.col("lat") + F.lit(reach))))
     ).withColumn("_bx", F.explode(F.sequence(bucket(F.col("lon") - lon_reach), bucket(F.col("lon") + lon_reach))))
-    keyed = spots.withColumns({"_bx": bucket(F.col("_flon")), "_by": bucket(F.col("_flat"))})
-    near = spread.join(keyed, ["_bx", "_by"]).where(
-        haversine_km(F.col("_flon"), F.col("_flat"), F.col("lon"), F.col("lat")) <= F.lit(radius_km)
-    )
-    seen = near.select(*path_key, "_flon", "_flat", "_fires").distinct()
-    found = seen.groupBy(*path_key).agg(F.sum("_fires").alias("fires_along_path"))
+    near = spread.groupBy(*path_key, "_bx", "_by").agg(F.collect_set(F.struct("lon", "lat")).alias("_nodes"))
+    keyed = spots.where(F.col("_flon").isNotNull() & F.col("_flat").isNotNull()).withColumns({"_bx": bucket(F.col("_flon")), "_by": bucket(F.col("_flat"))})
+    # a bucket's coordinates come in arrays of SPOTS at most
+    sized = keyed.groupBy("_bx", "_by").agg(F.ceil(F.count(F.lit(1)) / F.lit(SPOTS / 2)).alias("_parts"))
+    dealt = keyed.join(sized, ["_bx", "_by"]).withColumn("_part", F.pmod(F.xxhash64("_flon", "_flat"), F.col("_parts")))
+    arrays = dealt.groupBy("_bx", "_by", "_part").agg(F.collect_list(F.struct("_flon", "_flat", "_fires")).alias("_spots"))
+    pairs = near.join(arrays, ["_bx", "_by"]).select(*path_key, *[F.col(f"_{a}.{c}").alias(c) for a, c in (("nodes", "lon"), ("nodes", "lat"), ("spots", "_flon"), ("spots", "_flat"), ("spots", "_fires"))])
+    keys = list(path_key)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            met = _fires_met(b.column("lon"), b.column("lat"), b.column("_flon"), b.column("_flat"), b.column("_fires"), radius_km)
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keys], met], names=[*keys, "_met"])
+
+    kinds = StructType([*[pairs.schema[k] for k in keys], StructField("_met", LongType())])
+    found = pairs.mapInArrow(count, kinds).groupBy(*keys).agg(F.sum("_met").alias("fires_along_path"))
     everyone = path.select(*path_key).distinct()
     return everyone.join(found, list(path_key), "left").withColumn(
         "fires_along_path", F.coalesce("fires_along_path", F.lit(0)).cast("bigint")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hazegrid import GridSpec
 from hazegrid.constants import EARTH_RADIUS_KM as R
+from hazegrid.functions.geo import haversine_km
 from hazegrid.operators import transport as tr
 
 GRID = GridSpec(70.0, 20.0, 80.0, 30.0, 1.0)
@@ -96,3 +97,18 @@ def test_density_edges(spark):
     f = spark.createDataFrame([(68.0, 6.5), (97.5, 37.5), (97.4999, 37.4999), (60.0, 10.0)], "longitude double, latitude double")
     got = {(r["x_bin"], r["y_bin"]): r["n"] for r in tr.fire_density(f).collect()}
     assert got == {(0, 0): 1, (119, 119): 2}
+
+
+def test_fires_along_path_counts_pairs_where_they_arise(spark):
+    rng = np.random.default_rng(5)
+    path = spark.createDataFrame([(int(k // 6), float(x), float(y)) for k, (x, y) in enumerate(rng.uniform((70, 20), (76, 26), (60, 2)))] + [(99, 10.0, -40.0)], "parcel_id long, lon double, lat double")
+    # over 1,000 coordinates in one bucket, some with several fires
+    spots = np.round(rng.uniform((72, 22), (73, 23), (3000, 2)), 2).tolist() + rng.uniform((69, 19), (77, 27), (500, 2)).tolist()
+    fires = spark.createDataFrame([(*s,) for s in spots], "longitude double, latitude double")
+    seen = path.crossJoin(fires.withColumn("fire", F.monotonically_increasing_id())).where(haversine_km(F.col("longitude"), F.col("latitude"), F.col("lon"), F.col("lat")) <= 80.0)
+    want = {r["parcel_id"]: r["n"] for r in seen.groupBy("parcel_id").agg(F.count_distinct("fire").alias("n")).collect()}
+    out = tr.fires_along_path(path, fires, 80.0)
+    got = {r["parcel_id"]: r["fires_along_path"] for r in out.collect()}
+    assert got == {k: want.get(k, 0) for k in [*range(10), 99]} and sum(want.values()) > 3000
+    # no row for each pair of path and coordinate is kept to be made distinct
+    assert "Aggregate [parcel_id#" in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and not any("_flon" in line and "parcel_id#" in line for line in plan.splitlines() if "Aggregate [parcel_id#" in line)
