@@ -13,6 +13,7 @@ from hazegrid.models.metrics import calibration_report, score
 from hazegrid.models.regression import Factory, TargetRegressors, cross_validate, linear, random_forest
 from hazegrid.models.splits import group_folds, last_dates, random_folds, random_test, spatial_folds
 from hazegrid.operators.features import engineer
+from hazegrid.session import materialize
 
 
 def missing_share(df: DataFrame, variable: str) -> DataFrame:
@@ -132,6 +133,9 @@ def dual_validation(df: DataFrame, targets: Sequence[str], features: Sequence[st
     Empty when no target qualifies.
     """
     make = factory or random_forest(300, min_leaf=2, seed=0)
+    # stored once: sizes, blocks and both schemes read it
+    wanted = [*targets, *features, "station_id", "lon", "lat"]
+    df = materialize(df.select(*dict.fromkeys(c for c in wanted if c in df.columns), row_key.alias("_row")), "validation")
     sizes = df.agg(
         *[F.count(t).alias(f"n_{t}") for t in targets],
         *[F.count_distinct(F.when(F.col(t).isNotNull(), F.col("station_id"))).alias(f"s_{t}") for t in targets],
@@ -142,7 +146,7 @@ def dual_validation(df: DataFrame, targets: Sequence[str], features: Sequence[st
             continue
         rows = df.where(F.col(t).isNotNull())
         runs = {
-            "random_cv": cross_validate(random_folds(rows, row_key, k), t, features, make, k),
+            "random_cv": cross_validate(random_folds(rows, F.col("_row"), k), t, features, make, k),
             "spatial_cv": cross_validate(
                 spatial_folds(rows, block_deg, k), t, features, make, k, min_train=100, min_test_groups=("station_id", 2)
             ),
@@ -162,5 +166,6 @@ def dual_validation(df: DataFrame, targets: Sequence[str], features: Sequence[st
 
 def group_validation(df: DataFrame, target: str, features: Sequence[str], factory: Factory | None = None, k: int = 5, group: str = "station_id") -> DataFrame:
     """Per-fold skill with whole groups held out."""
+    df = df.select(*dict.fromkeys(c for c in (target, *features, group) if c in df.columns))
     held = cross_validate(group_folds(df, group, k), target, features, factory or random_forest(50), k)
     return score(held, {target: (target, f"pred_{target}")}, ["fold"])

@@ -110,20 +110,27 @@ def cross_validate(
     A fold is skipped when it is empty, trains on too few rows or (optionally) holds too few
     distinct groups. ``None`` if no fold is usable.
     """
-    # stored once: every fold trains on it again
-    rows = materialize(folded.where(F.col(target).isNotNull()), "folds")
+    # stored once, by fold: every other fold trains on it again, and only its own model predicts it
+    rows = materialize(folded.where(F.col(target).isNotNull() & F.col("fold").isNotNull()), "folds", ["fold"])
     group = F.count_distinct(min_test_groups[0]) if min_test_groups else F.lit(0)
     sizes = {r["fold"]: r for r in rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), group.alias("groups")).collect()}
     total = sum(r["n"] for r in sizes.values())
-    parts = []
+    usable = []
     for f in range(k):
         size = sizes.get(f)
         if size is None or total - size["n"] < max(min_train, 1):
             continue
         if min_test_groups and size["groups"] < min_test_groups[1]:
             continue
+        usable.append(f)
+
+    def held_out(f: int) -> DataFrame:
         model = TargetRegressors([target], features, factory, stored=True).fit(rows.where(F.col("fold") != f))
-        parts.append(model.predict(rows.where(F.col("fold") == f)))
+        return model.predict(rows.where(F.col("fold") == f))
+
+    # folds are independent jobs; a few may share the cluster
+    with ThreadPoolExecutor(max_workers=max(1, min(4, len(usable)))) as pool:
+        parts = list(pool.map(held_out, usable))
     out = None
     for p in parts:
         out = p if out is None else out.unionByName(p)

@@ -286,3 +286,17 @@ def test_lloyd_step_far_from_zero(spark):
     df = spark.createDataFrame([(1e8 + i, 0.5) for i in range(5)], "a double, b double")
     got = {r["cluster"]: (r["n"], r["cost"]) for r in zones.lloyd_step(df, ["a", "b"], [np.array([[1e8 + 1, 0.5], [1e8 + 3, 0.5]])]).collect()}
     assert got == {0: (3, 2.0), 1: (2, 1.0)}
+
+
+def test_dual_validation_reads_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def pass_on(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    raw = spark.range(0, 300, 1, 2).selectExpr("id % 30 AS station_id", "id AS k", "double(id % 30) AS lon", "double(id % 7) AS lat", "double(id % 11) AS x", "double(id % 11) * 2 + id % 3 AS y")
+    out = fields.dual_validation(raw.mapInArrow(pass_on, raw.schema), ["y"], ["x"], F.col("k").cast("string"), regression.linear())
+    assert {r["scheme"]: r["n"] for r in out.collect()} == {"random_cv": 300, "spatial_cv": 300}
+    assert seen.value == 300
