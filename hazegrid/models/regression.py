@@ -37,6 +37,16 @@ def linear(**kw) -> Factory:
     return lambda: LinearRegression(solver="normal", regParam=0.0, **kw)
 
 
+#: The most rows of one partition that trees are grown on: their estimators keep rows in memory, many times as large as in files.
+TREE_ROWS = 500_000
+
+
+def tree_partitions(ready: DataFrame) -> DataFrame:
+    """``ready`` (cheap to re-read) in partitions of about ``TREE_ROWS`` rows at most, dealt anew only if files hold more."""
+    needed = -(-ready.count() // TREE_ROWS)
+    return ready.repartition(needed) if needed > ready.rdd.getNumPartitions() else ready
+
+
 class TargetRegressors:
     """A regressor for every target that has rows; predictions arrive as ``pred_<target>``.
 
@@ -64,7 +74,8 @@ class TargetRegressors:
             est = self.factory()
             est = est.copy({est.labelCol: target, est.featuresCol: "_x", est.predictionCol: f"pred_{target}"})
             stages = [VectorAssembler(inputCols=self.features, outputCol="_x"), est]
-            return Pipeline(stages=stages).fit(ready.where(F.col(target).isNotNull()).select(*self.features, F.col(target).cast("double").alias(target)))
+            rows = ready.where(F.col(target).isNotNull()).select(*self.features, F.col(target).cast("double").alias(target))
+            return Pipeline(stages=stages).fit(tree_partitions(rows) if est.hasParam("maxDepth") else rows)
 
         # fits of different targets are independent jobs; a few may share the cluster
         with ThreadPoolExecutor(max_workers=max(1, min(self.parallel, len(usable) or 1))) as pool:

@@ -288,6 +288,14 @@ def test_lloyd_step_far_from_zero(spark):
     assert got == {0: (3, 2.0), 1: (2, 1.0)}
 
 
+def test_trees_get_bounded_partitions(spark, monkeypatch):
+    monkeypatch.setattr(regression, "TREE_ROWS", 50)
+    rows = spark.range(0, 400, 1, 2).select(F.col("id").cast("double").alias("x"))
+    assert regression.tree_partitions(rows).rdd.getNumPartitions() == 8
+    assert max(regression.tree_partitions(rows).rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()) <= 60
+    assert regression.tree_partitions(rows.limit(40)).rdd.getNumPartitions() == 1
+
+
 def test_dual_validation_reads_its_input_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
