@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,23 +49,26 @@ def candidate_counts(k_range: Sequence[int], n_cells: int) -> list[int]:
     return sorted({int(k) for k in k_range}.intersection(range(2, n_cells)))
 
 
-def _nearest(x: np.ndarray, centres: np.ndarray, distances: np.ndarray, doubt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the nearest centre, squared distance to it) of each point, both as sums of squared differences give them.
+def _squares(x: Sequence[np.ndarray], centre: np.ndarray) -> np.ndarray:
+    """Squared distance of each point to the centre, from differences: products lose digits far from 0."""
+    return reduce(lambda a, b: np.add(a, b, out=a), [np.square(gap, out=gap) for gap in (c - v for c, v in zip(x, centre, strict=True))])
 
-    ``distances`` come from products, which lose digits far from 0: centres within ``doubt`` of the least one are compared
-    by their differences.
+
+def _nearest(x: Sequence[np.ndarray], centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the nearest centre, squared distance to it) of each point of the columns ``x``; the first of equally near ones.
+
+    Whole columns are compared with one centre after the other, so nothing wider than a column is made.
     """
-    nearest = distances.argmin(axis=1)
-    least = distances[np.arange(len(x)), nearest]
-    close = np.flatnonzero((distances <= (least + doubt)[:, None]).sum(axis=1) > 1)
-    if len(close):
-        nearest[close] = _squares(x[close, None, :] - centres).argmin(axis=1)
-    return nearest, _squares(x - centres[nearest])
+    nearest, least = np.zeros(len(x[0]), np.int64), _squares(x, centres[0])
+    for i, centre in enumerate(centres[1:], 1):
+        square = _squares(x, centre)
+        np.putmask(nearest, square < least, i)
+        np.minimum(least, square, out=least)
+    return nearest, least
 
 
-def _squares(gaps: np.ndarray) -> np.ndarray:
-    """Squares summed over the last axis, in its order."""
-    return reduce(lambda a, b: a + b, [gaps[..., j] * gaps[..., j] for j in range(gaps.shape[-1])])
+def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [c.to_numpy(zero_copy_only=False) for c in batch.columns]
 
 
 def lloyd_step(points: DataFrame, columns: Sequence[str], models: Sequence[np.ndarray]) -> DataFrame:
@@ -77,28 +80,25 @@ def lloyd_step(points: DataFrame, columns: Sequence[str], models: Sequence[np.nd
     flat, sizes = np.concatenate(models), [len(m) for m in models]
     sums = [f"sum_{c}" for c in columns]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, cost, total = np.zeros(len(flat), np.int64), np.zeros(len(flat)), np.zeros((len(flat), len(columns)))
-        for pdf in batches:
-            x = pdf.to_numpy(float)
-            squares = (x * x).sum(axis=1)
-            distances = squares[:, None] - 2 * x @ flat.T + (flat * flat).sum(axis=1)
-            doubt = 1e-13 * (squares + (flat * flat).sum(axis=1).max())
+        for batch in batches:
+            x = _columns(batch)
             low = 0
             for k in sizes:
-                nearest, gap = _nearest(x, flat[low : low + k], distances[:, low : low + k], doubt)
+                nearest, gap = _nearest(x, flat[low : low + k])
                 n[low : low + k] += np.bincount(nearest, minlength=k)
                 cost[low : low + k] += np.bincount(nearest, gap, k)
-                for j in range(len(columns)):
-                    total[low : low + k, j] += np.bincount(nearest, x[:, j], k)
+                for j, c in enumerate(x):
+                    total[low : low + k, j] += np.bincount(nearest, c, k)
                 low += k
         at = np.flatnonzero(n)
-        model = np.repeat(np.arange(len(sizes)), sizes)
-        first = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        yield pd.DataFrame({"model": model[at], "cluster": (np.arange(len(flat)) - first)[at], "n": n[at], "cost": cost[at], **{c: total[at, j] for j, c in enumerate(sums)}})
+        model = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        cluster = np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])
+        yield pa.RecordBatch.from_arrays([pa.array(a[at]) for a in (model, cluster, n, cost, *total.T)], ["model", "cluster", "n", "cost", *sums])
 
     kinds = "model int, cluster int, n long, cost double" + "".join(f", {c} double" for c in sums)
-    parts = points.select(*columns).mapInPandas(run, kinds)
+    parts = points.select(*[F.col(c).cast("double") for c in columns]).mapInArrow(run, kinds)
     return parts.groupBy("model", "cluster").agg(*[F.sum(c).alias(c) for c in ("n", "cost", *sums)])
 
 
@@ -180,26 +180,26 @@ def silhouettes(points: DataFrame, columns: Sequence[str], fits: Sequence[Fit])
         stats.append((n, mean, spread))
     useful = [m for m, (n, *_) in enumerate(stats) if (n > 0).sum() > 1]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows = np.zeros(len(stats)), 0
-        for pdf in batches:
-            x = pdf.to_numpy(float)
-            rows += len(x)
+        for batch in batches:
+            x = _columns(batch)
+            rows += len(batch)
             for m in useful:
                 n, mean, spread = stats[m]
-                own = ((x * x).sum(axis=1)[:, None] - 2 * x @ models[m].T + (models[m] ** 2).sum(axis=1)).argmin(axis=1)
-                # mean squared distance to the members of each cluster
-                apart = ((x[:, None, :] - mean) ** 2).sum(axis=2) + spread
-                apart[:, n == 0] = np.inf
-                at = np.arange(len(x))
-                inside = apart[at, own] * n[own] / np.maximum(n[own] - 1, 1)
-                apart[at, own] = np.inf
-                outside = apart.min(axis=1)
+                own, _ = _nearest(x, models[m])
+                inside, outside = np.zeros(len(own)), np.full(len(own), np.inf)
+                for c in np.flatnonzero(n):
+                    # mean squared distance to the members of the cluster
+                    apart = _squares(x, mean[c]) + spread[c]
+                    mine = own == c
+                    np.copyto(inside, apart * (n[c] / max(n[c] - 1, 1)), where=mine)
+                    np.minimum(outside, apart, out=outside, where=~mine)
                 score = np.where(n[own] > 1, (outside - inside) / np.maximum(np.maximum(inside, outside), 1e-300), 0.0)
                 total[m] += score.sum()
-        yield pd.DataFrame({"model": np.arange(len(stats)), "total": total, "n": rows})
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(stats), dtype=np.int32)), pa.array(total), pa.array(np.full(len(stats), rows))], ["model", "total", "n"])
 
-    scored = points.select(*columns).mapInPandas(run, "model int, total double, n long").groupBy("model").agg((F.sum("total") / F.sum("n")).alias("s")).collect()
+    scored = points.select(*[F.col(c).cast("double") for c in columns]).mapInArrow(run, "model int, total double, n long").groupBy("model").agg((F.sum("total") / F.sum("n")).alias("s")).collect()
     by_model = {r["model"]: r["s"] for r in scored}
     return {f.k: by_model.get(m) if m in useful else None for m, f in enumerate(fits)}
 

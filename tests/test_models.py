@@ -288,6 +288,22 @@ def test_lloyd_step_far_from_zero(spark):
     assert got == {0: (3, 2.0), 1: (2, 1.0)}
 
 
+def test_nearest_centre_column_by_column():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    x, centres = rng.integers(0, 6, (20_000, 4)).astype(float) + 1e8, rng.integers(0, 6, (40, 4)).astype(float) + 1e8
+    gaps = ((x[:, None] - centres) ** 2).sum(2)
+    columns = list(np.ascontiguousarray(x.T))
+    tracemalloc.start()
+    nearest, least = zones._nearest(columns, centres)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # the first of equally near centres; a few columns of memory, whatever the number of centres
+    assert nearest.tolist() == gaps.argmin(1).tolist() and least.tolist() == gaps.min(1).tolist()
+    assert peak < 8 * x[:, 0].nbytes
+
+
 def test_trees_get_bounded_partitions(spark, monkeypatch):
     monkeypatch.setattr(regression, "TREE_ROWS", 50)
     rows = spark.range(0, 400, 1, 2).select(F.col("id").cast("double").alias("x"))
