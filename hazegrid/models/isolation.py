@@ -87,34 +87,47 @@ def grow_trees(sample: DataFrame, columns: Sequence[str], sample_rows: int, seed
     return sample.select("tree", *cols).groupBy("tree").applyInPandas(grow, _NODES)
 
 
+def _levels(nodes: pd.DataFrame) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """(feature and cut of all places of each level, depth of each place below the last level) of one tree.
+
+    A leaf above the last level goes on with itself on both sides, so every row walks the same number of levels.
+    """
+    feature, cut, left, right, depth = (nodes[c].to_numpy() for c in ("feature", "cut", "left", "right", "depth"))
+    at, levels = np.zeros(1, np.int64), []
+    while (feature[at] >= 0).any():
+        inner = feature[at] >= 0
+        levels.append((np.where(inner, feature[at], 0).astype(np.int64), np.where(inner, cut[at], np.inf)))
+        at = np.stack([np.where(inner, left[at], at), np.where(inner, right[at], at)], axis=1).ravel()
+    return levels, depth[at]
+
+
+def _walk(x: np.ndarray, trees: Sequence[tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]]) -> np.ndarray:
+    """Depths of the leaves of each row, summed over the trees."""
+    values, first, total = x.ravel(), np.arange(len(x)) * x.shape[1], np.zeros(len(x))
+    for levels, depth in trees:
+        at = np.zeros(len(x), np.int64)
+        for feature, cut in levels:
+            below = values.take(first + feature.take(at)) < cut.take(at)
+            at += at
+            at += ~below
+        total += depth.take(at)
+    return total
+
+
 def anomaly_score(df: DataFrame, columns: Sequence[str], nodes: DataFrame, sample_rows: int, n_trees: int, out: str) -> DataFrame:
     """Adds the isolation score in (0, 1]; larger is more isolated.
 
-    The forest has at most trees x 511 nodes whatever the data size, so it is broadcast.
+    The forest has at most trees x 511 places whatever the data size, so it is broadcast.
     """
     table = nodes.toPandas().sort_values(["tree", "node"])
-    trees = [
-        tuple(g[c].to_numpy() for c in ("feature", "cut", "left", "right", "depth")) for _, g in table.groupby("tree")
-    ]
+    trees = [_levels(g) for _, g in table.groupby("tree")]
     shared = df.sparkSession.sparkContext.broadcast(trees)
     norm = _mean_path(sample_rows) or 1.0
 
     @F.pandas_udf("double")
     def walk(*features: pd.Series) -> pd.Series:
         x = np.stack([f.to_numpy(dtype=float) for f in features], axis=1)
-        total = np.zeros(len(x))
-        rows = np.arange(len(x))
-        for feature, cut, left, right, depth in shared.value:
-            at = np.zeros(len(x), dtype=np.int64)
-            while True:
-                f = feature[at]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                go_left = x[rows, np.maximum(f, 0)] < cut[at]
-                at = np.where(inner, np.where(go_left, left[at], right[at]), at)
-            total += depth[at]
-        return pd.Series(np.exp2(-(total / len(shared.value)) / norm))
+        return pd.Series(np.exp2(-(_walk(x, shared.value) / len(shared.value)) / norm))
 
     return df.withColumn(out, walk(*[F.col(c) for c in columns]))
 

@@ -304,6 +304,36 @@ def test_nearest_centre_column_by_column():
     assert peak < 8 * x[:, 0].nbytes
 
 
+def test_rows_walk_whole_levels(spark):
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(size=(500, 2)), [[np.inf, 0.0], [np.nan, 1.0], [-np.inf, np.nan]]])
+    sample = spark.createDataFrame([(t, *map(float, r)) for t in range(3) for r in rng.normal(size=(60, 2))], "tree int, a double, b double")
+    table = isolation.grow_trees(sample, ["a", "b"], 60, 1).toPandas().sort_values(["tree", "node"])
+    want = np.zeros(len(x))
+    for _, g in table.groupby("tree"):
+        nodes = g.set_index("node")
+        for i, row in enumerate(x):
+            n = nodes.loc[0]
+            while n["feature"] >= 0:
+                n = nodes.loc[n["left"] if row[int(n["feature"])] < n["cut"] else n["right"]]
+            want[i] += n["depth"]
+    trees = [isolation._levels(g) for _, g in table.groupby("tree")]
+    assert isolation._walk(x, trees).tolist() == want.tolist()
+
+
+def test_layers_read_their_cells_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    cells = anomaly_frame(spark).withColumn("aqi", counted(F.col("hcho").cast("double"))).withColumn("frp_mean", F.lit(0.0))
+    analysis_layers(cells, "2024-01-01", "odd", k_range=(2,), contamination=0.0625, n_init=1, n_trees=10)
+    assert seen.value == 64
+
+
 def test_trees_get_bounded_partitions(spark, monkeypatch):
     monkeypatch.setattr(regression, "TREE_ROWS", 50)
     rows = spark.range(0, 400, 1, 2).select(F.col("id").cast("double").alias("x"))
