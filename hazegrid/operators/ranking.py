@@ -37,12 +37,14 @@ def running_sums(df: DataFrame, order: Sequence[str], amount: str, by: Sequence[
     return counted.select(*df.columns, "range", (F.col("_upto") + F.col("_below")).alias("upto"), "total")
 
 
-def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
+def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = (), ranges: int | None = None, rows: str | None = None) -> DataFrame:
     """Distinct non-NULL values (per ``by``) with ``n``, ``n_le`` (rows <= value), ``total`` and ``range``.
 
     Rows collapse to distinct values before anything is ordered, so a value held by a third of all rows is one row here.
+    A row counts ``rows`` times, once without it.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    n = F.sum(rows) if rows else F.count(F.lit(1))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(n.alias("n"))
     return running_sums(counts, [value], "n", by, ranges).select(*by, value, "n", "range", F.col("upto").alias("n_le"), "total")
 
 
