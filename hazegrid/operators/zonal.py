@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from hazegrid.grid import GridSpec
 from hazegrid.operators.ranking import running_sums
+from hazegrid.session import discard, materialize
 
 #: Columns of one join bucket along a row.
 BUCKET = 64
@@ -81,7 +82,8 @@ def zone_cells(spans: DataFrame, cells: DataFrame) -> DataFrame:
     Both sides meet in buckets of ``BUCKET`` columns of a row. Aggregate ``cells`` to one row per cell before.
     """
     buckets = F.sequence(F.floor(F.col("first") / BUCKET), F.floor(F.col("last") / BUCKET))
-    dealt = spans.select("zone", "row", "first", "last", "share", F.explode(buckets).alias("bucket"))
+    # stored: planned from the few vertices, the spans would pass for small and be sent whole to every executor
+    dealt = materialize(spans.select("zone", "row", "first", "last", "share", F.explode(buckets).alias("bucket")), "spans")
     joined = cells.withColumn("bucket", F.floor(F.col("col") / BUCKET)).join(dealt, ["row", "bucket"])
     return joined.where(F.col("col").between(F.col("first"), F.col("last"))).drop("bucket", "first", "last")
 
@@ -90,15 +92,16 @@ def zonal_statistics(covered: DataFrame, value: str, weight: Column, probs: Sequ
     """``zone, n_cells, weight, mean`` and ``q50``-like columns of the cells with a value.
 
     A cell weighs ``share * weight``. A quantile is the least value at which the weights of the values up to it reach
-    that part of all weights.
+    that part of all weights. ``covered`` has one row for each zone and cell, as :func:`zone_cells` gives them.
     """
-    held = covered.where(F.col(value).isNotNull()).select("zone", F.col(value).cast("double").alias("v"), (F.col("share") * weight).alias("w")).where("w > 0")
-    # equal values of a zone are one row before anything is ordered
-    summed = held.groupBy("zone", "v").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"))
-    run = running_sums(summed, ["v"], "w", ["zone"])
+    weighed = covered.where(F.col(value).isNotNull()).select("zone", "row", "col", F.col(value).cast("double").alias("v"), (F.col("share") * weight).alias("w"))
+    held = materialize(weighed.where("w > 0"), "weighed")
+    # by value and place: no task gathers the cells of a zone or of one value to sum them before they are ordered
+    run = running_sums(held, ["v", "row", "col"], "w", ["zone"])
+    discard(held)
     reached = lambda p: F.col("upto") >= F.col("total") * F.lit(p) * F.lit(1 - 1e-12)
     quantiles = [F.min(F.when(reached(p), F.col("v"))).alias(f"q{round(100 * p)}") for p in probs]
-    return run.groupBy("zone").agg(F.sum("n").alias("n_cells"), F.sum("w").alias("weight"), (F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("mean"), *quantiles)
+    return run.groupBy("zone").agg(F.count(F.lit(1)).alias("n_cells"), F.sum("w").alias("weight"), (F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("mean"), *quantiles)
 
 
 def exposure_shares(covered: DataFrame, band: Column, people: str) -> DataFrame:

@@ -95,3 +95,22 @@ def test_statistics_and_exposure(spark):
         if high:
             assert shares[z, "high"]["share"] == pytest.approx(high / all_people)
     assert zonal.zone_spans(vertices(spark).limit(0), GRID).collect() == []
+
+
+def test_cells_of_one_value_are_dealt_to_several_ranges(spark, monkeypatch):
+    runs, sums = [], zonal.running_sums
+    monkeypatch.setattr(zonal, "running_sums", lambda *a, **k: runs.append(sums(*a, **k)) or runs[-1])
+    cells = spark.range(120).select((F.col("id") / 12).cast("int").alias("row"), (F.col("id") % 12).cast("int").alias("col"), F.when(F.col("id") < 2, 1.0).otherwise(5.0).alias("v"))
+    whole = vertices(spark).where("zone = 'over all edges'")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = zonal.zonal_statistics(zonal.zone_cells(zonal.zone_spans(whole, GRID), cells), "v", F.lit(1.0), [0.01, 0.5, 0.9]).collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert [(r["n_cells"], r["q1"], r["q50"], r["q90"]) for r in got] == [(120, 1.0, 5.0, 5.0)] and got[0]["weight"] == pytest.approx(120.0)
+    assert runs[0].where("v = 5").select("range").distinct().count() > 1
+
+
+def test_spans_are_stored_before_the_join(spark):
+    cells = spark.range(120).select((F.col("id") / 12).cast("int").alias("row"), (F.col("id") % 12).cast("int").alias("col"))
+    plan = zonal.zone_cells(zonal.zone_spans(vertices(spark), GRID), cells)._jdf.queryExecution().optimizedPlan().toString()
+    # spans come from files of known size: nothing of the vertices is left to guess it from
+    assert "parquet" in plan and "Window" not in plan
