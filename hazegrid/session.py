@@ -77,16 +77,28 @@ def scratch_root(spark: SparkSession) -> str:
     return _LOCAL_SCRATCH[app]
 
 
-def materialize(df: DataFrame, label: str, partition_by: Sequence[str] = ()) -> DataFrame:
+#: Session setting: shuffle files are deleted at the end of the job that wrote them.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, label: str, partition_by: Sequence[str] = (), keep_shuffles: bool = True) -> DataFrame:
     """Write ``df`` to the scratch folder and read it back, optionally in Hive partitions.
 
     Iterative operators use this between rounds: the plan stays short, a lost executor
     re-reads files instead of recomputing every earlier round, and the file sizes give the
-    optimiser real statistics for its broadcast decision.
+    optimiser real statistics for its broadcast decision. Shuffle files usually stay until the
+    driver collects its garbage; without ``keep_shuffles`` those of this job go when it ends.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    if not keep_shuffles:
+        spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.partitionBy(*partition_by).parquet(path)
+    finally:
+        if not keep_shuffles:
+            spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
     out = spark.read.schema(df.schema).parquet(path).select(*df.columns)
     out._scratch_path = path
     return out

@@ -59,3 +59,16 @@ def test_discard_removes_a_scratch_table(spark):
     session.discard(kept)
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     assert not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path)
+
+
+def test_shuffle_files_go_with_their_job(spark):
+    def files():
+        manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {f for f in manager.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+
+    before = files()
+    stored = session.materialize(spark.range(1000).repartition(3, "id"), "freed", keep_shuffles=False)
+    assert files() <= before and stored.count() == 1000
+    assert spark.conf.get(session.FREE_SHUFFLES, None) != "true"
+    session.materialize(spark.range(1000).repartition(3, "id"), "kept")
+    assert files() - before
