@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazegrid.operators.qa import model_inputs
-from hazegrid.session import materialize
+from hazegrid.session import checkpoint_folder, materialize
 
 Factory = Callable[[], object]
 
@@ -47,6 +47,21 @@ def tree_partitions(ready: DataFrame) -> DataFrame:
     return ready.repartition(needed) if needed > ready.rdd.getNumPartitions() else ready
 
 
+#: Blocks that the rows of equal features are dealt to before boosting: a round's subsample takes or leaves a whole block.
+BLOCKS = 64
+
+
+def blocks(rows: DataFrame, features: Sequence[str], target: str) -> DataFrame:
+    """Rows of equal features in up to ``BLOCKS`` blocks: their mean target, and their number as ``_weight``.
+
+    Squared error tells such rows apart by a constant only, so splits and leaves of the weighted blocks are those of the rows.
+    """
+    dealt = rows.withColumn("_block", F.pmod(F.xxhash64(target), F.lit(BLOCKS)))
+    return dealt.groupBy(*features, "_block").agg(
+        F.avg(target).alias(target), F.count(F.lit(1)).cast("double").alias("_weight")
+    ).drop("_block")
+
+
 class TargetRegressors:
     """A regressor for every target that has rows; predictions arrive as ``pred_<target>``.
 
@@ -56,10 +71,14 @@ class TargetRegressors:
 
     def __init__(
         self, targets: Sequence[str], features: Sequence[str], factory: Factory | None = None, parallel: int = 4,
-        stored: bool = False,
+        stored: bool = False, pooled: bool = False,
     ):
-        """``stored``: the training frame is cheap to re-read, so it is not written out first."""
-        self.targets, self.features, self.stored = list(targets), list(features), stored
+        """``stored``: the training frame is cheap to re-read, so it is not written out first.
+
+        ``pooled``: rows of equal features are fitted as weighted :func:`blocks` and predicted once, for estimators with
+        many passes; it needs a squared loss and a ``weightCol``.
+        """
+        self.targets, self.features, self.stored, self.pooled = list(targets), list(features), stored, pooled
         self.factory, self.parallel = factory or random_forest(), parallel
         self.models: dict[str, PipelineModel] = {}
 
@@ -75,6 +94,11 @@ class TargetRegressors:
             est = est.copy({est.labelCol: target, est.featuresCol: "_x", est.predictionCol: f"pred_{target}"})
             stages = [VectorAssembler(inputCols=self.features, outputCol="_x"), est]
             rows = ready.where(F.col(target).isNotNull()).select(*self.features, F.col(target).cast("double").alias(target))
+            if self.pooled:
+                est.setWeightCol("_weight")
+                rows = materialize(blocks(rows, self.features, target), "blocks")
+            if est.hasParam("checkpointInterval"):  # without a folder the lineage of all rounds is kept
+                checkpoint_folder(df.sparkSession)
             return Pipeline(stages=stages).fit(tree_partitions(rows) if est.hasParam("maxDepth") else rows)
 
         # fits of different targets are independent jobs; a few may share the cluster
@@ -86,8 +110,11 @@ class TargetRegressors:
         """``df`` with one prediction column per fitted target; original columns stay as they were."""
         hidden = {c: f"_in_{c}" for c in self.features}
         out = model_inputs(df.withColumns({h: F.col(c) for c, h in hidden.items() if c in df.columns}), self.features)
+        scored = out.select(*self.features).distinct() if self.pooled else out
         for model in self.models.values():
-            out = model.transform(out).drop("_x")
+            scored = model.transform(scored).drop("_x")
+        # stored: its size decides how it is joined
+        out = out.join(materialize(scored, "scored"), self.features) if self.pooled else scored
         kept = [F.col(hidden[c]).alias(c) if c in hidden else F.col(c) for c in df.columns]
         return out.select(*kept, *[f"pred_{t}" for t in self.models])
 

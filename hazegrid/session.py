@@ -77,6 +77,12 @@ def scratch_root(spark: SparkSession) -> str:
     return _LOCAL_SCRATCH[app]
 
 
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Give Spark's own ``checkpoint()`` the scratch folder, unless it has one."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(scratch_root(spark))
+
+
 #: Session setting: shuffle files are deleted at the end of the job that wrote them.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

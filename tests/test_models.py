@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hazegrid.models import fields, isolation, kriging, metrics, regression, splits, zones
 from hazegrid.models.scaling import RobustScale
 from hazegrid.operators.analysis import analysis_layers
+from hazegrid.plans.catalogue import QUERIES
 
 FOREST = regression.random_forest(trees=15, max_depth=8)
 
@@ -52,6 +53,31 @@ def test_save_and_load(spark, tmp_path):
     assert regression.importances(model, "y", spark).first()["feature"] == "x"
 
 
+def test_pooled_boosting_equals_that_of_the_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(float(a), float(b), float(3 * a - b + a * b + rng.normal())) for a, b in rng.integers(0, 6, (900, 2))]
+    df = spark.createDataFrame(rows, "a double, b double, y double").repartition(3)
+    make = regression.boosted_trees(rounds=6, max_depth=3, rate=0.3, share=1.0)
+    plain = regression.TargetRegressors(["y"], ["a", "b"], make).fit(df)
+    pooled = regression.TargetRegressors(["y"], ["a", "b"], make, pooled=True).fit(df)
+    asked = df.unionByName(spark.createDataFrame([(None, 2.0, 0.0), (7.5, 2.0, 0.0)], df.schema))
+    want, got = (sorted((r["y"], r["b"], r["pred_y"]) for r in m.predict(asked).collect()) for m in (plain, pooled))
+    assert len(got) == 902 and np.array(got) == pytest.approx(np.array(want))
+    assert pooled.predict(asked).where("a is null").count() == 1
+    # all rows are in: their number and sum, in fewer weighted ones
+    blocks = regression.blocks(df.crossJoin(spark.range(5)).drop("id"), ["a", "b"], "y")
+    r = blocks.agg(F.count("y").alias("n"), F.sum("_weight").alias("w"), F.sum(F.col("_weight") * F.col("y")).alias("s")).first()
+    assert r["n"] <= 900 and r["w"] == 4500 and r["s"] == pytest.approx(5 * sum(y for *_, y in rows))
+
+
+def test_ml_02_boosts_with_the_defaults(spark, monkeypatch):
+    real, asked = regression.boosted_trees, []
+    assert real.__defaults__[:2] == (600, 8)
+    monkeypatch.setattr(regression, "boosted_trees", lambda *a, **kw: asked.append((a, kw)) or real(rounds=2, max_depth=2))
+    assert QUERIES["ml_02_boosted_trees"](spark, "/root/testdata/sf0.001").count() > 5000
+    assert asked == [((), {})]
+
+
 def test_gap_fill_keeps_observed_and_fills_the_rest(spark):
     rng = np.random.default_rng(1)
     rows = []
